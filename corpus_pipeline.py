@@ -1,12 +1,51 @@
-"""The corpus pipeline: documents in, a de-duplicated and decontaminated mix of clean documents out."""
+"""The corpus pipeline: documents in, a de-duplicated and decontaminated mix of good documents out."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textwarden.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality_rules
+from textwarden.llm.common import cut
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that repeat earlier ones; a document of which nothing is left goes."""
+    left = line_dedup.dedup_lines(docs)
+    return left.where((F.col("lines_removed") == 0) | (F.trim("text") != "")).drop("lines_removed")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest doc_id, of each group of near copies (five words, 0.8)."""
+    return ngram_jaccard.drop_near_copies(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy of a document that it takes, with the words taken, the shard, and the place in its shuffle."""
+    mixed = mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", F.explode("parts").alias("p"))
+    return docs.join(cut(mixed.select("doc_id", "size", "source_size", "target", "taken", "p.*")), "doc_id")
+
+
+STAGES = [("quality", quality), ("line dedup", lines), ("n-gram Jaccard", near_copies), ("decontamination", benchmark), ("mixing", mix)]
+#: SQL can express neither the classifier nor its training; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """STAGES applied to documents."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each stage's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chunk_dedup, decontaminate, language_id, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, topk_search
 from .ngram_jaccard import jaccard_components
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -32,9 +33,132 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, l
 SELECT n.doc_id, n.n_shingles, min(reach.y) AS component_id FROM n JOIN reach ON reach.x = n.doc_id GROUP BY ALL
 """
 
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, as files in folders of a thousand below their source."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    found = license_scan.scan(docs.select(path.alias("path"), "text"), license_scan.templates(spark))
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "license", "how", "score")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS w, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+g AS (SELECT *, ((sid - 1) % 3 + 1)::BIGINT AS k FROM s),
+r AS (SELECT *, (sum(w) OVER () - coalesce(sum(3 * w) OVER (ORDER BY 3 * w / k, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest,
+             (sum(k) OVER (ORDER BY 3 * w / k, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS shares,
+             row_number() OVER (ORDER BY 3 * w / k, sid) AS step FROM g),
+f AS (SELECT min(step) AS stop FROM r WHERE rest::HUGEINT * k <= 3::HUGEINT * w * shares),
+l AS (SELECT f.stop, r.rest, r.shares FROM r, f WHERE r.step = f.stop),
+t AS (SELECT r.source, r.sid, r.w, r.n, CASE WHEN r.step >= l.stop THEN (l.rest * r.k)::DOUBLE / l.shares::DOUBLE ELSE (3 * r.w)::DOUBLE END AS target FROM r, l),
+q AS (SELECT *, least(round(target)::BIGINT, 3 * w) AS quota, greatest(16, ceil(n / 5000))::BIGINT AS blocks FROM t),
+c AS (SELECT *, CASE WHEN w > 0 THEN quota // w ELSE 0 END AS copies, CASE WHEN w > 0 THEN quota % w ELSE 0 END AS part FROM q),
+o AS (SELECT d.doc_id, d.size, c.w, c.target, c.copies, c.part,
+             coalesce(sum(d.size) OVER (PARTITION BY c.sid ORDER BY d.h % c.blocks, d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS gone
+      FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, w AS source_size, target, copies * size + greatest(0, least(size, part - gone)) AS taken FROM o
+"""
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of each document."""
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "lines_removed", F.md5("text").alias("text_md5"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+c AS (SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 1000003) AS c FROM d),
+e AS (SELECT doc_id, l, list_filter(range(1, len(c) + 1), lambda i: i = len(c) OR (c[i] + 31 * coalesce(c[i - 1], 0)) % 3 = 0) AS e FROM c),
+k AS (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS k FROM e),
+s AS (SELECT doc_id, k, coalesce(e[k - 1], 0) + 1 AS a, e[k] AS b, array_to_string(l[coalesce(e[k - 1], 0) + 1 : e[k]], chr(10)) AS t FROM k),
+r AS (SELECT *, b > a AND row_number() OVER (PARTITION BY t, b > a ORDER BY doc_id, k) > 1 AS gone FROM s)
+SELECT doc_id, coalesce(sum(b - a + 1) FILTER (WHERE gone), 0)::BIGINT AS lines_removed, md5(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS text_md5
+FROM r GROUP BY doc_id
+"""
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 50 words or more that repeat, by document."""
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each document consists of benchmark passages."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+_OP8_WORDS = rf"list_filter(regexp_split_to_array(coalesce({LOWER}, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP8_SQL = rf"""
+WITH b AS (SELECT item_id::VARCHAR AS item_id, {_OP8_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+      FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 11, 2))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_OP8_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS phrase
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT x.doc_id, x.n, x.i, p.item_id FROM x JOIN p USING (phrase)),
+k AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each document."""
+    return quality_rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of bytes that repeat, by document."""
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_license_scan": op2_license_scan,
+    "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_topk_search": op7_topk_search,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_chunk_dedup": op10_chunk_dedup,
 }
 SQL = {
     "op1_ngram_jaccard": OP1_SQL,
+    "op3_mixing": OP3_SQL,
+    "op4_line_dedup": OP4_SQL,
+    "op7_topk_search": OP7_SQL,
+    "op8_decontaminate": OP8_SQL,
 }
