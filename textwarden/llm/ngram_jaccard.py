@@ -12,9 +12,10 @@ most D = (den - num)(a + b) / (den + num) elements, a and b being their sizes. S
 
 D and K belong to size bands, so wide that a partner's size is in the same band or the one below; each set has keys in its
 own band and the next. Equal sets are merged first. In a bucket of equal keys, each set is tried against the bucket's
-smallest id only; exact verification and connected components follow. Buckets that still hold several components
-then have all their pairs across components tried, so that a group of copies never becomes all its pairs and every
-link between different sets is still found or implied.
+smallest id only; exact verification and connected components follow. Then the second and the third smallest of each bucket
+are tried against later members of other components, and at last all pairs across the components that a bucket still
+holds, each pair only if sizes and bit sketches let it be similar. A group of copies thus never becomes all its pairs, and every
+link between different sets is found or implied.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SKETCH_LONGS = 8
 SEEDS = 3
 #: Edges that one copy of a pivot's set serves.
 EDGES_PER_SALT = 500
+#: Members of a bucket that are tried against the later ones in turn, after the first, before all remaining pairs are.
+PIVOTS = 3
 NOTHING = np.zeros(0, dtype=np.uint64)
 
 
@@ -115,6 +118,7 @@ def _stats(n: int):
 
 
 STATS_NAMES = ["id", "n_shingles", "digest_a", "digest_b", *(f"s{k}" for k in range(SKETCH_LONGS))]
+MEASURES = ["n_shingles", *STATS_NAMES[4:]]
 
 
 def _keys(n: int, num: int, den: int):
@@ -169,12 +173,17 @@ def _verify(num: int, den: int):
     return run
 
 
+def _may_be_similar(a, b, num: int, den: int):
+    """Whether sizes and bit sketches, by name in a and b, leave the pair a chance."""
+    apart = reduce(lambda x, y: x + y, (F.bit_count(a(f"s{k}").bitwiseXOR(b(f"s{k}"))) for k in range(SKETCH_LONGS)))
+    m, n = a("n_shingles"), b("n_shingles")
+    return (F.least(m, n) * den >= F.greatest(m, n) * num) & (apart * (den + num) <= (m + n) * (den - num))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, stats: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (src, dst) that are similar: first by sizes and bit sketches, then by their sets."""
-    side = lambda p: stats.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ["n_shingles", *STATS_NAMES[4:]]))
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"src_s{k}").bitwiseXOR(F.col(f"dst_s{k}"))) for k in range(SKETCH_LONGS)))
-    a, b = F.col("src_n_shingles"), F.col("dst_n_shingles")
-    near = (F.least(a, b) * den >= F.greatest(a, b) * num) & (apart * (den + num) <= (a + b) * (den - num))
+    side = lambda p: stats.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in MEASURES))
+    near = _may_be_similar(lambda c: F.col(f"src_{c}"), lambda c: F.col(f"dst_{c}"), num, den)
     pairs = cut(pairs.join(side("src"), "src").join(side("dst"), "dst").where(near).select("src", "dst"))
     salts = pairs.groupBy("src").agg(F.count("*").alias("n")).select("src", F.ceil(F.col("n") / EDGES_PER_SALT).cast("int").alias("salts"))
     needed = cut(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct())
@@ -186,6 +195,13 @@ def _similar(pairs: DataFrame, texts: DataFrame, stats: DataFrame, n: int, num:
     return together.mapInArrow(_verify(num, den), "src long, dst long")
 
 
+def _still_open(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """(key, id, rank, component) of the members from rank turn on, of the buckets in which these are of several components."""
+    inside = members.where(F.col("rank") >= turn).join(found, "id", "left").select("key", "id", "rank", F.coalesce("component", "id").alias("component"))
+    open_keys = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return inside.join(open_keys, "key", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, n_shingles (long, the size of its set), class_id (smallest id with an equal set),
     component_id (smallest id that links reach, itself included).
@@ -204,17 +220,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     unequal = texts.where("id is not null").join(checked_broadcast(copies), "id", "left_anti")
     keys = unequal.mapInArrow(_keys(n, num, den), "key long, id long")
     bucket = Window.partitionBy("key")
-    members = cut(keys.select("key", "id", F.min("id").over(bucket).alias("pivot"), F.max("id").over(bucket).alias("most")).where("pivot < most").select("key", "id", "pivot"))
-    stars = members.where("id > pivot").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()
+    ranked = keys.select("key", "id", F.count(F.lit(1)).over(bucket).alias("n"), F.min("id").over(bucket).alias("pivot"), (F.row_number().over(bucket.orderBy("id")) - 1).alias("rank"))
+    members = cut(ranked.where("n > 1").select("key", "id", "pivot", "rank"))
+    stars = members.where("rank > 0").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()
     links = cut(_similar(stars, texts, first, n, num, den))
     found = cut(connected_components(links))
-    inside = members.join(found, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("component"))
-    open_keys = inside.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b and n > 2").select("key")
-    rest = cut(inside.where("id <> pivot").join(open_keys, "key", "left_semi"))
-    a, b = rest.alias("a"), rest.alias("b")
-    across = a.join(b, F.expr("a.key = b.key and a.id < b.id and a.component <> b.component")).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
-    if rest.limit(1).count():
-        links = links.unionByName(cut(_similar(across, texts, first, n, num, den)))
+    for turn in range(1, PIVOTS + 1):
+        rest = cut(_still_open(members, found, turn).join(first.select("id", *MEASURES), "id"))
+        if not rest.limit(1).count():
+            break
+        a, b = rest.alias("a"), rest.alias("b")
+        by = F.expr("a.key = b.key and a.rank < b.rank and a.component <> b.component") & _may_be_similar(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), num, den)
+        across = (a.where(f"a.rank = {turn}") if turn < PIVOTS else a).join(b, by).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+        links = cut(links.unionByName(_similar(across, texts, first, n, num, den)))
         found = cut(connected_components(links))
     return told.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select(F.col("id").alias(id_col), "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
