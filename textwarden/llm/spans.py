@@ -8,15 +8,15 @@ from pyspark.sql.window import Window
 
 
 def repeats(pieces: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The pieces whose key occurs more than once, with is_first: whether it is the least of its key in the order.
+    """The pieces whose key occurs at more than one place (a place is what the order says), with is_first: whether it is its key's first.
 
     One shuffle of narrow rows by key, then a sort that spills; a frequent key's rows stream through one task. Each
     document adds rows to many keys, so that even a key that a third of all documents hold is a small share of the rows.
     """
     at = Window.partitionBy(*key)
     place = F.struct(*order)
-    told = pieces.select("*", F.count(F.lit(1)).over(at).alias("__n"), F.min(place).over(at).alias("__first"))
-    return told.where("__n > 1").select(*pieces.columns, (F.col("__first") == place).alias("is_first"))
+    told = pieces.select("*", F.min(place).over(at).alias("__first"), F.max(place).over(at).alias("__last"))
+    return told.where("__first < __last").select(*pieces.columns, (F.col("__first") == place).alias("is_first"))
 
 
 def union_spans(pieces: DataFrame, of: list[str], least: int = 1) -> DataFrame:

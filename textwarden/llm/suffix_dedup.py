@@ -5,10 +5,11 @@ text alone makes, so equal passages keep equal suffixes. The suffixes are sorted
 words; equal neighbours are candidates. A run of at least `length` words that two places share has its first
 minimiser within the first `window` grams, so its suffix there shares T words: no run is missed.
 
-Then matches are extended. To the right: candidates are sorted again by their first `length` words. To the left: where
-that fails, or where nothing marked covers the words just before, the windows of `length` words beginning 1 .. window - 1 words
-before are compared too. What is marked is exactly the set of words that lie in some `length`-word window occurring at
-least twice; within a document, marked windows unite to spans.
+Then matches are extended, to the right by comparing the first `length` words of all candidates. To the left, candidates are
+compared by the windows of `length` words beginning 1 .. window - 1 words before them, except where all places that share
+a suffix go on alike on both sides, as the places inside a long match do: those windows add nothing there. What is
+marked covers exactly the words that lie in some `length`-word window occurring at least twice; within a document, marked
+windows unite to spans.
 """
 
 from __future__ import annotations
@@ -121,19 +122,20 @@ def repeated_windows(docs: DataFrame, length: int = 50, window: int = 16) -> Dat
     take no part; of rows with equal doc_id, windows of either text count, at that doc_id.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    found = cut(repeats(texts.mapInArrow(_suffixes(length, window), SHAPE), ["key"], ["doc", "pos"]).select("doc", "pos"))
-    spots = cut(found.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("spots")))
+    first = length - window + 1
+    found = cut(repeats(texts.mapInArrow(_suffixes(length, window), SHAPE), ["key"], ["doc", "pos"]).select("key", "doc", "pos").distinct())
+    spots = cut(found.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("spots")))
     at_spots = texts.join(checked_broadcast(spots, 20_000), "doc").select("doc", "text", "spots")
-    right = cut(repeats(at_spots.mapInArrow(_extended(length, window, False), SHAPE), ["key"], ["doc", "pos"]).select("doc", "pos", "is_first"))
-    # the left side is looked at where a spot is unmarked, or where marks do not cover all words in reach before it
-    marked = right.select("doc", "pos").distinct().withColumn("mark", F.lit(True))
-    each = spots.select("doc", F.explode("spots").alias("pos")).join(marked, ["doc", "pos"], "left")
-    earlier = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.select("doc", "pos", "mark", F.max(F.when(F.col("mark"), F.col("pos"))).over(earlier).alias("last"))
-    begins = F.col("mark") & (F.col("last").isNull() | (F.col("pos") - F.col("last") > length))
-    each = each.select("doc", "pos", "mark", "last", F.max(F.when(begins, F.col("pos"))).over(earlier).alias("chain"))
-    covered = F.col("mark") & (F.col("last") + length >= F.col("pos")) & (F.col("chain") <= F.col("pos") - (window - 1))
-    need = each.where(~F.coalesce(covered, F.lit(False)))
+    whole = cut(at_spots.mapInArrow(_extended(length, window, False), SHAPE).distinct())
+    right = repeats(whole, ["key"], ["doc", "pos"]).select("doc", "pos", "is_first")
+    # A suffix is settled if all places that share it go on alike, for a whole window to the right, and by the same suffix to the left.
+    by = Window.partitionBy("doc").orderBy("pos")
+    members = found.withColumn("before", F.lag("key").over(by)).withColumn("gap", F.col("pos") - F.lag("pos").over(by)).join(whole.withColumnRenamed("key", "ahead"), ["doc", "pos"], "left")
+    alike = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
+    told = cut(members.groupBy("key").agg(F.count("*").alias("n"), (alike("ahead") & alike("before") & alike("gap") & (F.max("gap") <= first)).alias("alike"), F.min("before").alias("before")))
+    left_of = told.select(F.col("key").alias("before"), F.col("n").alias("n_before"))
+    open_keys = told.join(left_of, "before", "left").where(~F.coalesce(F.col("alike") & (F.col("n") == F.col("n_before")), F.lit(False))).select("key")
+    need = found.join(open_keys, "key", "left_semi")
     need = cut(need.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("spots")))
     at_need = texts.join(checked_broadcast(need, 20_000), "doc").select("doc", "text", "spots")
     left = repeats(at_need.mapInArrow(_extended(length, window, True), SHAPE), ["key"], ["doc", "pos"]).select("doc", "pos", "is_first")
