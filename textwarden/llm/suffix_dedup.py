@@ -6,9 +6,8 @@ words; equal neighbours are candidates. A run of at least `length` words that tw
 minimiser within the first `window` grams, so its suffix there shares T words: no run is missed.
 
 Then matches are extended, to the right by comparing the first `length` words of all candidates. To the left, candidates are
-compared by the windows of `length` words beginning 1 .. window - 1 words before them, except where all places that share
-a suffix go on alike on both sides, as the places inside a long match do: those windows add nothing there. What is
-marked covers exactly the words that lie in some `length`-word window occurring at least twice; within a document, marked
+compared by the windows of `length` words beginning 1 .. window - 1 words before them, except inside a long match, where all
+places that share a suffix share its neighbours too: those windows add nothing there. What is marked covers exactly the words that lie in some `length`-word window occurring at least twice; within a document, marked
 windows unite to spans.
 """
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, cut
+from .common import cut
 from .hashing import Words, mix, word_slices
 from .spans import repeats, union_spans
 
@@ -125,19 +124,24 @@ def repeated_windows(docs: DataFrame, length: int = 50, window: int = 16) -> Dat
     first = length - window + 1
     found = cut(repeats(texts.mapInArrow(_suffixes(length, window), SHAPE), ["key"], ["doc", "pos"]).select("key", "doc", "pos").distinct())
     spots = cut(found.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("spots")))
-    at_spots = texts.join(checked_broadcast(spots, 20_000), "doc").select("doc", "text", "spots")
+    at_spots = texts.join(spots, "doc").select("doc", "text", "spots")
     whole = cut(at_spots.mapInArrow(_extended(length, window, False), SHAPE).distinct())
     right = repeats(whole, ["key"], ["doc", "pos"]).select("doc", "pos", "is_first")
-    # A suffix is settled if all places that share it go on alike, for a whole window to the right, and by the same suffix to the left.
+    # All places that share a suffix may share its neighbour too, at the same short distance. Only at a group's first suffix can runs
+    # begin between suffixes, and only at its last can they end before a whole window does.
     by = Window.partitionBy("doc").orderBy("pos")
-    members = found.withColumn("before", F.lag("key").over(by)).withColumn("gap", F.col("pos") - F.lag("pos").over(by)).join(whole.withColumnRenamed("key", "ahead"), ["doc", "pos"], "left")
+    beside = lambda at, name: {name: at("key", 1).over(by), f"{name}_gap": F.abs(F.col("pos") - at("pos", 1).over(by))}
+    members = found.withColumns(beside(F.lag, "before") | beside(F.lead, "after")).join(whole.withColumnRenamed("key", "ahead"), ["doc", "pos"], "left")
     alike = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
-    told = cut(members.groupBy("key").agg(F.count("*").alias("n"), (alike("ahead") & alike("before") & alike("gap") & (F.max("gap") <= first)).alias("alike"), F.min("before").alias("before")))
-    left_of = told.select(F.col("key").alias("before"), F.col("n").alias("n_before"))
-    open_keys = told.join(left_of, "before", "left").where(~F.coalesce(F.col("alike") & (F.col("n") == F.col("n_before")), F.lit(False))).select("key")
-    need = found.join(open_keys, "key", "left_semi")
+    one = lambda name: F.when(alike(name) & alike(f"{name}_gap") & (F.max(f"{name}_gap") <= first), F.min(name)).alias(name)
+    told = cut(members.groupBy("key").agg(F.count("*").alias("n"), alike("ahead").alias("ahead"), one("before"), one("after")))
+    sizes = lambda name: told.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"))
+    told = told.join(sizes("before"), "before", "left").join(sizes("after"), "after", "left")
+    begins = ~F.coalesce(F.col("n") == F.col("n_before"), F.lit(False))
+    ends = ~F.col("ahead") & ~F.coalesce(F.col("n") == F.col("n_after"), F.lit(False))
+    need = found.join(told.where(begins | ends).select("key"), "key", "left_semi")
     need = cut(need.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("spots")))
-    at_need = texts.join(checked_broadcast(need, 20_000), "doc").select("doc", "text", "spots")
+    at_need = texts.join(need, "doc").select("doc", "text", "spots")
     left = repeats(at_need.mapInArrow(_extended(length, window, True), SHAPE), ["key"], ["doc", "pos"]).select("doc", "pos", "is_first")
     return right.unionByName(left).groupBy("doc", "pos").agg(F.min("is_first").alias("is_first")).withColumnRenamed("doc", "doc_id")
 
