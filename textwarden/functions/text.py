@@ -1,11 +1,10 @@
 """Scalar functions on text, as Column -> Column, of built-in functions only unless said otherwise."""
 
-from __future__ import annotations
-
 import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +44,6 @@ def normalize(text: Column, leet: bool = False) -> Column:
 
 def normalize_exact(leet: bool = False):
     """normalize with the full Unicode decomposition, as a Pandas UDF; for texts beyond Latin scripts."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         t = texts.str.normalize("NFKD").map(lambda x: None if x is None else "".join(c for c in x if not unicodedata.combining(c)))

@@ -80,28 +80,27 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / length)
 
 
-def sparse_dot(a: Column, b: Column) -> Column:
-    """Inner product of two maps from terms to weights."""
-    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
-
-
-def leaders(ranked: Column, threshold: float) -> Column:
-    """Those of a ranked array of structs with a map `v` that are within the threshold of no kept one before them: near-duplicate removal."""
-    first = F.slice(ranked, 1, 0)
-    return F.aggregate(ranked, first, lambda kept, x: F.when(F.exists(kept, lambda y: sparse_dot(x["v"], y["v"]) > threshold), kept).otherwise(F.concat(kept, F.array(x))))
-
-
-def clusters(ranked: Column, threshold: float) -> Column:
-    """For each of a ranked array of structs with a map `v`, the place of the first cluster leader that is at least so near; its own place if none."""
-    places = F.aggregate(
-        ranked,
-        F.array().cast("array<int>"),
-        lambda done, x: F.concat(
-            done,
-            F.array(F.coalesce(
-                F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size(done) - 1, F.lit(0))), lambda i: (i < F.size(done)) & (F.get(done, i) == i) & (sparse_dot(F.get(ranked, i)["v"], x["v"]) >= threshold)), 0),
-                F.size(done),
-            )),
-        ),
-    )
-    return places
+def near_in_query(candidates: DataFrame, items: DataFrame, above: float, inclusive: bool = False) -> DataFrame:
+    """(query_id, item_id, near): which of a query's other candidates (query_id, item_id) each one resembles, by sparse vectors (id, term, w).
+
+    A join of each query's own candidates on terms: rows grow with the number of queries times the square of what one query keeps.
+    """
+    own = candidates.select("query_id", "item_id").join(items.withColumnRenamed("id", "item_id"), "item_id")
+    a, b = own.alias("a"), own.alias("b")
+    sims = a.join(b, F.expr("a.query_id = b.query_id and a.term = b.term and a.item_id <> b.item_id")).groupBy("a.query_id", F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("sim"))
+    return sims.where(F.col("sim") >= above if inclusive else F.col("sim") > above).groupBy("query_id", "item_id").agg(F.collect_list("other").alias("near"))
+
+
+def leaders(ranked: Column) -> Column:
+    """Those of a ranked array of structs (item_id, near, ...) that are near no kept one before them: near-duplicate removal."""
+    return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: F.array_contains(x["near"], y["item_id"])), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+def clusters(ranked: Column) -> Column:
+    """For each of a ranked array of structs (item_id, near, ...), the place of the first cluster leader that it is near; its own place if none."""
+
+    def leader(done: Column, x: Column) -> Column:
+        fits = F.filter(F.sequence(F.lit(0), F.greatest(F.size(done) - 1, F.lit(0))), lambda i: (i < F.size(done)) & (F.get(done, i) == i) & F.array_contains(x["near"], F.get(ranked, i)["item_id"]))
+        return F.coalesce(F.get(fits, 0), F.size(done))
+
+    return F.aggregate(ranked, F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array(leader(done, x))))

@@ -123,7 +123,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as verdict events, several an order: run_id, verdict, reviewer, at."""
     li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 and l_quantity > 20")
-    return li.select(F.col("l_orderkey").alias("run_id"), pick(["correct", "wrong", "should_block", "over_flagged"], F.col("l_partkey") % 4).alias("verdict"), F.concat(F.lit("r"), (F.col("l_suppkey") % 5).cast("string")).alias("reviewer"), (F.col("l_linenumber") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("bigint").alias("at"))
+    return li.select(F.col("l_orderkey").alias("run_id"), pick(["correct", "wrong", "should_block", "over_flagged"], F.col("l_partkey") % 4).alias("verdict"), F.concat(F.lit("r"), (F.col("l_suppkey") % 5).cast("string")).alias("reviewer"), (F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("bigint").alias("at"))
 
 
 REVIEWS = """reviews AS (

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import job_queries, text_queries
+from .plans import job_queries, risk_queries, text_queries
 
-MODULES = [text_queries, job_queries]
+MODULES = [risk_queries, text_queries, job_queries]
 QUERIES: dict = {}
 SQL: dict = {}
 for _module in MODULES:

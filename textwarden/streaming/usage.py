@@ -68,7 +68,7 @@ def attempts(requests: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """What a stream yields on all input there is now, through a memory table; for queries and tests."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """What a stream yields on all input there is now, in one batch, through a memory table; for queries and tests. (With processing-time timeouts, availableNow would go on with empty batches.)"""
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(once=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
