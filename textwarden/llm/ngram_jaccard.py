@@ -8,7 +8,8 @@ most D = (den - num)(a + b) / (den + num) elements, a and b being their sizes. S
   difference. With K = D + 1 + z blocks, similar sets agree in more than z symbols (pigeonhole), so in one that is not
   empty unless both sets leave more than z blocks empty. Sets that do are sketched again under other seeds, and if all
   seeds fail, their empty symbols are keys too: no pair is lost.
-* a parity bit sketch of 512 bits, whose Hamming distance is at most the symmetric difference as well; it discards pairs.
+* parity bit sketches of 512 bits, and of at least two bits an element, whose Hamming distances are at most the symmetric difference
+  as well; they discard pairs before any set is shipped, so that long texts with passages in common cost little.
 
 D and K belong to size bands, so wide that a partner's size is in the same band or the one below; each set has keys in its
 own band and the next. Equal sets are merged first. In a bucket of equal keys, each set is tried against the bucket's
@@ -100,19 +101,42 @@ class Bands:
         return out
 
 
+def _wide(own: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set with at least two bits an element, a power of two of them, packed."""
+    bits = max(512, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 512
+    return np.packbits((np.bincount((mix(own, 6) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def _near(num: int, den: int):
+    """Of rows (src, dst, m, n, a, b) the pairs whose wide sketches a and b, the longer one folded by XOR, are not too far apart."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for m, n, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = sorted((np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (a, b)), key=len)
+                apart = int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+                keep.append(apart * (den + num) <= (m + n) * (den - num))
+            chosen = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["src", "dst"])
+
+    return run
+
+
 def _stats(n: int):
     def run(batches):
         for batch in batches:
-            size, a, b, sketch = [], [], [], []
+            size, a, b, sketch, wide = [], [], [], [], []
             for own in sets_of(batch.column(1), n):
                 size.append(len(own))
                 a.append(mix(own, 3).sum(dtype=np.uint64))
                 b.append(mix(own, 4).sum(dtype=np.uint64))
                 bits = np.bincount((mix(own, 5) & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
                 sketch.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                wide.append(_wide(own).tobytes())
             longs = np.array(sketch, dtype=np.int64).reshape(-1, SKETCH_LONGS)
             columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(longs[:, k])) for k in range(SKETCH_LONGS)], STATS_NAMES)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(longs[:, k])) for k in range(SKETCH_LONGS)] + [pa.array(wide, pa.binary())], [*STATS_NAMES, "wide"])
 
     return run
 
@@ -185,6 +209,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, stats: DataFrame, n: int, num:
     side = lambda p: stats.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in MEASURES))
     near = _may_be_similar(lambda c: F.col(f"src_{c}"), lambda c: F.col(f"dst_{c}"), num, den)
     pairs = cut(pairs.join(side("src"), "src").join(side("dst"), "dst").where(near).select("src", "dst"))
+    wide = lambda p, size, sketch: stats.select(F.col("id").alias(p), F.col("n_shingles").alias(size), F.col("wide").alias(sketch))
+    pairs = pairs.join(wide("src", "m", "a"), "src").join(wide("dst", "n", "b"), "dst").select("src", "dst", "m", "n", "a", "b")
+    pairs = cut(pairs.mapInArrow(_near(num, den), "src long, dst long"))
     salts = pairs.groupBy("src").agg(F.count("*").alias("n")).select("src", F.ceil(F.col("n") / EDGES_PER_SALT).cast("int").alias("salts"))
     needed = cut(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct())
     sets = cut(texts.join(checked_broadcast(needed), "id", "left_semi").mapInArrow(_sets(n), "id long, elements binary"))
@@ -211,7 +238,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links to one of them links to all. A row whose id is null is its own class, with null component. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stats = cut(texts.mapInArrow(_stats(n), "id long, n_shingles long, digest_a long, digest_b long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS))))
+    stats = cut(texts.mapInArrow(_stats(n), "id long, n_shingles long, digest_a long, digest_b long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS)) + ", wide binary"))
     content = ["n_shingles", "digest_a", "digest_b"]
     classes = stats.where("n_shingles > 0").groupBy(content).agg(F.min("id").alias("class_id"))
     told = cut(stats.join(classes, content, "left").select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")))
