@@ -252,6 +252,9 @@ _BOOSTS = " ".join(f"WHEN {sql_text(k)} THEN {v}" for k, v in L.TRUST_BOOST.item
 _RANKS = " ".join(f"WHEN {sql_text(k)} THEN {v}" for k, v in L.TRUST_RANK.items())
 SQL = {
     "risk_overview": f"{_SCAN} SELECT band, action, count(*) AS n, floor(avg(risk_score) * 1000000 + 0.5) / 1000000 AS mean_score FROM t1 GROUP BY band, action",
+    "tier1_scan": f"""{_SCAN} SELECT run_id, risk_score, floor(weighted * 10 + 0.5) / 10 AS weighted, band, action, band <> 'normal' AS strict_mode, CASE WHEN action = 'block' THEN 'blocked' ELSE 'rewrite' END AS route,
+  CASE WHEN band = 'high_risk' THEN 'block' ELSE action END AS effective_action,
+  concat_ws(',', CASE WHEN inj > 0 THEN 'injection=' || floor(inj * 100 + 0.5) / 100 END, CASE WHEN pii > 0 THEN 'pii=' || floor(pii * 100 + 0.5) / 100 END, CASE WHEN usage > 0 THEN 'usage_guard=' || floor(usage * 100 + 0.5) / 100 END) AS reasons FROM t1""",
     "tfidf_vocab": f"{_TFIDF} SELECT term, df, floor(idf * 1000000 + 0.5) / 1000000 AS idf FROM vocab",
     "tfidf_topk": f"{_TFIDF}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id)::INT AS rank FROM sims) SELECT query_id, item_id, rank, floor(sim * 1000000 + 0.5) / 1000000 AS sim FROM r WHERE rank <= 3",
     "unsafe_intent": f"""{_SIDES}, b AS (SELECT *, (CASE WHEN u < 0.16 THEN 0 WHEN s >= u THEN 0.1 WHEN u - s >= 0.1 AND u >= 0.3 THEN 0.85 WHEN u - s >= 0.04 THEN 0.6 ELSE 0.4 END)::DOUBLE AS base, CASE WHEN u >= 0.16 AND s < u THEN category END AS kind FROM sides),
