@@ -113,6 +113,22 @@ def test_chunks(docs, empty):
     assert chunk_dedup.repeated_spans(empty).count() == 0
 
 
+def test_chunks_of_short_words_and_short_copies(spark):
+    """Passages of 51 short words, and copies of a few bytes, are found."""
+    r = random.Random(8)
+    some = lambda n, most: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, most))) for _ in range(n))
+    rows = []
+    for k in range(100):
+        passage = some(51, 3 if k % 2 else 5)
+        rows += [(2 * k, f"{some(40, 9)} {passage} {some(30, 9)}"), (2 * k + 1, f"{some(25, 9)} {passage} {some(35, 9)}")]
+    rows += [(300, "short copy"), (301, "short copy"), (302, "x"), (303, "x"), (304, "short alone"), (305, "ab cd"), (305, "ab cd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in chunk_dedup.repeated_spans(df).collect()}
+    assert set(got) == {*range(200), 300, 301, 302, 303}
+    assert got[301]["removable"] == [(0, 10)] and got[300]["n_removable"] == 0 and got[303]["n_removable"] == 1
+    assert {x["doc_id"]: x["text"] for x in chunk_dedup.dedup_substrings(df).where("doc_id >= 300").collect()} == {301: "", 303: ""}
+
+
 def test_gear_hash():
     data = np.frombuffer(prose(random.Random(1), 60).encode(), dtype=np.uint8)
     h, want = 0, []

@@ -1,9 +1,10 @@
 """Substring dedup with content-defined chunks.
 
-A gear hash rolls over the bytes: h = 2 h + G[byte] modulo 2**32, so it depends on the last 32 bytes alone. A chunk ends where the
-hash is the largest within `reach` bytes on both sides, never inside a UTF-8 character. Boundaries thus depend on
+A gear hash rolls over the bytes: h = 2 h + G[byte] modulo 2**32, whose lower half depends on the last 16 bytes alone. A chunk ends where
+that half is the largest within `reach` bytes on both sides, never inside a UTF-8 character. Boundaries thus depend on
 nearby bytes only: an insertion shifts the chunks behind it without changing them. Chunks are grouped by a 128-bit digest;
-repeated chunks that touch unite to spans, and spans of at least `least` bytes count.
+repeated chunks that touch unite to spans. Spans of some words or bytes count, and copies of whole texts. The chunks are small and the
+words few, so that what a shared run of 50 words loses at its ends leaves a span that counts.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .hashing import _BASE, _BYTE_VALUES, _INVERSE, _power, mix, raw_slices
+from .hashing import _BASE, _BYTE_VALUES, _INVERSE, SPACES, _power, mix, raw_slices
 from .spans import repeats, union_spans
 
 GEAR = (_BYTE_VALUES >> np.uint64(13)).astype(np.uint32)
 WINDOW = 32
+#: How many of the last bytes the lower half of the hash depends on.
+SEEN = 16
+#: Bytes from which a span of fewer words counts, as texts without spaces have.
+FEW_WORDS_LEAST = 160
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -47,13 +52,13 @@ def boundaries(data: np.ndarray, rows: np.ndarray, reach: int) -> np.ndarray:
     """Sorted offsets at which chunks begin or end; each row's start and the end of the data are among them."""
     if not len(data):
         return np.unique(rows)
-    h = gear_hashes(data)
+    h = gear_hashes(data) << np.uint32(WINDOW - SEEN)
     follows = np.zeros(len(data), dtype=bool)
     follows[:-1] = (data[1:] & 0xC0) == 0x80
     h[follows] = 0
     # hashes that reach over a row's start are not a matter of its text
     starts = rows[:-1]
-    near = (starts[:, None] + np.arange(WINDOW - 1)[None, :]).ravel()
+    near = (starts[:, None] + np.arange(SEEN - 1)[None, :]).ravel()
     near = near[near < len(data)]
     h[near] = 0
     top = (h == _sliding_max(h, reach)) & (h > 0)
@@ -75,27 +80,42 @@ def _chunks(reach: int):
                 for seed in (1, 2):
                     values = _BYTE_VALUES if seed == 1 else mix(_BYTE_VALUES, 41)
                     digests.append(mix(np.add.reduceat(values[data] * _power(_BASE, len(data)), begin) * back + size, seed))
+                words = np.add.reduceat(SPACES[data].astype(np.int64), begin)
                 row = np.searchsorted(rows, begin, "right") - 1
-                yield pa.RecordBatch.from_arrays([*(pa.array(d.view(np.int64)) for d in digests), pa.array(ids[row0 + row]), pa.array((begin - rows[row]).astype(np.int64)), pa.array((end - rows[row]).astype(np.int64))], ["key", "check", "doc", "start", "end"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(d.view(np.int64)) for d in digests), pa.array(ids[row0 + row]), pa.array((begin - rows[row]).astype(np.int64)), pa.array((end - rows[row]).astype(np.int64)), pa.array(words)], ["key", "check", "doc", "start", "end", "words"])
 
     return run
 
 
-def repeated_chunks(docs: DataFrame, reach: int = 24) -> DataFrame:
-    """(doc, start, end, is_first): the chunks of docs (doc_id, text), in bytes, that occur more than once; is_first marks the first by doc_id and
-    place. Null texts have no chunks and rows with a null doc_id take no part; of rows with equal doc_id, either text's chunks count."""
+def repeated_chunks(docs: DataFrame, reach: int = 10) -> DataFrame:
+    """(doc, start, end, words, is_first): the chunks of docs (doc_id, text), in bytes, that occur more than once; words counts their spaces, and
+    is_first marks the first by doc_id and place. Null texts have no chunks and rows with a null doc_id take no part; of rows with equal doc_id, either text's chunks count."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    pieces = texts.mapInArrow(_chunks(reach), "key long, check long, doc long, start long, end long")
-    return repeats(pieces, ["key", "check"], ["doc", "start"]).select("doc", "start", "end", "is_first")
+    pieces = texts.mapInArrow(_chunks(reach), "key long, check long, doc long, start long, end long, words long")
+    return repeats(pieces, ["key", "check"], ["doc", "start"]).select("doc", "start", "end", "words", "is_first")
 
 
-def repeated_spans(docs: DataFrame, reach: int = 24, least: int = 160) -> DataFrame:
-    """One row per doc_id with a repeated span of at least `least` bytes: doc_id, n_repeated and n_removable (bytes), repeated and removable
-    (arrays of [start, end) byte offsets in the UTF-8 text). Removable spans consist of chunks that occur earlier."""
+def repeated_spans(docs: DataFrame, reach: int = 10, least: int | None = None, words: int = 12) -> DataFrame:
+    """One row per doc_id with a repeated span: doc_id, n_repeated and n_removable (bytes), repeated and removable
+    (arrays of [start, end) byte offsets in the UTF-8 text). Removable spans consist of chunks that occur earlier.
+
+    A span counts if it has at least `words` spaces or FEW_WORDS_LEAST bytes, or is a whole text, however short, that is another document's too. If `least` is given, all spans of
+    at least so many bytes count instead, and no others."""
     found = cut(repeated_chunks(docs, reach).withColumnRenamed("doc", "doc_id"))
-    spans = lambda t: union_spans(t, ["doc_id"], least).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    every = spans(found).withColumnRenamed("n", "n_repeated").withColumnRenamed("spans", "repeated")
-    later = spans(found.where("not is_first")).withColumnRenamed("n", "n_removable").withColumnRenamed("spans", "removable")
+    short = docs.where("doc_id is not null and octet_length(text) > 0").where(F.octet_length("text") < FEW_WORDS_LEAST)
+    short = short.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"), F.md5("text").alias("digest"))
+    copies = cut(repeats(short, ["digest"], ["doc_id"]).drop("digest")) if least is None else None
+
+    def counting(which: str) -> DataFrame:
+        if least is not None:
+            return union_spans(found.where(which), ["doc_id"], least)
+        united = union_spans(found.where(which), ["doc_id"], total="words")
+        enough = united.where((F.col("words") >= words) | (F.col("end") - F.col("start") >= FEW_WORDS_LEAST))
+        return union_spans(enough.drop("words").unionByName(copies.where(which).drop("is_first")), ["doc_id"])
+
+    spans = lambda which: counting(which).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    every = spans("true").withColumnRenamed("n", "n_repeated").withColumnRenamed("spans", "repeated")
+    later = spans("not is_first").withColumnRenamed("n", "n_removable").withColumnRenamed("spans", "removable")
     out = every.join(later, "doc_id", "left")
     return out.select("doc_id", "n_repeated", F.coalesce("n_removable", F.lit(0)).alias("n_removable"), "repeated", F.coalesce("removable", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removable"))
 
@@ -115,7 +135,7 @@ def _cut_out():
     return run
 
 
-def dedup_substrings(docs: DataFrame, reach: int = 24, least: int = 160) -> DataFrame:
+def dedup_substrings(docs: DataFrame, reach: int = 10, least: int | None = None, words: int = 12) -> DataFrame:
     """(doc_id, text) of the documents that have removable spans, with these cut out. Other documents stay as they are and have no row."""
-    spans = repeated_spans(docs, reach, least).where("n_removable > 0").select("doc_id", "removable")
+    spans = repeated_spans(docs, reach, least, words).where("n_removable > 0").select("doc_id", "removable")
     return docs.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_cut_out(), "doc_id long, text string")

@@ -19,10 +19,14 @@ def repeats(pieces: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return told.where("__first < __last").select(*pieces.columns, (F.col("__first") == place).alias("is_first"))
 
 
-def union_spans(pieces: DataFrame, of: list[str], least: int = 1) -> DataFrame:
-    """(*of, start, end): the unions of overlapping or touching spans [start, end), those of at least that length."""
+def union_spans(pieces: DataFrame, of: list[str], least: int = 1, total: str | None = None) -> DataFrame:
+    """(*of, start, end): the unions of overlapping or touching spans [start, end), those of at least that length.
+
+    total names a column of the pieces whose sum is added; a piece that ends no later than an earlier one adds nothing."""
     by = Window.partitionBy(*of).orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    begins = pieces.select(*of, "start", "end", F.when(F.col("start") <= before, 0).otherwise(1).alias("begins"))
-    islands = begins.select(*of, "start", "end", F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
-    return islands.groupBy(*of, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") >= least).drop("island")
+    added = [F.when(F.col("end") <= before, 0).otherwise(F.col(total)).alias(total)] if total else []
+    begins = pieces.select(*of, "start", "end", *added, F.when(F.col("start") <= before, 0).otherwise(1).alias("begins"))
+    islands = begins.select(*of, "start", "end", *([total] if total else []), F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    sums = [F.sum(total).alias(total)] if total else []
+    return islands.groupBy(*of, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *sums).where(F.col("end") - F.col("start") >= least).drop("island")
