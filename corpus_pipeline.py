@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that repeat earlier ones; a document of which nothing is left goes."""
-    left = line_dedup.dedup_lines(docs)
+    """Documents without the runs of two lines or more that occur earlier; a document of which nothing is left goes."""
+    left = line_dedup.dedup_lines(docs, every=None)
     return left.where((F.col("lines_removed") == 0) | (F.trim("text") != "")).drop("lines_removed")
 
 

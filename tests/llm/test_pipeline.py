@@ -1,5 +1,7 @@
 """Queries with SQL against DuckDB, and the pipeline's stages on odd rows and on the smallest tables."""
 
+import random
+
 import pytest
 from oracle import rows_of, sql_rows
 
@@ -23,6 +25,33 @@ def test_stages_take_odd_rows(spark, docs, empty):
                 assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_lines_stage_removes_all_repeated_runs(spark):
+    """Each line in a run of two lines or more that occurs earlier goes, wherever the run begins; single repeated lines stay."""
+    r = random.Random(9)
+    rows = []
+    for k in range(150):
+        own = [f"{k} own line {n} {r.random()}" for n in range(6)]
+        if k:
+            source = r.choice(rows)[1].split("\n")
+            at = r.randrange(len(source))
+            own[r.randrange(6) : 0] = source[at : at + r.randrange(1, 6)]
+        rows.append((k, "\n".join(own)))
+    rows += [(200, rows[0][1]), (201, "one line"), (202, "one line"), (203, ""), (204, "a\na\na"), (205, None), (None, rows[0][1])]
+    seen, want = set(), {}
+    for k, text in rows[:-2]:
+        lines, gone = text.split("\n"), set()
+        for n, pair in enumerate(zip(lines, lines[1:])):
+            gone |= {n, n + 1} if pair in seen else set()
+            seen.add(pair)
+        left = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+        if not gone or left.strip(" "):
+            want[k] = left
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.lines(spark, df, SF).collect()
+    assert {x["doc_id"]: x["text"] for x in got if x["doc_id"] is not None and x["text"] is not None} == want and 200 not in want and want[204] == "a"
+    assert len(got) == len(want) + 2
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r["words"] <= r["size"] and r["taken"] <= 3 * r["size"] for r in rows)

@@ -3,7 +3,9 @@
 A rolling hash over the hashes of two neighbouring lines ends a chunk wherever it is divisible by `every`, so boundaries
 depend on nearby lines only and survive lines inserted elsewhere. Chunks of at least `min_lines` lines are grouped by
 digest (combined before the shuffle); of each repeated chunk the first occurrence, by doc_id, text hash and position,
-stays. The others go after their bytes have been compared with the first occurrence's.
+stays. The others go after their bytes have been compared with the first occurrence's. Chunks of a single line stay, and so do runs
+that chunk boundaries cut up. With `every` None there are no chunks: every window of `min_lines` lines is looked up, so that exactly the
+lines in runs of that length which occur earlier go.
 """
 
 from __future__ import annotations
@@ -27,30 +29,51 @@ def chunk_spans(lines: Column, every: int) -> Column:
     return once(codes, lambda c: once(ends(c), spans))
 
 
+def window_spans(lines: Column, size: int) -> Column:
+    """array<struct<from, to>> of 1-based line numbers: all windows of so many lines."""
+    begins = F.when(F.size(lines) >= size, F.sequence(F.lit(1), F.size(lines) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(begins, lambda i: F.struct(i.alias("from"), (i + (size - 1)).alias("to")))
+
+
+def spans_of(lines: Column, every: int | None, min_lines: int) -> Column:
+    return window_spans(lines, min_lines) if every is None else chunk_spans(lines, every)
+
+
+def kept_spans(lines: Column, gone: Column, every: int | None, min_lines: int) -> Column:
+    """The chunks, or for windows the lines, that stay when the chunks or windows numbered in gone go."""
+    if every is not None:
+        return F.filter(F.transform(chunk_spans(lines, every), lambda s, k: F.when(~F.array_contains(gone, k), s)), lambda s: s.isNotNull())
+    out = F.array_distinct(F.flatten(F.transform(gone, lambda k: F.sequence(k + 1, k + min_lines))))
+    stay = F.array_except(F.sequence(F.lit(1), F.size(lines)), out)
+    return F.transform(stay, lambda i: F.struct(i.alias("from"), i.alias("to")))
+
+
 def chunk_text(lines: Column, span: Column) -> Column:
     return F.array_join(F.slice(lines, span["from"], span["to"] - span["from"] + 1), "\n")
 
 
-def removals(docs: DataFrame, every: int = 3, min_lines: int = 2) -> DataFrame:
-    """(doc_id, text_hash, gone array<int>): which chunks, from 0, of which documents (doc_id, text) repeat an earlier one."""
+def removals(docs: DataFrame, every: int | None = 3, min_lines: int = 2) -> DataFrame:
+    """(doc_id, text_hash, gone array<int>): which chunks (or windows), from 0, of which documents (doc_id, text) repeat an earlier one."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
-    texts = texts.select("*", chunk_spans(F.col("lines"), every).alias("spans"))
+    texts = texts.select("*", spans_of(F.col("lines"), every, min_lines).alias("spans"))
     told = F.filter(F.transform("spans", lambda s, k: F.struct(k.alias("pos"), (s["to"] - s["from"] + 1).alias("n"), s.alias("span"))), lambda x: x["n"] >= min_lines)
-    each = texts.select("doc_id", "text_hash", "lines", F.explode(told).alias("c")).select("doc_id", "text_hash", "c.pos", F.unhex(F.md5(chunk_text(F.col("lines"), F.col("c.span")))).alias("digest"))
+    digests = F.transform(told, lambda x: F.struct(x["pos"].alias("pos"), F.unhex(F.md5(chunk_text(F.col("lines"), x["span"]))).alias("digest")))
+    each = texts.select("doc_id", "text_hash", F.explode(digests).alias("c")).select("doc_id", "text_hash", "c.*")
     each = cut(each)
     repeated = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")).where("n > 1").select("digest", "first")
     repeated = cut(repeated)
     wanted = each.join(checked_broadcast(repeated), "digest").select("doc_id", "text_hash", "pos", "digest", F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")).alias("is_first")).distinct()
     wanted = cut(wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "digest", "is_first")).alias("wanted")))
-    shown = texts.join(checked_broadcast(wanted, 50_000), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "lines", "spans", F.explode("wanted").alias("w"))
-    shown = shown.select("doc_id", "text_hash", "w.*", chunk_text(F.col("lines"), F.get("spans", F.col("w.pos"))).alias("chunk"))
+    shown = texts.join(checked_broadcast(wanted, 50_000), ["doc_id", "text_hash"])
+    told = F.transform("wanted", lambda w: F.struct(w["pos"].alias("pos"), w["digest"].alias("digest"), w["is_first"].alias("is_first"), chunk_text(F.col("lines"), F.get("spans", w["pos"])).alias("chunk")))
+    shown = shown.select("doc_id", "text_hash", F.explode(told).alias("w")).select("doc_id", "text_hash", "w.*")
     first = shown.where("is_first").select("digest", F.col("chunk").alias("first_chunk")).dropDuplicates(["digest"])
     same = shown.where("not is_first").join(first, "digest").where("chunk = first_chunk")
     return same.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, every: int = 3, min_lines: int = 2) -> DataFrame:
-    """docs, each text without the chunks that repeat an earlier one, and lines_removed (long).
+def dedup_lines(docs: DataFrame, every: int | None = 3, min_lines: int = 2) -> DataFrame:
+    """docs, each text without the chunks (every None: the runs of min_lines lines or more) that repeat an earlier one, and lines_removed (long).
 
     n_chars, where docs has it, follows the text. Rows whose text or doc_id is null pass unchanged. Rows that are equal in doc_id and
     text are one document: none of them is the other's repeat. Empty texts have one empty line and no chunk to remove.
@@ -58,9 +81,8 @@ def dedup_lines(docs: DataFrame, every: int = 3, min_lines: int = 2) -> DataFram
     gone = cut(removals(docs.select("doc_id", "text"), every, min_lines)).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash").withColumnRenamed("gone", "gone_chunks")
     columns = docs.columns
     joined = docs.join(checked_broadcast(gone, 50_000), (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left")
-    spanned = joined.select(*(docs[c] for c in columns), "gone_chunks", F.when(F.col("gone_chunks").isNotNull(), chunk_spans(F.split(docs["text"], "\n"), every)).alias("__spans"))
-    kept = F.filter(F.transform("__spans", lambda s, k: F.when(~F.array_contains("gone_chunks", k), s)), lambda s: s.isNotNull())
-    after = spanned.select(*columns, kept.alias("__kept"), F.split("text", "\n").alias("__lines"))
+    spanned = joined.select(*(docs[c] for c in columns), "gone_chunks", F.when(F.col("gone_chunks").isNotNull(), kept_spans(F.split(docs["text"], "\n"), F.col("gone_chunks"), every, min_lines)).alias("__kept"))
+    after = spanned.select(*columns, "__kept", F.split("text", "\n").alias("__lines"))
     changed = F.col("__kept").isNotNull()
     text = F.when(changed, F.array_join(F.transform("__kept", lambda s: chunk_text(F.col("__lines"), s)), "\n")).otherwise(F.col("text"))
     left = F.aggregate("__kept", F.lit(0), lambda n, s: n + s["to"] - s["from"] + 1)
