@@ -32,8 +32,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy of a document that it takes, with the words taken, the shard, and the place in its shuffle."""
-    mixed = mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", F.explode("parts").alias("p"))
-    return docs.join(cut(mixed.select("doc_id", "size", "source_size", "target", "taken", "p.*")), "doc_id")
+    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    mixed = mixing.mix_sources(keyed, row_key="__row").select("__row", "size", "source_size", "target", "taken", F.explode("parts").alias("p"))
+    return keyed.join(cut(mixed.select("__row", "size", "source_size", "target", "taken", "p.*")), "__row").drop("__row")
 
 
 STAGES = [("quality", quality), ("line dedup", lines), ("n-gram Jaccard", near_copies), ("decontamination", benchmark), ("mixing", mix)]

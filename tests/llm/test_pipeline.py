@@ -52,6 +52,18 @@ def test_lines_stage_removes_all_repeated_runs(spark):
     assert len(got) == len(want) + 2
 
 
+def test_mix_keeps_rows_apart(spark):
+    """Rows without a doc_id, and repeated rows, give as many words as the mix takes of them."""
+    rows = [(None, "a b c d", "x"), (None, "e f", "y"), (1, "g h i", "x"), (1, "g h i", "x"), (1, "j k", "y"), (2, "l m n o p", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.mix(spark, df, SF).collect()
+    targets = {x["source"]: x["target"] for x in got}
+    assert set(targets) == {"x", "y", None} and any(x["doc_id"] is None for x in got)
+    for source, target in targets.items():
+        assert abs(sum(x["words"] for x in got if x["source"] == source) - target) <= 1
+    assert all(x["size"] == len(x["text"].split()) for x in got)
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r["words"] <= r["size"] and r["taken"] <= 3 * r["size"] for r in rows)

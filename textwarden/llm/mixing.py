@@ -85,15 +85,17 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     return counts.select("sid", running.alias("ends"))
 
 
-def mix_sources(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mix_sources(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), row_key: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken, and parts, an array of
     (copy, words, shard, place): which of the document's words, how many, go to which shard, and its place's key in the local shuffle.
 
     taken is at most MOST_COPIES times the size, and the words that a source's documents give are its target, rounded. The last part of a
     source may take the first words of one document only. Null texts have size 0 and give nothing; null sources are a source
-    of their own, and sort last; repeated rows are documents of their own, dealt together. Reruns agree.
+    of their own, and sort last; repeated rows are documents of their own, dealt together. Reruns agree. row_key names a column of docs that
+    tells rows apart, by which the result, where it is the first column, can be joined to them: doc_ids may be null or repeat.
     """
-    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    keys = [row_key] if row_key else []
+    sizes = cut(docs.select(*keys, "doc_id", "source", n_words(F.col("text")).alias("size")))
     sources = targets(sizes, weights)
     quota = F.least(F.round("target").cast("long"), MOST_COPIES * F.col("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
@@ -113,14 +115,14 @@ def mix_sources(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: t
     blocks = by_block.join(placed, ["sid", "block"], "left").select("sid", "block", "block_size", "block_part", "shards")
     known = known.join(checked_broadcast(cut(blocks)), ["sid", "block"])
     open_block = (F.col("block_part") > 0) & (F.col("block_part") < F.col("block_size"))
-    gone = F.coalesce(F.sum("size").over(Window.partitionBy("sid", "block").orderBy("h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gone = F.coalesce(F.sum("size").over(Window.partitionBy("sid", "block").orderBy("h", F.col("doc_id").asc_nulls_last(), "size", *keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.greatest(F.lit(0), F.least("size", F.col("block_part") - gone))
     known = known.where(open_block).withColumn("last", last).unionByName(known.where(~open_block).withColumn("last", F.when(F.col("block_part") > 0, F.col("size")).otherwise(F.lit(0))))
     part = lambda copy, words: F.struct(copy.alias("copy"), words.alias("words"), F.element_at("shards", copy).alias("shard"), F.xxhash64(F.lit(seed), F.col("doc_id"), copy).alias("place"))
     none = F.array().cast("array<struct<copy:bigint,words:bigint,shard:int,place:bigint>>")
     full = F.when((F.col("copies") > 0) & (F.col("size") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda c: part(c, F.col("size")))).otherwise(none)
     parts = F.concat(full, F.when(F.col("last") > 0, F.array(part(F.col("copies"), F.col("last")))).otherwise(none))
-    return known.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("last")).alias("taken"), parts.alias("parts"))
+    return known.select(*keys, "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("last")).alias("taken"), parts.alias("parts"))
 
 
 def write_shards(mixed: DataFrame, docs: DataFrame, path: str) -> None:
