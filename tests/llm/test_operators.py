@@ -281,3 +281,41 @@ def test_licences(spark, empty):
 
 def test_words_are_words():
     assert len(WORDS) == len(set(WORDS))
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    """A doc_id with two texts ties what each of them links to."""
+    r = random.Random(3)
+    a, b = prose(r, 60), prose(r, 60)
+    rows = [(1, a), (2, b), (5, a), (5, b + " more"), (6, prose(r, 50)), (5, None)]
+    got = {(x["doc_id"], x["component_id"]) for x in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, 1), (2, 1), (6, 6)} <= got and {c for i, c in got if i == 5} == {1}
+
+
+def test_jaccard_against_passages_that_many_share(spark):
+    """Documents that share most of a passage but not enough, and near copies among them, are told apart exactly."""
+    r = random.Random(12)
+    passage, rows = prose(r, 30).split(), []
+    for k in range(120):
+        own = prose(r, r.choice([4, 8, 20, 60])).split()
+        rows.append((3 * k, " ".join([*own, *passage])))
+        if k % 3 == 0:
+            own[r.randrange(len(own))] = "changed"
+            rows.append((3 * k + 1, " ".join([*own, *passage])))
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert links and {x["doc_id"]: x["component_id"] for x in got} == want
+
+
+def test_tables_on_the_way_are_deleted(spark, docs):
+    import os
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/textwarden".removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = ngram_jaccard.jaccard_components(docs)
+    assert len(set(os.listdir(folder)) - before) == 1 and out.count() == len(TEXTS)

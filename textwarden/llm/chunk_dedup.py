@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scoped
 from .hashing import _BASE, _BYTE_VALUES, _INVERSE, SPACES, _power, mix, raw_slices
 from .spans import repeats, union_spans
 
@@ -95,6 +95,7 @@ def repeated_chunks(docs: DataFrame, reach: int = 10) -> DataFrame:
     return repeats(pieces, ["key", "check"], ["doc", "start"]).select("doc", "start", "end", "words", "is_first")
 
 
+@scoped
 def repeated_spans(docs: DataFrame, reach: int = 10, least: int | None = None, words: int = 12) -> DataFrame:
     """One row per doc_id with a repeated span: doc_id, n_repeated and n_removable (bytes), repeated and removable
     (arrays of [start, end) byte offsets in the UTF-8 text). Removable spans consist of chunks that occur earlier.

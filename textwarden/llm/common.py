@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +14,17 @@ from pyspark.sql import functions as F
 #: Largest number of (narrow) rows that a side may have to be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
 
+#: The tables that the operators under way have written, innermost last.
+_written = threading.local()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="textwarden-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -24,14 +33,46 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; a lost executor costs no lineage beyond it.
 
-    The files stay until the folder is cleared, as the frames that read them may outlive the call.
+    Inside a scoped operator the files go when it ends; else they stay until the folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/textwarden/{uuid.uuid4().hex}"
+    for tables in getattr(_written, "scopes", [])[-1:]:
+        tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its (narrow) result written as a table of the caller's, and the tables written on the way deleted."""
+
+    @functools.wraps(operator)
+    def run(*args, **named) -> DataFrame:
+        if not hasattr(_written, "scopes"):
+            _written.scopes = []
+        scopes = _written.scopes
+        scopes.append([])
+        spark = next(x for x in args if isinstance(x, DataFrame)).sparkSession
+        try:
+            out = operator(*args, **named)
+            inner = scopes.pop()
+            try:
+                return cut(out)
+            finally:
+                scopes.append(inner)
+        finally:
+            _delete(spark, scopes.pop())
+
+    return run
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows; else df as it is, for a shuffled join.
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scoped
 
 #: No graph of 64-bit ids needs as many rounds, as each halves the depth of the labels' trees.
 MOST_ROUNDS = 200
 
 
+@scoped
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of the links (src, dst): component is the smallest id that links reach.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, cut, lower_ascii
+from .common import checked_broadcast, cut, lower_ascii, scoped
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -75,6 +75,7 @@ def proximity_matches(docs: DataFrame, terms: list[str], within: int) -> DataFra
     return index.where(F.size(F.array_except(others, "near")) == 0).select("doc_id", F.col("pos").alias("start"))
 
 
+@scoped
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """One row per row of docs (doc_id, text): row, doc_id, n_words, n_hit (words inside any occurrence of a window), n_items (items with
     occurring windows), items_sha256 (of their ids, sorted as strings and joined by commas), contaminated (n_hit > 0 and share * n_hit >= n_words).

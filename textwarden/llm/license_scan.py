@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut
+from .common import checked_broadcast, cut, scoped
 
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Words without weight, here and in templates.
@@ -41,6 +41,7 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] = TEMPLATES) -> D
     return spark.createDataFrame(rows, "license string, text string")
 
 
+@scoped
 def scan(files: DataFrame, known: DataFrame, threshold: float = 0.6) -> DataFrame:
     """One row per row of files (path, text): path, license, how (header, file, inherited or null), score (null where inherited).
 

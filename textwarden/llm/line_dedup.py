@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut
+from .common import checked_broadcast, cut, scoped
 from .mixing import dealt
 
 MODULUS = 1_000_003
@@ -52,6 +52,7 @@ def chunk_text(lines: Column, span: Column) -> Column:
     return F.array_join(F.slice(lines, span["from"], span["to"] - span["from"] + 1), "\n")
 
 
+@scoped
 def removals(docs: DataFrame, every: int | None = 3, min_lines: int = 2) -> DataFrame:
     """(doc_id, text_hash, gone array<int>): which chunks (or windows), from 0, of which documents (doc_id, text) repeat an earlier one."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
@@ -78,7 +79,7 @@ def dedup_lines(docs: DataFrame, every: int | None = 3, min_lines: int = 2) -> D
     n_chars, where docs has it, follows the text. Rows whose text or doc_id is null pass unchanged. Rows that are equal in doc_id and
     text are one document: none of them is the other's repeat. Empty texts have one empty line and no chunk to remove.
     """
-    gone = cut(removals(docs.select("doc_id", "text"), every, min_lines)).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash").withColumnRenamed("gone", "gone_chunks")
+    gone = removals(docs.select("doc_id", "text"), every, min_lines).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash").withColumnRenamed("gone", "gone_chunks")
     columns = docs.columns
     joined = docs.join(checked_broadcast(gone, 50_000), (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left")
     spanned = joined.select(*(docs[c] for c in columns), "gone_chunks", F.when(F.col("gone_chunks").isNotNull(), kept_spans(F.split(docs["text"], "\n"), F.col("gone_chunks"), every, min_lines)).alias("__kept"))

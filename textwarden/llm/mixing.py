@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, cut, words_of
+from .common import checked_broadcast, cut, scoped, words_of
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -55,6 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return at.select("source", "sid", "weight", "source_size", "rows", F.when(F.col("step") >= F.col("stop"), share).otherwise(cap.cast("double")).alias("target"))
 
 
+@scoped
 def splitting_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     """(sid, ends): for each source of quotas (sid, blocks), where each shard's range of its blocks ends.
 
@@ -85,6 +86,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     return counts.select("sid", running.alias("ends"))
 
 
+@scoped
 def mix_sources(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), row_key: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken, and parts, an array of
     (copy, words, shard, place): which of the document's words, how many, go to which shard, and its place's key in the local shuffle.
@@ -110,7 +112,7 @@ def mix_sources(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: t
     taken = by_block.select("sid", "block", F.explode(copies).alias("copy"))
     taken = cut(taken.withColumn("turn", F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed), "sid", "block", "copy"), "copy", "block")) - 1))
     ends = splitting_tree(taken.groupBy("sid").agg(F.count("*").alias("blocks")), shards, seed)
-    placed = taken.join(checked_broadcast(cut(ends)), "sid").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("turn"))))
+    placed = taken.join(checked_broadcast(ends), "sid").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("turn"))))
     placed = placed.groupBy("sid", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("shards"))
     blocks = by_block.join(placed, ["sid", "block"], "left").select("sid", "block", "block_size", "block_part", "shards")
     known = known.join(checked_broadcast(cut(blocks)), ["sid", "block"])

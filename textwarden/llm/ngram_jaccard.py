@@ -5,9 +5,11 @@ most D = (den - num)(a + b) / (den + num) elements, a and b being their sizes. S
 
 * the symbols: elements fall into K blocks by their hash, and a block's symbol is the XOR of its elements. An element in
   one set only changes one symbol, so the number of unequal symbols (a Hamming distance) is at most the symmetric
-  difference. With K = D + 1 + z blocks, similar sets agree in more than z symbols (pigeonhole), so in one that is not
-  empty unless both sets leave more than z blocks empty. Sets that do are sketched again under other seeds, and if all
+  difference. With K = D + 1 + E + C blocks, similar sets agree in more than E + C symbols (pigeonhole), so in more than C that are not
+  empty unless both sets leave more than E blocks empty. Sets that do are sketched again under other seeds, and if all
   seeds fail, their empty symbols are keys too: no pair is lost.
+* of its symbols, each set leaves out the C that most sets have. Similar sets agree in more than C, and the rarest of these is among
+  the C most common of neither, so that it stays in both: passages which many documents share bring no sets together.
 * parity bit sketches of 512 bits, and of at least two bits an element, whose Hamming distances are at most the symmetric difference
   as well; they discard pairs before any set is shipped, so that long texts with passages in common cost little.
 
@@ -31,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, cut
+from .common import checked_broadcast, cut, scoped
 from .components import connected_components
 from .hashing import mix, word_slices
 
 SKETCH_LONGS = 8
 SEEDS = 3
+#: Of D symbols, one in so many more is made, and left out where it is the most common.
+COMMON = 4
+#: Low bits of a key: the seed's number in two, the band's in the others.
+SLOT_BITS = 14
 #: Edges that one copy of a pivot's set serves.
 EDGES_PER_SALT = 500
 #: Members of a bucket that are tried against the later ones in turn, after the first, before all remaining pairs are.
@@ -71,36 +77,44 @@ class Bands:
             self.starts.append(max(self.starts[-1] + 1, -(-self.den * self.starts[-1] // self.num)))
         return bisect_right(self.starts, size) - 1
 
-    def blocks(self, band: int) -> tuple[int, int]:
-        """(K, z) of a band."""
+    def blocks(self, band: int) -> tuple[int, int, int]:
+        """(K, E, C) of a band: blocks, those that may be empty, and the common symbols that are left out."""
         while len(self.starts) < band + 2:
             self.of(self.starts[-1])
         most = self.starts[band + 1] - 1
         apart = (self.den - self.num) * 2 * most // (self.den + self.num)
-        z = 1 + apart // 25 if apart else 0
-        return apart + 1 + z, z
+        empty, common = (1 + apart // 15, apart // COMMON) if apart else (0, 0)
+        return apart + 1 + empty + common, empty, common
+
+    def commons(self, size: int = 1 << 31) -> list[int]:
+        """C of each band, up to that of the size."""
+        return [self.blocks(b)[2] for b in range(self.of(size) + 2)]
 
     def keys(self, own: np.ndarray) -> list[np.ndarray]:
-        """The join keys of a set."""
+        """The join keys of a set: a hash of a symbol above the number of its band and seed."""
         band, out = self.of(len(own)), []
         for b in (band, band + 1):
             if b > band and self.den * len(own) < self.num * self.starts[b]:
                 continue
-            k, z = self.blocks(b)
+            k, empty, _ = self.blocks(b)
             for seed in range(SEEDS):
                 placed = own if not seed else np.sort(mix(own, 50 + seed))
                 block = ((placed >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
                 at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
                 symbol = np.bitwise_xor.reduceat(mix(placed, 7), at)
-                out.append(mix(symbol ^ mix(block[at] + np.uint64(b << 40), 11 + seed)))
-                if k - len(at) <= z:
+                out.append(_slotted(mix(symbol ^ mix(block[at] + np.uint64(b << 40), 11 + seed)), b, seed))
+                if k - len(at) <= empty:
                     break
             else:
                 rest = np.setdiff1d(np.arange(k, dtype=np.uint64), block[at])
-                out.append(mix(rest + np.uint64(b << 40), 99))
+                out.append(_slotted(mix(rest + np.uint64(b << 40), 99), b, SEEDS))
         return out
 
 
+def _slotted(hashes: np.ndarray, band: int, seed: int) -> np.ndarray:
+    return (hashes << np.uint64(SLOT_BITS)) | np.uint64((band << 2 | seed) & (1 << SLOT_BITS) - 1)
+
+
 def _wide(own: np.ndarray) -> np.ndarray:
     """The parity sketch of a set with at least two bits an element, a power of two of them, packed."""
     bits = max(512, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 512
@@ -204,6 +218,7 @@ def _may_be_similar(a, b, num: int, den: int):
     return (F.least(m, n) * den >= F.greatest(m, n) * num) & (apart * (den + num) <= (m + n) * (den - num))
 
 
+@scoped
 def _similar(pairs: DataFrame, texts: DataFrame, stats: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (src, dst) that are similar: first by sizes and bit sketches, then by their sets."""
     side = lambda p: stats.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in MEASURES))
@@ -222,6 +237,17 @@ def _similar(pairs: DataFrame, texts: DataFrame, stats: DataFrame, n: int, num:
     return together.mapInArrow(_verify(num, den), "src long, dst long")
 
 
+def _buckets(keys: DataFrame, commons: list[int]) -> DataFrame:
+    """(key, id, pivot, rank) of the keys (key, id) that several rows have, without the most common ones of each set: pivot is a bucket's smallest id."""
+    bucket = Window.partitionBy("key")
+    shared = keys.select("key", "id", F.count(F.lit(1)).over(bucket).alias("n")).where("n > 1")
+    slot = F.col("key").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    place = F.row_number().over(Window.partitionBy("id", "slot").orderBy(F.col("n").desc(), "key"))
+    rare = cut(shared.withColumn("slot", slot)).withColumn("place", place).where(F.col("place") > F.element_at(F.array(*map(F.lit, commons)), (F.shiftright("slot", 2) + 1).cast("int")))
+    ranked = rare.select("key", "id", F.count(F.lit(1)).over(bucket).alias("n"), F.min("id").over(bucket).alias("pivot"), (F.row_number().over(bucket.orderBy("id")) - 1).alias("rank"))
+    return ranked.where("n > 1").select("key", "id", "pivot", "rank")
+
+
 def _still_open(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
     """(key, id, rank, component) of the members from rank turn on, of the buckets in which these are of several components."""
     inside = members.where(F.col("rank") >= turn).join(found, "id", "left").select("key", "id", "rank", F.coalesce("component", "id").alias("component"))
@@ -229,6 +255,7 @@ def _still_open(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
     return inside.join(open_keys, "key", "left_semi")
 
 
+@scoped
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, n_shingles (long, the size of its set), class_id (smallest id with an equal set),
     component_id (smallest id that links reach, itself included).
@@ -242,16 +269,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     content = ["n_shingles", "digest_a", "digest_b"]
     classes = stats.where("n_shingles > 0").groupBy(content).agg(F.min("id").alias("class_id"))
     told = cut(stats.join(classes, content, "left").select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")))
-    copies = cut(told.where("id <> class_id").select("id").distinct())
-    first = stats.where("id is not null and n_shingles > 0").dropDuplicates(["id"])
+    by_id = told.groupBy("id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+    copies = cut(by_id.where("high < id").select("id"))
+    first = stats.where("id is not null and n_shingles > 0").dropDuplicates(["id", *content])
     unequal = texts.where("id is not null").join(checked_broadcast(copies), "id", "left_anti")
-    keys = unequal.mapInArrow(_keys(n, num, den), "key long, id long")
-    bucket = Window.partitionBy("key")
-    ranked = keys.select("key", "id", F.count(F.lit(1)).over(bucket).alias("n"), F.min("id").over(bucket).alias("pivot"), (F.row_number().over(bucket.orderBy("id")) - 1).alias("rank"))
-    members = cut(ranked.where("n > 1").select("key", "id", "pivot", "rank"))
-    stars = members.where("rank > 0").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()
-    links = cut(_similar(stars, texts, first, n, num, den))
-    found = cut(connected_components(links))
+    members = cut(_buckets(unequal.mapInArrow(_keys(n, num, den), "key long, id long"), Bands(num, den).commons()))
+    stars = members.where("rank > 0 and pivot <> id").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()
+    # a doc_id with several texts ties their classes together
+    ties = told.join(by_id.where("low < high").select("id"), "id", "left_semi").where("id <> class_id").select(F.col("id").alias("src"), F.col("class_id").alias("dst"))
+    links = _similar(stars, texts, first, n, num, den).unionByName(ties)
+    found = connected_components(links)
     for turn in range(1, PIVOTS + 1):
         rest = cut(_still_open(members, found, turn).join(first.select("id", *MEASURES), "id"))
         if not rest.limit(1).count():
@@ -259,8 +286,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         a, b = rest.alias("a"), rest.alias("b")
         by = F.expr("a.key = b.key and a.rank < b.rank and a.component <> b.component") & _may_be_similar(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), num, den)
         across = (a.where(f"a.rank = {turn}") if turn < PIVOTS else a).join(b, by).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
-        links = cut(links.unionByName(_similar(across, texts, first, n, num, den)))
-        found = cut(connected_components(links))
+        links = links.unionByName(_similar(across, texts, first, n, num, den))
+        found = connected_components(links)
     return told.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select(F.col("id").alias(id_col), "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, scoped
 from .hashing import Words, mix, word_slices
 from .spans import repeats, union_spans
 
@@ -113,6 +113,7 @@ def _word_counts():
     return run
 
 
+@scoped
 def repeated_windows(docs: DataFrame, length: int = 50, window: int = 16) -> DataFrame:
     """(doc_id, pos, is_first): windows of length words, from word pos on, that occur elsewhere too, enough of them to cover every
     word of every such window. is_first marks a window's first occurrence by doc_id and place.
@@ -146,13 +147,14 @@ def repeated_windows(docs: DataFrame, length: int = 50, window: int = 16) -> Dat
     return right.unionByName(left).groupBy("doc", "pos").agg(F.min("is_first").alias("is_first")).withColumnRenamed("doc", "doc_id")
 
 
+@scoped
 def repeated_spans(docs: DataFrame, length: int = 50, window: int = 16) -> DataFrame:
     """One row per doc_id that shares a run of at least length words: doc_id, n_words, n_repeated (words in such runs), n_removable
     (those in runs that occur earlier, by doc_id and place), repeated and removable (arrays of [start, end) in words).
 
     Texts without repeats have no row. See repeated_windows for nulls and repeated rows.
     """
-    told = cut(repeated_windows(docs, length, window)).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + length).alias("end"), "is_first")
+    told = repeated_windows(docs, length, window).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + length).alias("end"), "is_first")
     spans = lambda t: union_spans(t, ["doc_id"]).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     every, later = spans(told), spans(told.where("not is_first"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
