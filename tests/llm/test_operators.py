@@ -237,11 +237,6 @@ def test_languages(spark, docs, empty):
     assert language_id.identify(docs).count() == len(TEXTS) and language_id.identify(empty).count() == 0
 
 
-def test_code_lengths_are_probabilities():
-    p = np.exp2(-language_id._code_lengths([b"hello there", b"hallo", b""]).astype(float))
-    assert np.allclose(p.sum(-1), 1, atol=1e-4)
-
-
 def test_top_k(spark):
     r = np.random.Generator(np.random.PCG64(3))
     rows = [(k, r.normal(0, 0.2, 16).tolist(), 0) for k in range(300)] + [(300, None, 0), (320, [None] * 16, 0), (340, [float("nan")] * 16, 0), (360, [float("inf")] * 16, 0), (None, [0.1] * 16, 0), (301, [0.5] * 4, 0), (7, [0.5] * 16, 0), (380, [], 0)]
@@ -319,3 +314,98 @@ def test_tables_on_the_way_are_deleted(spark, docs):
     before = set(os.listdir(folder))
     out = ngram_jaccard.jaccard_components(docs)
     assert len(set(os.listdir(folder)) - before) == 1 and out.count() == len(TEXTS)
+
+
+def _share_left(x: np.ndarray, is_query: np.ndarray, k: int = 20) -> float:
+    """The share of pairs that get exact products, when each query knows its k-th best score."""
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    turned = topk_search._turned(x, axes)
+    scores = np.where(np.eye(len(x), dtype=bool), -np.inf, x @ x.T)[is_query]
+    reached = np.partition(scores, -k, axis=1)[:, -k]
+    by = [topk_search._summary(turned, sizes) for sizes in topk_search.levels(x.shape[1])]
+    left = topk_search.survivors([s[is_query] for s in by], by, reached, np.isfinite(scores))
+    assert (left >= (scores >= reached[:, None])).all()
+    return left.mean()
+
+
+def test_levels_prune(spark):
+    """Of clustered vectors few survive the levels; of the test tables', which have no direction of their own, one in eight."""
+    r = np.random.Generator(np.random.PCG64(11))
+    centres = r.normal(0, 20, (12, 64))
+    clustered = np.floor(centres[r.integers(0, 12, 1500)] + r.normal(0, 3, (1500, 64)))
+    assert _share_left(clustered, np.arange(1500) % 20 == 0) < 0.1
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    table = np.floor(64 * np.array([x["embedding"] for x in rows], dtype=float))
+    assert _share_left(table, np.array([x["vec_id"] % 20 == 0 for x in rows])) < 0.13
+
+
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    """Thresholds carried from the first block of candidates to the others change no result, whole numbers beyond 2**53 included."""
+    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", 60)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 10)
+    r = np.random.Generator(np.random.PCG64(5))
+    for scale in (1.0, 3e6):
+        v = [[float(x) for x in row] for row in r.integers(-3, 4, (250, 6)) * scale]
+        df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+        whole = [[int(np.floor(x * 64)) for x in row] for row in v]
+        want = []
+        for i in range(0, 250, 10):
+            best = sorted((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in range(250) if j != i)[:20]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        assert sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 10 == 0).collect())) == sorted(want)
+
+
+def test_languages_in_groups(spark, monkeypatch):
+    """Languages beyond one group's number are told apart as well, and learning is bounded in bytes."""
+    monkeypatch.setattr(language_id, "GROUP", 3)
+    r = random.Random(4)
+    letters = ["abc", "defg", "hijk", "lmno", "pqrs", "tuvw", "xyzé"]
+    make = lambda k: " ".join("".join(r.choice(letters[k]) for _ in range(r.randrange(2, 8))) for _ in range(30))
+    rows = [(i, make(i % 7), f"l{i % 7}") for i in range(210)] + [(500, None, None), (501, "...", "l1"), (502, "abc" * 500_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in language_id.identify(df, sample_bytes=2000).collect()}
+    assert len(got) == len(rows) and all(got[i]["lang_pred"] == f"l{i % 7}" and got[i]["score"] > 0.9 for i in range(210))
+    assert got[500]["lang_pred"] == got[501]["lang_pred"] == "und" and got[502]["lang_pred"] == "l0"
+    assert language_id.chosen(df.select(F.col("doc_id").alias("key"), "text", "lang"), 400, 2000).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).where("n > 2000").count() == 0
+
+
+def test_language_costs_by_hand():
+    """Code lengths equal a plain walk from the longest context down."""
+    r = random.Random(2)
+    by = {"a": [bytes(r.choice(b"xyz ") for _ in range(200)), b"zz"], "b": [bytes(r.choice(b"yzw.") for _ in range(150))]}
+    model = language_id.Model(by)
+    text = bytes(r.choice(b"wxyz .!") for _ in range(80))
+    for k, name in enumerate(model.names):
+        counts = Counter()
+        for t in by[name]:
+            t = b"\n" * 4 + t
+            for i in range(4, len(t)):
+                for n in range(5):
+                    counts[t[i - n : i], t[i]] += 1
+        total, kinds = Counter(), Counter()
+        for (context, _), n in counts.items():
+            total[context] += n
+            kinds[context] += 1
+        want, padded = [], b"\n" * 4 + text
+        for i in range(4, len(padded)):
+            bits = 0.0
+            for n in range(4, -1, -1):
+                context = padded[i - n : i]
+                if counts[context, padded[i]]:
+                    bits += np.log2((total[context] + kinds[context]) / counts[context, padded[i]])
+                    break
+                bits += np.log2((total[context] + kinds[context]) / kinds[context]) if total[context] else 0.0
+            else:
+                bits += 8.0
+            want.append(bits)
+        assert np.allclose(model.costs(np.frombuffer(padded, dtype=np.uint8))[:, k], want, atol=1e-4)
+
+
+def test_held_out_accuracy_on_the_test_tables(spark):
+    """Languages and quality of documents that nothing was learnt from."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    told = language_id.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] >= 0.98
+    told = quality_rules.classify(docs, labels).where("held_out").join(labels, "doc_id")
+    assert told.agg(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] >= 0.95
