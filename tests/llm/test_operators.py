@@ -409,3 +409,53 @@ def test_held_out_accuracy_on_the_test_tables(spark):
     assert told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] >= 0.98
     told = quality_rules.classify(docs, labels).where("held_out").join(labels, "doc_id")
     assert told.agg(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] >= 0.95
+
+
+def test_substrings_of_ids_with_several_texts(spark):
+    """A text loses its own repeats only, whatever other texts its doc_id has; rows equal in doc_id and text are one document."""
+    r = random.Random(21)
+    shared, own, other = prose(r, 80), prose(r, 120), prose(r, 60)
+    rows = [(1, shared), (7, own), (7, f"{other} {shared}"), (8, other + " once"), (8, other + " once"), (None, shared), (9, None), (10, "")]
+    got = chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got} == {7, 8} and own not in [x["text"] for x in got]
+    left = next(x["text"] for x in got if x["doc_id"] == 7)
+    assert left.startswith(other) and len(left) < len(other) + len(shared) / 4
+
+
+def test_chunk_spans_by_brute_force(spark):
+    """Spans of a small corpus against chunks cut byte by byte and compared as bytes."""
+    r = random.Random(30)
+    passages = [prose(r, 45) for _ in range(4)]
+    texts = [" ".join(r.choice(passages) if r.random() < 0.4 else prose(r, 25) for _ in range(r.randrange(1, 7))) for _ in range(60)] + ["", "é" * 300, "short", "short"]
+
+    def chunks(text: bytes):
+        h, hashes = 0, []
+        for k, b in enumerate(text):
+            h = (2 * h + int(chunk_dedup.GEAR[b])) & 0xFFFFFFFF
+            low = h << (chunk_dedup.WINDOW - chunk_dedup.SEEN) & 0xFFFFFFFF
+            inside = k + 1 < len(text) and text[k + 1] & 0xC0 == 0x80
+            hashes.append(0 if inside or k < chunk_dedup.SEEN - 1 else low)
+        ends = [k + 1 for k, x in enumerate(hashes) if x and x == max(hashes[max(0, k - 10) : k + 11])] + [len(text)]
+        return [(a, b) for a, b in zip([0, *ends], ends) if a < b]
+
+    places = defaultdict(list)
+    for i, t in enumerate(texts):
+        for a, b in chunks(t.encode()):
+            places[t.encode()[a:b]].append((i, a))
+
+    def spans(i: int, raw: bytes, later: bool):
+        out = []
+        for a, b in chunks(raw):
+            at = places[raw[a:b]]
+            if len(at) > 1 and not (later and min(at) == (i, a)):
+                out = [*out[:-1], (out[-1][0], b)] if out and out[-1][1] == a else [*out, (a, b)]
+        out = [(a, b) for a, b in out if sum(c in b" \t\n" for c in raw[a:b]) >= 12 or b - a >= 160]
+        same = [k for k, t in enumerate(texts) if t.encode() == raw]
+        if 0 < len(raw) < 160 and len(same) > 1 and not (later and same[0] == i):
+            out = [(0, len(raw))]
+        return out
+
+    want = {i: (spans(i, t.encode(), False), spans(i, t.encode(), True)) for i, t in enumerate(texts) if spans(i, t.encode(), False)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: ([tuple(y) for y in x["repeated"]], [tuple(y) for y in x["removable"]]) for x in chunk_dedup.repeated_spans(df).collect()}
+    assert want and got == want

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scoped
+from .common import checked_broadcast, cut, scoped
 from .hashing import _BASE, _BYTE_VALUES, _INVERSE, SPACES, _power, mix, raw_slices
 from .spans import repeats, union_spans
 
@@ -68,8 +68,8 @@ def boundaries(data: np.ndarray, rows: np.ndarray, reach: int) -> np.ndarray:
 def _chunks(reach: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row0, data, rows in raw_slices(batch.column(1)):
+            ids, apart = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row0, data, rows in raw_slices(batch.column(2)):
                 if not len(data):
                     continue
                 at = boundaries(data, rows, reach)
@@ -82,43 +82,54 @@ def _chunks(reach: int):
                     digests.append(mix(np.add.reduceat(values[data] * _power(_BASE, len(data)), begin) * back + size, seed))
                 words = np.add.reduceat(SPACES[data].astype(np.int64), begin)
                 row = np.searchsorted(rows, begin, "right") - 1
-                yield pa.RecordBatch.from_arrays([*(pa.array(d.view(np.int64)) for d in digests), pa.array(ids[row0 + row]), pa.array((begin - rows[row]).astype(np.int64)), pa.array((end - rows[row]).astype(np.int64)), pa.array(words)], ["key", "check", "doc", "start", "end", "words"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(d.view(np.int64)) for d in digests), pa.array(ids[row0 + row]), pa.array(apart[row0 + row]), pa.array((begin - rows[row]).astype(np.int64)), pa.array((end - rows[row]).astype(np.int64)), pa.array(words)], ["key", "check", "doc", "text_hash", "start", "end", "words"])
 
     return run
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with text_hash (long): 0, or for a doc_id with several texts a hash that tells them apart, so that spans belong to a text. Rows that
+    are equal in doc_id and text are one document."""
+    own = F.xxhash64("text")
+    several = cut(docs.where("doc_id is not null and text is not null").groupBy(F.col("doc_id").alias("several")).agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("several"))
+    told = docs.join(checked_broadcast(several), docs["doc_id"] == F.col("several"), "left")
+    return told.select(*(docs[c] for c in docs.columns), F.when(F.col("several").isNotNull(), F.xxhash64(docs["text"])).otherwise(F.lit(0)).alias("text_hash"))
+
+
 def repeated_chunks(docs: DataFrame, reach: int = 10) -> DataFrame:
-    """(doc, start, end, words, is_first): the chunks of docs (doc_id, text), in bytes, that occur more than once; words counts their spaces, and
-    is_first marks the first by doc_id and place. Null texts have no chunks and rows with a null doc_id take no part; of rows with equal doc_id, either text's chunks count."""
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    pieces = texts.mapInArrow(_chunks(reach), "key long, check long, doc long, start long, end long, words long")
-    return repeats(pieces, ["key", "check"], ["doc", "start"]).select("doc", "start", "end", "words", "is_first")
+    """(doc, text_hash, start, end, words, is_first): the chunks of docs (doc_id, text_hash, text), in bytes, that occur more than once; words counts
+    their spaces, and is_first marks the first by doc_id, text and place. Null texts have no chunks and rows with a null doc_id take no part."""
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text_hash", "text")
+    pieces = texts.mapInArrow(_chunks(reach), "key long, check long, doc long, text_hash long, start long, end long, words long")
+    return repeats(pieces, ["key", "check"], ["doc", "text_hash", "start"]).select("doc", "text_hash", "start", "end", "words", "is_first")
 
 
 @scoped
 def repeated_spans(docs: DataFrame, reach: int = 10, least: int | None = None, words: int = 12) -> DataFrame:
-    """One row per doc_id with a repeated span: doc_id, n_repeated and n_removable (bytes), repeated and removable
+    """One row per doc_id and text with a repeated span: doc_id, text_hash (see told_apart), n_repeated and n_removable (bytes), repeated and removable
     (arrays of [start, end) byte offsets in the UTF-8 text). Removable spans consist of chunks that occur earlier.
 
     A span counts if it has at least `words` spaces or FEW_WORDS_LEAST bytes, or is a whole text, however short, that is another document's too. If `least` is given, all spans of
-    at least so many bytes count instead, and no others."""
-    found = cut(repeated_chunks(docs, reach).withColumnRenamed("doc", "doc_id"))
-    short = docs.where("doc_id is not null and octet_length(text) > 0").where(F.octet_length("text") < FEW_WORDS_LEAST)
-    short = short.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"), F.md5("text").alias("digest"))
-    copies = cut(repeats(short, ["digest"], ["doc_id"]).drop("digest")) if least is None else None
+    at least so many bytes count instead, and no others. Null texts and null doc_ids have no spans; other columns are ignored."""
+    texts = told_apart(docs.select("doc_id", "text"))
+    of = ["doc_id", "text_hash"]
+    found = cut(repeated_chunks(texts, reach).withColumnRenamed("doc", "doc_id"))
+    short = texts.where("doc_id is not null and octet_length(text) > 0").where(F.octet_length("text") < FEW_WORDS_LEAST)
+    short = short.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"), F.md5("text").alias("digest"))
+    copies = cut(repeats(short, ["digest"], of).drop("digest")) if least is None else None
 
     def counting(which: str) -> DataFrame:
         if least is not None:
-            return union_spans(found.where(which), ["doc_id"], least)
-        united = union_spans(found.where(which), ["doc_id"], total="words")
+            return union_spans(found.where(which), of, least)
+        united = union_spans(found.where(which), of, total="words")
         enough = united.where((F.col("words") >= words) | (F.col("end") - F.col("start") >= FEW_WORDS_LEAST))
-        return union_spans(enough.drop("words").unionByName(copies.where(which).drop("is_first")), ["doc_id"])
+        return union_spans(enough.drop("words").unionByName(copies.where(which).drop("is_first")), of)
 
-    spans = lambda which: counting(which).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = lambda which: counting(which).groupBy(*of).agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     every = spans("true").withColumnRenamed("n", "n_repeated").withColumnRenamed("spans", "repeated")
     later = spans("not is_first").withColumnRenamed("n", "n_removable").withColumnRenamed("spans", "removable")
-    out = every.join(later, "doc_id", "left")
-    return out.select("doc_id", "n_repeated", F.coalesce("n_removable", F.lit(0)).alias("n_removable"), "repeated", F.coalesce("removable", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removable"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return every.join(later, of, "left").select(*of, "n_repeated", F.coalesce("n_removable", F.lit(0)).alias("n_removable"), "repeated", F.coalesce("removable", none).alias("removable"))
 
 
 def _cut_out():
@@ -137,6 +148,6 @@ def _cut_out():
 
 
 def dedup_substrings(docs: DataFrame, reach: int = 10, least: int | None = None, words: int = 12) -> DataFrame:
-    """(doc_id, text) of the documents that have removable spans, with these cut out. Other documents stay as they are and have no row."""
-    spans = repeated_spans(docs, reach, least, words).where("n_removable > 0").select("doc_id", "removable")
-    return docs.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_cut_out(), "doc_id long, text string")
+    """(doc_id, text) of the rows that have removable spans, with these cut out; each text loses its own spans only. Other rows stay as they are and have no row here."""
+    spans = repeated_spans(docs, reach, least, words).where("n_removable > 0").select("doc_id", "text_hash", "removable")
+    return told_apart(docs.select("doc_id", "text")).join(spans, ["doc_id", "text_hash"]).select("doc_id", "text", "removable").mapInArrow(_cut_out(), "doc_id long, text string")

@@ -127,7 +127,7 @@ def mix_sources(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: t
     return known.select(*keys, "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("last")).alias("taken"), parts.alias("parts"))
 
 
-def write_shards(mixed: DataFrame, docs: DataFrame, path: str) -> None:
-    """The mix as files, a folder a shard, each shard's documents in the order of its local shuffle."""
-    each = mixed.select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*")
-    each.join(docs.select("doc_id", "text"), "doc_id").repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+def write_shards(mixed: DataFrame, docs: DataFrame, path: str, row_key: str = "doc_id") -> None:
+    """The mix as files, a folder a shard, each shard's documents in the order of its local shuffle. row_key tells the rows of docs and of the mix apart."""
+    each = mixed.select(row_key, F.explode("parts").alias("p")).select(row_key, "p.*")
+    each.join(docs.select(row_key, *({"doc_id", "text"} - {row_key})), row_key).repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)

@@ -5,10 +5,10 @@ text alone makes, so equal passages keep equal suffixes. The suffixes are sorted
 words; equal neighbours are candidates. A run of at least `length` words that two places share has its first
 minimiser within the first `window` grams, so its suffix there shares T words: no run is missed.
 
-Then matches are extended, to the right by comparing the first `length` words of all candidates. To the left, candidates are
-compared by the windows of `length` words beginning 1 .. window - 1 words before them, except inside a long match, where all
-places that share a suffix share its neighbours too: those windows add nothing there. What is marked covers exactly the words that lie in some `length`-word window occurring at least twice; within a document, marked
-windows unite to spans.
+Then matches are extended, to the right by comparing the first `length` words of all candidates, whose hash each suffix brings along. To the
+left, candidates are compared by the windows of `length` words beginning 1 .. window - 1 words before them, except inside a long match, where all
+places that share a suffix share its neighbours too: those windows add nothing there. What is marked covers exactly the words that lie in some
+`length`-word window occurring at least twice; within a document, marked windows unite to spans.
 """
 
 from __future__ import annotations
@@ -63,6 +63,7 @@ def _prefix(code: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarra
 
 
 def _suffixes(length: int, window: int):
+    """Rows (doc, text): hashes of the first words of the suffixes at minimisers, and of their first length words, null where the text ends before."""
     first = length - window + 1
 
     def run(batches):
@@ -73,14 +74,19 @@ def _suffixes(length: int, window: int):
                 row = np.searchsorted(words.first, at, "right") - 1
                 fits = at + first <= words.first[row + 1]
                 at, row = at[fits], row[fits]
-                yield pa.RecordBatch.from_arrays([pa.array(_prefix(words.code, at, first, 31).view(np.int64)), pa.array(ids[words.row0 + row]), pa.array((at - words.first[row]).astype(np.int32))], ["key", "doc", "pos"])
+                long = at + length <= words.first[row + 1]
+                whole = np.zeros(len(at), dtype=np.int64)
+                whole[long] = _prefix(words.code, at[long], length, 32).view(np.int64)
+                keys = pa.array(_prefix(words.code, at, first, 31).view(np.int64))
+                places = [pa.array(ids[words.row0 + row]), pa.array((at - words.first[row]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(whole, mask=~long), *places], ["key", "whole", "doc", "pos"])
 
     return run
 
 
-def _extended(length: int, window: int, left: bool):
-    """Rows (doc, text, spots): windows of length words from each spot on, or beginning 1 .. window - 1 words before it."""
-    shifts = np.arange(1, window) if left else np.zeros(1, dtype=np.int64)
+def _before(length: int, window: int):
+    """Rows (doc, text, spots): windows of length words that begin 1 .. window - 1 words before each spot."""
+    shifts = np.arange(1, window)
 
     def run(batches):
         for batch in batches:
@@ -91,9 +97,8 @@ def _extended(length: int, window: int, left: bool):
                 rows = np.arange(words.row0, words.row0 + len(words.row_start) - 1)
                 counts = ends[rows + 1] - ends[rows]
                 own = values[ends[rows[0]] : ends[rows[-1] + 1]].astype(np.int64)
-                row = np.repeat(np.arange(len(rows)), counts)
                 at = (own[:, None] - shifts[None, :]).ravel()
-                row = np.repeat(row, len(shifts))
+                row = np.repeat(np.repeat(np.arange(len(rows)), counts), len(shifts))
                 fits = (at >= 0) & (at + words.first[row] + length <= words.first[row + 1])
                 at, row = at[fits], row[fits]
                 yield pa.RecordBatch.from_arrays([pa.array(_prefix(words.code, at + words.first[row], length, 32).view(np.int64)), pa.array(ids[words.row0 + row]), pa.array(at.astype(np.int32))], ["key", "doc", "pos"])
@@ -114,36 +119,50 @@ def _word_counts():
 
 
 @scoped
-def repeated_windows(docs: DataFrame, length: int = 50, window: int = 16) -> DataFrame:
-    """(doc_id, pos, is_first): windows of length words, from word pos on, that occur elsewhere too, enough of them to cover every
-    word of every such window. is_first marks a window's first occurrence by doc_id and place.
+def shared_suffixes(texts: DataFrame, length: int, window: int) -> DataFrame:
+    """(key, whole, doc, pos, again, is_first): the suffixes of texts (doc, text) whose key several places have, and whether their first length words
+    occur elsewhere, or occur here first. One shuffle: suffixes that agree in more words agree in fewer."""
+    told = texts.mapInArrow(_suffixes(length, window), "key long, whole long, doc long, pos int")
+    found = repeats(told, ["key"], ["doc", "pos"]).select("key", "whole", "doc", "pos").distinct()
+    alike, place = Window.partitionBy("key", "whole"), F.struct("doc", "pos")
+    again = F.col("whole").isNotNull() & (F.min(place).over(alike) < F.max(place).over(alike))
+    return found.select("*", again.alias("again"), (F.min(place).over(alike) == place).alias("is_first"))
 
-    Words part at 0x20 and 0x09-0x0D, with A-Z lower-cased. Null or shorter texts have no window; rows with a null doc_id
-    take no part; of rows with equal doc_id, windows of either text count, at that doc_id.
+
+@scoped
+def places_to_extend(found: DataFrame, reach: int) -> DataFrame:
+    """(doc, spots): the suffixes before which shared runs can begin, or behind which they can end before a whole window does.
+
+    All places that share a suffix may share its neighbour too, at the same distance of at most reach words. Only at a group's first suffix can
+    runs begin between suffixes, and only at its last can they end early.
     """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    first = length - window + 1
-    found = cut(repeats(texts.mapInArrow(_suffixes(length, window), SHAPE), ["key"], ["doc", "pos"]).select("key", "doc", "pos").distinct())
-    spots = cut(found.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("spots")))
-    at_spots = texts.join(spots, "doc").select("doc", "text", "spots")
-    whole = cut(at_spots.mapInArrow(_extended(length, window, False), SHAPE).distinct())
-    right = repeats(whole, ["key"], ["doc", "pos"]).select("doc", "pos", "is_first")
-    # All places that share a suffix may share its neighbour too, at the same short distance. Only at a group's first suffix can runs
-    # begin between suffixes, and only at its last can they end before a whole window does.
     by = Window.partitionBy("doc").orderBy("pos")
     beside = lambda at, name: {name: at("key", 1).over(by), f"{name}_gap": F.abs(F.col("pos") - at("pos", 1).over(by))}
-    members = found.withColumns(beside(F.lag, "before") | beside(F.lead, "after")).join(whole.withColumnRenamed("key", "ahead"), ["doc", "pos"], "left")
+    members = found.select("key", "whole", "doc", "pos").withColumns(beside(F.lag, "before") | beside(F.lead, "after"))
     alike = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
-    one = lambda name: F.when(alike(name) & alike(f"{name}_gap") & (F.max(f"{name}_gap") <= first), F.min(name)).alias(name)
-    told = cut(members.groupBy("key").agg(F.count("*").alias("n"), alike("ahead").alias("ahead"), one("before"), one("after")))
+    one = lambda name: F.when(alike(name) & alike(f"{name}_gap") & (F.max(f"{name}_gap") <= reach), F.min(name)).alias(name)
+    told = cut(members.groupBy("key").agg(F.count("*").alias("n"), alike("whole").alias("ahead"), one("before"), one("after")))
     sizes = lambda name: told.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"))
     told = told.join(sizes("before"), "before", "left").join(sizes("after"), "after", "left")
     begins = ~F.coalesce(F.col("n") == F.col("n_before"), F.lit(False))
     ends = ~F.col("ahead") & ~F.coalesce(F.col("n") == F.col("n_after"), F.lit(False))
-    need = found.join(told.where(begins | ends).select("key"), "key", "left_semi")
-    need = cut(need.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("spots")))
-    at_need = texts.join(need, "doc").select("doc", "text", "spots")
-    left = repeats(at_need.mapInArrow(_extended(length, window, True), SHAPE), ["key"], ["doc", "pos"]).select("doc", "pos", "is_first")
+    need = found.select("key", "doc", "pos").join(told.where(begins | ends).select("key"), "key", "left_semi")
+    return need.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("spots"))
+
+
+@scoped
+def repeated_windows(docs: DataFrame, length: int = 50, window: int = 16) -> DataFrame:
+    """(doc_id, pos, is_first): windows of length words, from word pos on, that occur elsewhere too, enough of them to cover every
+    word of every such window. is_first marks a window's first occurrence by doc_id and place.
+
+    Words part at 0x20 and 0x09-0x0D, with A-Z lower-cased. Null or shorter texts have no window; rows with a null doc_id
+    take no part; of rows with equal doc_id, windows of either text count, at that doc_id.
+    """
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    found = shared_suffixes(texts, length, window)
+    right = found.where("again").select("doc", "pos", "is_first")
+    at_need = texts.join(places_to_extend(found, length - window + 1), "doc").select("doc", "text", "spots")
+    left = repeats(at_need.mapInArrow(_before(length, window), SHAPE), ["key"], ["doc", "pos"]).select("doc", "pos", "is_first")
     return right.unionByName(left).groupBy("doc", "pos").agg(F.min("is_first").alias("is_first")).withColumnRenamed("doc", "doc_id")
 
 
