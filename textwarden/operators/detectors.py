@@ -194,19 +194,28 @@ def fuse(scores: dict[str, Column], actions: dict[str, Column], strict: Column |
     return F.struct(T.half_up(final, 1).alias("risk_score"), T.half_up(weighted, 1).alias("weighted"), T.half_up(solo, 1).alias("solo"), level.alias("band"), F.array_max(ranked)["action"].alias("action"), (calm | (level != "normal")).alias("strict_mode"), reasons.alias("reasons"))
 
 
-def scan(df: DataFrame, text: str, mode: str = "input", format_given: Column | None = None) -> DataFrame:
-    """df with the columns injection, pii, usage and t1: the detectors that need one text only, and their fusion.
+def scan(df: DataFrame, text: str, mode: str = "input", format_given: Column | None = None, unsafe: Column | None = None, stakes: Column | None = None) -> DataFrame:
+    """df with the columns injection, pii, usage and t1: the detectors of one text, and the fusion of all that are given.
 
-    In output mode only personal data counts. Null texts scan as empty. Unsafe intent and high stakes need examples: see operators.vectors.
+    unsafe and stakes are the results of unsafe_intent and high_stakes, which need examples (see operators.vectors). In output mode only unsafe
+    intent and personal data count. Null texts scan as empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     given = F.lit(False) if format_given is None else format_given
     out = df.withColumn("__findings", pii_findings(t, mode)).withColumn("pii", pii_summary(t, F.col("__findings"))).drop("__findings")
+    scores, actions = {}, {}
+    if mode == "input":
+        out = out.withColumn("injection", injection(t, given)).withColumn("usage", usage_size(t))
+        scores["injection"] = F.col("injection.score")
+    if unsafe is not None:
+        scores["unsafe_intent"], actions["unsafe_intent"] = unsafe["score"], unsafe["action"]
+    scores["pii"], actions["pii"] = F.col("pii.score"), F.col("pii.action")
     if mode == "output":
-        return out.withColumn("t1", fuse({"pii": F.col("pii.score")}, {"pii": F.col("pii.action")}))
-    out = out.withColumn("injection", injection(t, given)).withColumn("usage", usage_size(t))
-    scores = {"injection": F.col("injection.score"), "pii": F.col("pii.score"), "usage_guard": F.col("usage.score")}
-    return out.withColumn("t1", fuse(scores, {"pii": F.col("pii.action"), "usage_guard": usage_action(F.col("usage.score"))}))
+        return out.withColumn("t1", fuse(scores, actions))
+    if stakes is not None:
+        scores["high_stakes"] = stakes["score"]
+    scores["usage_guard"], actions["usage_guard"] = F.col("usage.score"), usage_action(F.col("usage.score"))
+    return out.withColumn("t1", fuse(scores, actions, None if stakes is None else stakes["strict_mode"]))
 
 
 def route(t1: Column) -> Column:
@@ -217,3 +226,22 @@ def route(t1: Column) -> Column:
 def effective_action(t1: Column) -> Column:
     """The action, or block where the band is high_risk although no detector asked for more than a mask."""
     return F.when((t1["band"] == "high_risk") & t1["action"].isin("allow", "mask", "redact", "throttle"), "block").otherwise(t1["action"])
+
+
+def certain(t1_scores: dict[str, Column]) -> Column:
+    """Whether a detector other than high stakes is at 0.80 or more."""
+    return F.greatest(F.lit(0.0), *(s for k, s in t1_scores.items() if k != "high_stakes")) >= 0.80
+
+
+def deep_check_route(strict: Column, out_band: Column) -> Column:
+    """Clean answers go straight out; risky ones, and all in strict mode, are checked in depth."""
+    return F.when(strict | (out_band != "normal"), "deep").otherwise("skip")
+
+
+def cache_route(hit: Column) -> Column:
+    return F.when(hit, "hit").otherwise("miss")
+
+
+def evidence_route(evidence: Column) -> Column:
+    """Without evidence there is nothing to answer from."""
+    return F.when(F.size(F.coalesce(evidence, F.array().cast("array<string>"))) == 0, "none").otherwise("ok")

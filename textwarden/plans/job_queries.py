@@ -39,11 +39,10 @@ def _items(spark, sf_dir):
 
 
 def trace_stitch(spark, sf_dir):
-    """Traces with the last of each user's feedback events of a day, as late feedback would be stitched on."""
-    t = V.traces(spark, sf_dir).withColumn("run", F.floor(F.col("run_id") / 3))
-    events = t.where("feedback is not null").select(F.col("run").alias("run_id"), "feedback", F.col("run_id").alias("seq"))
-    firsts = t.where("run_id % 3 = 0").drop("run_id").withColumnRenamed("run", "run_id")
-    return stores.stitch_feedback(firsts, events).select("run_id", "user", "feedback")
+    """Traces with late feedback stitched on: what comes in for three runs in a row is meant for the first of them, and the last of it counts."""
+    t = V.traces(spark, sf_dir)
+    events = t.where("feedback is not null").select((F.col("run_id") - F.col("run_id") % 3).alias("run_id"), "feedback", F.col("run_id").alias("seq"))
+    return stores.stitch_feedback(t, events).select("run_id", "user", "feedback")
 
 
 def simple_score(question):
@@ -129,11 +128,15 @@ def stream_attempts(spark, sf_dir):
 
 
 def _checkpoint(spark) -> str:
-    """A folder for a stream's progress: below the cluster's shared one, or temporary where none is set."""
+    """A folder for a stream's progress: below the cluster's shared one, or temporary where none is set and all run on one machine."""
     import uuid
 
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{folder}/streams/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="textwarden-stream-")
+    if folder:
+        return f"{folder}/streams/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="textwarden-stream-")
 
 
 QUERIES = {
@@ -182,7 +185,7 @@ _HEAD = "head AS (SELECT count(*) AS requests, sum(tokens)::BIGINT AS tokens_tot
 _RATE = "rate AS (SELECT count(*) AS checked, count(*) FILTER (WHERE sources_disagreed) AS disagreed, " + up("count(*) FILTER (WHERE sources_disagreed) / greatest(count(*), 1)", 2) + " AS rate FROM traces WHERE t2_score IS NOT NULL)"
 _HISTORY = "CASE WHEN per_day > 0 THEN greatest(" + ", ".join([_part("per_minute", 1), _part("per_day", 3), _part("tokens_day", 300), "CASE WHEN repeat_ratio > 0.3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"]) + ") ELSE 0.0::DOUBLE END"
 SQL = {
-    "trace_stitch": sql("""SELECT t.run_id // 3 AS run_id, t.user, f.feedback FROM traces t LEFT JOIN (SELECT run_id // 3 AS r, arg_max(feedback, run_id) AS feedback FROM traces WHERE feedback IS NOT NULL GROUP BY r) f ON f.r = t.run_id // 3 WHERE t.run_id % 3 = 0"""),
+    "trace_stitch": sql("SELECT t.run_id, t.user, f.feedback FROM traces t LEFT JOIN (SELECT run_id - run_id % 3 AS r, arg_max(feedback, run_id) AS feedback FROM traces WHERE feedback IS NOT NULL GROUP BY r) f ON f.r = t.run_id"),
     "trace_summary": sql("SELECT count(*) AS rows, count(DISTINCT user) AS users, sum(tokens)::BIGINT AS tokens, count(*) FILTER (WHERE feedback = 'down') AS thumbs_down, count(*) FILTER (WHERE feedback = 'up') AS thumbs_up, count(t2_score) AS tier2_ran FROM traces"),
     "trace_bands": sql("SELECT t1_in_band, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM traces GROUP BY t1_in_band"),
     "trace_actions": sql("SELECT action, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM traces GROUP BY action"),

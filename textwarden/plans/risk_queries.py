@@ -38,23 +38,27 @@ def tfidf_topk(spark, sf_dir):
     return top.select("query_id", "item_id", "rank", T.half_up(F.col("sim"), 6).alias("sim"))
 
 
-def _sides(spark, sf_dir):
-    """Requests with their similarity to the nearest risky and calm example."""
+def _sides(spark, sf_dir, rows=None, text="question"):
+    """Requests, or other rows (run_id, ...), with their similarity to the nearest risky and calm example."""
     ex = V.examples(spark, sf_dir)
     vocab = VE.vocabulary(ex.select("id", "text"))
-    sims = VE.similarities(VE.tfidf(_texts(V.requests(spark, sf_dir)), vocab), VE.tfidf(ex.select("id", "text"), vocab))
-    r = V.requests(spark, sf_dir).withColumn("id", F.col("run_id"))
-    return VE.two_sided(r, sims, ex.select(F.col("id").alias("item_id"), "side", "category"), "risky", "calm")
+    rows = (V.requests(spark, sf_dir) if rows is None else rows).withColumn("id", F.col("run_id"))
+    sims = VE.similarities(VE.tfidf(rows.select("id", F.col(text).alias("text")), vocab), VE.tfidf(ex.select("id", "text"), vocab))
+    return VE.two_sided(rows, sims, ex.select(F.col("id").alias("item_id"), "side", "category"), "risky", "calm")
+
+
+def _near(spark, sf_dir, rows=None, text="question"):
+    """_sides with what they say of unsafe intent and high stakes."""
+    near = [F.col(c) for c in ("risky_sim", "calm_sim", "risky_category", text)]
+    return _sides(spark, sf_dir, rows, text).withColumns({"unsafe": D.unsafe_intent(*near, L.UNSAFE_CUTS["tfidf"]), "stakes": D.high_stakes(*near, L.STAKES_CUTS["tfidf"])})
 
 
 def unsafe_intent(spark, sf_dir):
-    u = D.unsafe_intent(F.col("risky_sim"), F.col("calm_sim"), F.col("risky_category"), F.col("question"), L.UNSAFE_CUTS["tfidf"])
-    return _sides(spark, sf_dir).withColumn("u", u).select("run_id", T.half_up(F.col("risky_sim"), 6).alias("unsafe_sim"), T.half_up(F.col("calm_sim"), 6).alias("safe_sim"), "u.score", "u.category", "u.action")
+    return _near(spark, sf_dir).select("run_id", T.half_up(F.col("risky_sim"), 6).alias("unsafe_sim"), T.half_up(F.col("calm_sim"), 6).alias("safe_sim"), "unsafe.score", "unsafe.category", "unsafe.action")
 
 
 def stakes(spark, sf_dir):
-    s = D.high_stakes(F.col("risky_sim"), F.col("calm_sim"), F.col("risky_category"), F.col("question"), L.STAKES_CUTS["tfidf"])
-    return _sides(spark, sf_dir).withColumn("s", s).select("run_id", "s.score", "s.category", "s.strict_mode")
+    return _near(spark, sf_dir).select("run_id", "stakes.score", "stakes.category", "stakes.strict_mode")
 
 
 def two_set_nn_dense(spark, sf_dir):
@@ -74,16 +78,27 @@ def grams_sql(name: str, source: str, key: str, text: str) -> str:
     return rf"{name} AS (SELECT id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT {key} AS id, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {source}))"
 
 
-def tfidf_sql(corpus_cte: str, corpus: str) -> str:
-    return f"""{corpus_cte}, {grams_sql('cg', corpus, 'id', 'text')}, {grams_sql('qg', 'requests', 'run_id', 'question')},
+def tfidf_sql(corpus_cte: str, corpus: str, asked: str = "requests", text: str = "question") -> str:
+    return f"""{corpus_cte}, {grams_sql('cg', corpus, 'id', 'text')}, {grams_sql('qg', asked, 'run_id', text)},
 vocab AS (SELECT term, count(DISTINCT id) AS df, ln((1 + (SELECT count(*) FROM {corpus}))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS idf FROM cg GROUP BY term),
 cw AS ({weights_sql('cg')}), qw AS ({weights_sql('qg')}),
 sims AS (SELECT q.id AS query_id, c.id AS item_id, sum(q.w * c.w) AS sim FROM qw q JOIN cw c USING (term) GROUP BY ALL)"""
 
 
-_SIDES = f"""WITH {V.REQUESTS}, {tfidf_sql(V.EXAMPLES, 'examples')},
+def sides_sql(asked: str = "requests", text: str = "question") -> str:
+    """CTEs sides, unsafe (run_id, u, s, score, kind, action) and stakes (run_id, score, kind) of a CTE's rows."""
+    listed = lambda words: f"len(list_filter({sql_list(words)}, lambda k: contains(lower({text}), k))) > 0"
+    return f"""{tfidf_sql(V.EXAMPLES, 'examples', asked, text)},
 near AS (SELECT query_id, side, max(struct_pack(s := floor(sim * 1e9), i := -item_id, sim := sim, category := category)) AS b FROM sims JOIN examples ON id = item_id GROUP BY ALL),
-sides AS (SELECT r.run_id, r.question, coalesce(u.b.sim, 0) AS u, coalesce(s.b.sim, 0) AS s, u.b.category AS category FROM requests r LEFT JOIN near u ON u.query_id = r.run_id AND u.side = 'risky' LEFT JOIN near s ON s.query_id = r.run_id AND s.side = 'calm')"""
+sides AS (SELECT r.run_id, r.{text}, coalesce(u.b.sim, 0) AS u, coalesce(s.b.sim, 0) AS s, u.b.category AS category FROM {asked} r LEFT JOIN near u ON u.query_id = r.run_id AND u.side = 'risky' LEFT JOIN near s ON s.query_id = r.run_id AND s.side = 'calm'),
+ub AS (SELECT *, (CASE WHEN u < 0.16 THEN 0 WHEN s >= u THEN 0.1 WHEN u - s >= 0.1 AND u >= 0.3 THEN 0.85 WHEN u - s >= 0.04 THEN 0.6 ELSE 0.4 END)::DOUBLE AS base, CASE WHEN u >= 0.16 AND s < u THEN category END AS kind FROM sides),
+un AS (SELECT *, CASE WHEN base >= 0.3 AND {listed(L.UNSAFE_KEYWORDS)} THEN greatest(base, 0.45::DOUBLE) ELSE base END AS score FROM ub),
+unsafe AS (SELECT run_id, u, s, score, kind, CASE WHEN kind = 'self_harm' AND score >= 0.4 THEN 'care' WHEN kind = 'harassment' AND score >= 0.8 THEN 'block_and_route_hr' WHEN kind IS NOT NULL AND score >= 0.8 THEN 'block' ELSE 'allow' END AS action FROM un),
+sb AS (SELECT *, (CASE WHEN u < 0.14 OR s >= u THEN 0 WHEN u - s >= 0.03 AND u >= 0.26 THEN 0.65 WHEN u - s >= 0.03 THEN 0.45 ELSE 0.25 END)::DOUBLE AS base, CASE WHEN u >= 0.14 AND s < u THEN category END AS kind FROM sides),
+stakes AS (SELECT run_id, CASE WHEN base >= 0.2 AND {listed(L.ESCALATORS)} THEN least(0.65::DOUBLE, base + 0.2::DOUBLE) ELSE base END AS score, kind FROM sb)"""
+
+
+_SIDES = f"WITH {V.REQUESTS}, {sides_sql()}"
 
 # --- evidence ---
 
@@ -152,13 +167,38 @@ def output_safety(spark, sf_dir):
     return _checked(spark, sf_dir).select("run_id", "s.score", F.array_join(F.transform("s.flags", lambda f: F.concat_ws(":", f["kind"], f["text"])), "|").alias("flags"))
 
 
+def full_scan(spark, sf_dir):
+    """Requests with all five detectors of the first tier."""
+    return D.scan(_near(spark, sf_dir), "question", format_given=F.col("format_given"), unsafe=F.col("unsafe"), stakes=F.col("stakes"))
+
+
 def decided(spark, sf_dir):
+    """Answers, decided by their checks and the first tier's scan of the turn before them."""
     a = _checked(spark, sf_dir).withColumn("t2", Y.tier2(F.col("g.score"), F.when(F.col("strict"), F.col("c.score")), F.col("s.score")))
-    t1 = (F.col("run_id") * 7 % 100).cast("double")
-    action = F.when(F.col("run_id") % 17 == 0, "care").otherwise("allow")
+    sure = D.certain({k: F.col(f"{k}.score") for k in ("injection", "unsafe", "pii", "usage")})
+    asked = full_scan(spark, sf_dir).select((F.col("run_id") + 1).alias("run_id"), F.col("t1.risk_score").alias("t1_score"), F.col("t1.action").alias("t1_action"), sure.alias("t1_sure"))
+    a = a.join(asked, "run_id", "left").fillna({"t1_score": 0.0, "t1_action": "allow", "t1_sure": False})
     retries = (F.col("run_id") % 2).cast("int")
-    a = a.withColumn("d", Y.decision(t1, action, F.col("run_id") % 5 == 0, F.col("t2.risk_score"), F.col("g.unsupported"), retries, F.col("strict")))
-    return a.select("run_id", F.col("t2.risk_score").alias("t2_score"), F.col("t2.weighted").alias("weighted"), F.array_join("t2.ran", ",").alias("ran"), F.col("d.action").alias("action"), F.col("d.severity").alias("severity"), F.col("d.confident").alias("confident"), Y.trust_label(F.col("d.action"), F.col("g.claims"), F.col("g.unsure"), F.col("g.unsupported")).alias("trust_label"), Y.decision_route(F.col("d.action"), retries).alias("route"))
+    a = a.withColumn("d", Y.decision(F.col("t1_score"), F.col("t1_action"), F.col("t1_sure"), F.col("t2.risk_score"), F.col("g.unsupported"), retries, F.col("strict")))
+    a = a.withColumns({"trust_label": Y.trust_label(F.col("d.action"), F.col("g.claims"), F.col("g.unsure"), F.col("g.unsupported")), "route": Y.decision_route(F.col("d.action"), retries)})
+    return a.select("run_id", F.col("t2.risk_score").alias("t2_score"), F.col("t2.weighted").alias("weighted"), F.array_join("t2.ran", ",").alias("ran"), F.col("d.action").alias("action"), F.col("d.severity").alias("severity"), F.col("d.confident").alias("confident"), "trust_label", "route")
+
+
+def tier1_full(spark, sf_dir):
+    return full_scan(spark, sf_dir).select("run_id", "t1.risk_score", "t1.weighted", "t1.solo", "t1.band", "t1.action", "t1.strict_mode")
+
+
+def tier1_output(spark, sf_dir):
+    """Answers, scanned in output mode, and whether they go on to the deep checks."""
+    s = D.scan(_near(spark, sf_dir, V.answers(spark, sf_dir), "answer"), "answer", "output", unsafe=F.col("unsafe"))
+    return s.select("run_id", "t1.risk_score", "t1.band", "t1.action", D.deep_check_route(F.col("strict"), F.col("t1.band")).alias("route"))
+
+
+def request_route(spark, sf_dir):
+    """Where requests go after the cache, and those that miss it after the evidence."""
+    cached = cache_lookup_asof(spark, sf_dir).select("id", D.cache_route(F.col("hit")).alias("cache"))
+    evidence = evidence_pack(spark, sf_dir).select("id", D.evidence_route(F.col("evidence")).alias("evidence"))
+    return cached.join(evidence, "id").select("id", "cache", F.when(F.col("cache") == "miss", F.col("evidence")).alias("evidence"))
 
 
 def judge_udf_slot(spark, sf_dir):
@@ -196,11 +236,24 @@ def risk_overview(spark, sf_dir):
 
 
 _USAGE = f"CASE WHEN len(question) > 20000 THEN 0.85 WHEN len(question) > 4000 THEN 0.35 + 0.3 * least(1.0::DOUBLE, (len(question) - 4000) / 4000) ELSE 0 END"
-_SCAN = f"""{TQ._pii_sql('input')}, p AS ({TQ.SQL['injection_phrase_score']}), i AS ({TQ.SQL['injection_structure_score']}), f AS (SELECT run_id, max(score) AS score, max(CASE action WHEN 'mask' THEN 1 ELSE 0 END) AS rank FROM found GROUP BY run_id),
+_SCAN = f"""{TQ._pii_sql('input', V.REQUESTS, TQ.pii_texts(TQ.REQUEST_TEXTS))}, p AS ({TQ.SQL['injection_phrase_score']}), i AS ({TQ.SQL['injection_structure_score']}), f AS (SELECT run_id, max(score) AS score, max(CASE action WHEN 'mask' THEN 1 ELSE 0 END) AS rank FROM found GROUP BY run_id),
 scores AS (SELECT r.run_id, greatest(p.score, i.score) AS inj, coalesce(f.score, 0.0::DOUBLE) AS pii, coalesce(f.rank, 0) AS rank, ({_USAGE})::DOUBLE AS usage FROM requests r JOIN p USING (run_id) JOIN i USING (run_id) LEFT JOIN f USING (run_id)),
 fused AS (SELECT *, least(100.0::DOUBLE, inj * 40 + pii * 20 + usage * 20) AS weighted, greatest(inj * 100, pii * 100, usage * 100) AS solo FROM scores),
 t1 AS (SELECT *, floor(greatest(weighted, solo) * 10 + 0.5) / 10 AS risk_score, CASE WHEN greatest(weighted, solo) >= 80 THEN 'high_risk' WHEN greatest(weighted, solo) >= 40 THEN 'cautious' ELSE 'normal' END AS band,
   CASE WHEN usage >= 0.8 THEN 'block' WHEN usage >= 0.4 THEN 'throttle' WHEN rank = 1 THEN 'mask' ELSE 'allow' END AS action FROM fused)"""
+_FULL = f"""{_SCAN}, {sides_sql()},
+full0 AS (SELECT c.*, n.score AS uns, n.action AS unsafe_action, k.score AS sta FROM scores c JOIN unsafe n USING (run_id) JOIN stakes k USING (run_id)),
+full2 AS (SELECT *, least(100.0::DOUBLE, inj * 40 + uns * 40 + pii * 20 + sta * 20 + usage * 20) AS weighted, greatest(inj * 100, uns * 100, pii * 100, usage * 100) AS solo FROM full0),
+full3 AS (SELECT *, floor(greatest(weighted, solo) * 10 + 0.5) / 10 AS risk_score, CASE WHEN greatest(weighted, solo) >= 80 THEN 'high_risk' WHEN greatest(weighted, solo) >= 40 THEN 'cautious' ELSE 'normal' END AS band FROM full2),
+full1 AS (SELECT *, CASE WHEN unsafe_action = 'block' OR usage >= 0.8 THEN 'block' WHEN unsafe_action <> 'allow' THEN unsafe_action WHEN usage >= 0.4 THEN 'throttle' WHEN rank = 1 THEN 'mask' ELSE 'allow' END AS action,
+  sta >= 0.4 OR band <> 'normal' AS strict_mode, greatest(inj, uns, pii, usage) >= 0.8 AS sure FROM full3)"""
+_ACTIONS = "CASE max(CASE action WHEN 'block' THEN 5 WHEN 'redact' THEN 2 WHEN 'mask' THEN 1 ELSE 0 END) WHEN 5 THEN 'block' WHEN 2 THEN 'redact' WHEN 1 THEN 'mask' ELSE 'allow' END"
+_OUTPUT = f"""{TQ._pii_sql('output', V.ANSWERS, TQ.pii_texts(f"SELECT run_id, {TQ._asciied('answer')} AS text FROM answers"))}, {sides_sql('answers', 'answer')},
+f AS (SELECT run_id, max(score) AS score, {_ACTIONS} AS action FROM found GROUP BY run_id),
+out0 AS (SELECT a.run_id, a.strict, n.score AS uns, n.action AS unsafe_action, coalesce(f.score, 0.0::DOUBLE) AS pii, coalesce(f.action, 'allow') AS pii_action FROM answers a JOIN unsafe n USING (run_id) LEFT JOIN f USING (run_id)),
+out2 AS (SELECT *, greatest(least(100.0::DOUBLE, uns * 40 + pii * 20), uns * 100, pii * 100) AS final FROM out0),
+out1 AS (SELECT run_id, strict, floor(final * 10 + 0.5) / 10 AS risk_score, CASE WHEN final >= 80 THEN 'high_risk' WHEN final >= 40 THEN 'cautious' ELSE 'normal' END AS band,
+  CASE WHEN unsafe_action = 'block' OR pii_action = 'block' THEN 'block' WHEN unsafe_action <> 'allow' THEN unsafe_action ELSE pii_action END AS action FROM out2)"""
 _GROUND = f"""WITH {V.ANSWERS}, evidence(tag, text) AS (VALUES {', '.join(f'({sql_text(k)}, {sql_text(v)})' for k, v in V.EVIDENCE.items())}),
 {TQ.claims_sql('answers', 'run_id', 'answer')},
 cited AS (SELECT run_id, k, text, tags, trim(coalesce((SELECT string_agg(coalesce(e.text, ''), chr(10) ORDER BY t.i) FROM (SELECT unnest(tags) AS tag, generate_subscripts(tags, 1) AS i) t LEFT JOIN evidence e USING (tag)), '')) AS cited FROM claims),
@@ -217,17 +270,20 @@ consistent AS (SELECT run_id, (CASE WHEN n OR d THEN 0.85 WHEN checked >= 2 THEN
 _U, _A, _O = rf"(?i)\b(?:{L.GROUPS})\b\s+(?:{L.SWEEPS})\b".replace("'", "''"), rf"(?i)\b(?:{L.UNSAFE_ADVICE})\b", rf"(?i)\b(?:{L.OVERCLAIMS})\b"
 _SAFE = f"""safe AS (SELECT run_id, greatest(CASE WHEN regexp_matches(answer, '{_U}') THEN 0.8 ELSE 0 END, CASE WHEN regexp_matches(answer, '{_A}') THEN 0.9 ELSE 0 END, CASE WHEN regexp_matches(answer, '{_O}') THEN CASE WHEN strict THEN 0.55 ELSE 0.3 END ELSE 0 END)::DOUBLE AS score,
   array_to_string(list_concat(list_transform(regexp_extract_all(answer, '{_U}'), lambda m: 'unfair_generalisation:' || m), list_transform(regexp_extract_all(answer, '{_A}'), lambda m: 'unsafe_advice:' || m), list_transform(regexp_extract_all(answer, '{_O}'), lambda m: 'overclaim:' || m)), '|') AS flags FROM answers)"""
-_DECIDED = f"""{_GROUND}, {_CONSISTENT}, {_SAFE},
+_DECIDED = f"""{_FULL}, {_GROUND.removeprefix('WITH ')}, {_CONSISTENT}, {_SAFE},
 t2 AS (SELECT g.run_id, g.claims, g.unsure, g.unsupported, a.strict, CASE WHEN a.strict THEN (g.score * 50 + c.score * 30 + s.score * 20) / 100 * 100 ELSE (g.score * 50 + s.score * 20) / 70 * 100 END AS w,
   greatest(g.score * 100, CASE WHEN a.strict THEN c.score * 100 ELSE 0 END, s.score * 100) AS solo FROM grounded g JOIN consistent c USING (run_id) JOIN safe s USING (run_id) JOIN answers a USING (run_id)),
-x AS (SELECT *, floor(greatest(w, solo) * 10 + 0.5) / 10 AS t2_score, floor(w * 10 + 0.5) / 10 AS weighted, (run_id * 7 % 100)::DOUBLE AS t1 FROM t2),
-y AS (SELECT *, greatest(t1, t2_score) AS sev, greatest(t1, t2_score) >= 80 OR run_id % 5 = 0 AS confident FROM x),
-z AS (SELECT *, CASE WHEN run_id % 17 = 0 THEN 'care' WHEN unsupported > 0 AND run_id % 2 = 0 THEN 'retry' WHEN unsupported > 0 THEN 'abstain' WHEN sev >= 80 AND confident THEN 'block'
+x AS (SELECT t2.*, floor(greatest(w, t2.solo) * 10 + 0.5) / 10 AS t2_score, floor(w * 10 + 0.5) / 10 AS weighted, coalesce(q.risk_score, 0.0::DOUBLE) AS t1, coalesce(q.action, 'allow') AS t1_action, coalesce(q.sure, false) AS t1_sure FROM t2 LEFT JOIN (SELECT run_id + 1 AS run_id, risk_score, action, sure FROM full1) q USING (run_id)),
+y AS (SELECT *, greatest(t1, t2_score) AS sev, greatest(t1, t2_score) >= 80 OR t1_sure AS confident FROM x),
+z AS (SELECT *, CASE WHEN t1_action IN ('block', 'block_and_route_hr', 'care') THEN t1_action WHEN unsupported > 0 AND run_id % 2 = 0 THEN 'retry' WHEN unsupported > 0 THEN 'abstain' WHEN sev >= 80 AND confident THEN 'block'
   WHEN sev >= 40 AND NOT confident THEN CASE WHEN strict THEN 'escalate' ELSE 'allow_with_note' END WHEN sev >= 40 THEN CASE WHEN strict THEN 'escalate' ELSE 'auto_fix' END ELSE 'allow' END AS action FROM y)"""
 
 QUERIES = {
     "risk_overview": risk_overview,
     "tier1_scan": tier1_scan,
+    "tier1_full": tier1_full,
+    "tier1_output": tier1_output,
+    "request_route": request_route,
     "tfidf_vocab": tfidf_vocab,
     "tfidf_topk": tfidf_topk,
     "unsafe_intent": unsafe_intent,
@@ -257,12 +313,10 @@ SQL = {
   concat_ws(',', CASE WHEN inj > 0 THEN 'injection=' || floor(inj * 100 + 0.5) / 100 END, CASE WHEN pii > 0 THEN 'pii=' || floor(pii * 100 + 0.5) / 100 END, CASE WHEN usage > 0 THEN 'usage_guard=' || floor(usage * 100 + 0.5) / 100 END) AS reasons FROM t1""",
     "tfidf_vocab": f"{_TFIDF} SELECT term, df, floor(idf * 1000000 + 0.5) / 1000000 AS idf FROM vocab",
     "tfidf_topk": f"{_TFIDF}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id)::INT AS rank FROM sims) SELECT query_id, item_id, rank, floor(sim * 1000000 + 0.5) / 1000000 AS sim FROM r WHERE rank <= 3",
-    "unsafe_intent": f"""{_SIDES}, b AS (SELECT *, (CASE WHEN u < 0.16 THEN 0 WHEN s >= u THEN 0.1 WHEN u - s >= 0.1 AND u >= 0.3 THEN 0.85 WHEN u - s >= 0.04 THEN 0.6 ELSE 0.4 END)::DOUBLE AS base, CASE WHEN u >= 0.16 AND s < u THEN category END AS kind FROM sides),
-n AS (SELECT *, CASE WHEN base >= 0.3 AND len(list_filter({sql_list(L.UNSAFE_KEYWORDS)}, lambda k: contains(lower(question), k))) > 0 THEN greatest(base, 0.45::DOUBLE) ELSE base END AS score FROM b)
-SELECT run_id, floor(u * 1000000 + 0.5) / 1000000 AS unsafe_sim, floor(s * 1000000 + 0.5) / 1000000 AS safe_sim, score, kind AS category, CASE WHEN kind = 'self_harm' AND score >= 0.4 THEN 'care' WHEN kind = 'harassment' AND score >= 0.8 THEN 'block_and_route_hr' WHEN kind IS NOT NULL AND score >= 0.8 THEN 'block' ELSE 'allow' END AS action FROM n""",
-    "stakes_nn": f"""{_SIDES}, b AS (SELECT *, (CASE WHEN u < 0.14 OR s >= u THEN 0 WHEN u - s >= 0.03 AND u >= 0.26 THEN 0.65 WHEN u - s >= 0.03 THEN 0.45 ELSE 0.25 END)::DOUBLE AS base, CASE WHEN u >= 0.14 AND s < u THEN category END AS kind FROM sides),
-n AS (SELECT *, CASE WHEN base >= 0.2 AND len(list_filter({sql_list(L.ESCALATORS)}, lambda k: contains(lower(question), k))) > 0 THEN least(0.65::DOUBLE, base + 0.2::DOUBLE) ELSE base END AS score FROM b)
-SELECT run_id, score, kind AS category, score >= 0.4 AS strict_mode FROM n""",
+    "unsafe_intent": f"{_SIDES} SELECT run_id, floor(u * 1000000 + 0.5) / 1000000 AS unsafe_sim, floor(s * 1000000 + 0.5) / 1000000 AS safe_sim, score, kind AS category, action FROM unsafe",
+    "stakes_nn": f"{_SIDES} SELECT run_id, score, kind AS category, score >= 0.4 AS strict_mode FROM stakes",
+    "tier1_full": f"""{_FULL} SELECT run_id, risk_score, floor(weighted * 10 + 0.5) / 10 AS weighted, floor(solo * 10 + 0.5) / 10 AS solo, band, action, strict_mode FROM full1""",
+    "tier1_output": f"""{_OUTPUT} SELECT run_id, risk_score, band, action, CASE WHEN strict OR band <> 'normal' THEN 'deep' ELSE 'skip' END AS route FROM out1""",
     "two_set_nn_dense": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label < 5 AS low FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, c.low, c.vec_id, floor(list_cosine_similarity(q.v, c.v) * 1000000 + 0.5) / 1000000 AS sim FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, low, vec_id, sim FROM p QUALIFY row_number() OVER (PARTITION BY query_id, low ORDER BY sim DESC, vec_id) = 1""",
@@ -287,6 +341,6 @@ SELECT run_id AS id, coalesce(sim >= 0.1 AND item_id % 3 <> 0, false) AS hit, CA
     "self_consistency": f"WITH {V.ANSWERS}, {_CONSISTENT} SELECT * FROM consistent",
     "output_safety": f"WITH {V.ANSWERS}, {_SAFE} SELECT * FROM safe",
     "decide": f"""{_DECIDED} SELECT run_id, t2_score, weighted, CASE WHEN strict THEN 'groundedness,output_safety,self_consistency' ELSE 'groundedness,output_safety' END AS ran, action, floor(sev * 10 + 0.5) / 10 AS severity, confident,
-  CASE WHEN action IN ('block', 'abstain') THEN 'could not verify' WHEN unsupported > 0 THEN 'could not verify' WHEN unsure > 0 THEN 'partly verified' WHEN claims > 0 THEN 'verified against your documents' ELSE 'not checked in depth' END AS trust_label,
+  CASE WHEN action IN ('block', 'abstain', 'block_and_route_hr') THEN 'could not verify' WHEN unsupported > 0 THEN 'could not verify' WHEN unsure > 0 THEN 'partly verified' WHEN claims > 0 THEN 'verified against your documents' ELSE 'not checked in depth' END AS trust_label,
   CASE WHEN action = 'retry' THEN 'regenerate' WHEN action = 'escalate' THEN 'human' ELSE 'finalize' END AS route FROM z""",
 }

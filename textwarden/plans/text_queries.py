@@ -72,8 +72,8 @@ def swaps_sql(source: str) -> str:
 
 
 def pii(spark, sf_dir, mode="input"):
-    d = V.requests(spark, sf_dir).select("run_id", F.regexp_replace("question", r"[^\x00-\x7F]", "").alias("text"))
-    d = d.unionByName(V.table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("run_id"), F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text")))
+    d = V.requests(spark, sf_dir).select("run_id", F.col("question").alias("text"))
+    d = d.unionByName(V.table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("run_id"), "text"))
     return d.withColumn("f", D.pii_findings(F.col("text"), mode))
 
 
@@ -98,7 +98,19 @@ def _valid_sql(kind: str) -> str:
     return {"AADHAAR": verhoeff, "PAN": f"substr(c, 4, 1) IN ({', '.join(map(sql_text, L.PAN_HOLDERS))})", "GSTIN": "substr(c, 1, 2)::INT BETWEEN 1 AND 38", "CREDIT_CARD": luhn}.get(kind, "true")
 
 
-def _pii_sql(mode: str) -> str:
+def _asciied(text: str) -> str:
+    """SQL for a text of equal length in which letters, digits and marks beyond ASCII are _ and others |: DuckDB's word boundaries are those of ASCII."""
+    return rf"regexp_replace(regexp_replace({text}, '[^\p{{L}}\p{{N}}\p{{M}}\x00-\x7F]', '|', 'g'), '[^\x00-\x7F]', '_', 'g')"
+
+
+def pii_texts(*sources: str) -> str:
+    return f"texts AS ({' UNION ALL '.join(sources)})"
+
+
+REQUEST_TEXTS = f"SELECT run_id, {_asciied('question')} AS text FROM requests"
+
+
+def _pii_sql(mode: str, views: str = V.REQUESTS, texts: str = pii_texts(REQUEST_TEXTS, f"SELECT -1 - doc_id, {_asciied('text')} FROM documents")) -> str:
     parts = []
     for kind, pattern, base, act_in, act_out in L.PII_PATTERNS:
         context = f"len(list_filter({sql_list(L.PII_CONTEXT[kind])}, lambda w: contains(around, w))) > 0" if kind in L.PII_CONTEXT else "false"
@@ -111,7 +123,7 @@ def _pii_sql(mode: str) -> str:
       SELECT run_id, text, ms[i] AS m, (list_sum(list_transform(gs[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))::BIGINT AS s
       FROM (SELECT run_id, text, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT run_id, text, regexp_extract_all(text, {rx}) AS ms, string_split_regex(text, {rx}) AS gs FROM texts)))))
   WHERE lower(trim(m)) NOT IN ({', '.join(map(sql_text, L.PII_ALLOWED))}) AND lower(c) NOT IN ({', '.join(map(sql_text, L.PII_ALLOWED))}) AND {keep} AND {_valid_sql(kind)}""")
-    return f"WITH {V.REQUESTS}, texts AS (SELECT run_id, regexp_replace(question, '[^\\x00-\\x7F]', '', 'g') AS text FROM requests UNION ALL SELECT -1 - doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') FROM documents), found AS ({' UNION ALL '.join(parts)})"
+    return f"WITH {views}, {texts}, found AS ({' UNION ALL '.join(parts)})"
 
 
 def injection_phrase_score(spark, sf_dir):
@@ -154,7 +166,7 @@ def long_run(spark, sf_dir):
 
 
 def cards(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.regexp_replace("text", r"[^\x00-\x7F]", ""), F.lit(r"\b(?:[0-9][ -]?){12,19}\b"), F.lit(0))).alias("m"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b(?:[0-9][ -]?){12,19}\b"), F.lit(0))).alias("m"))
     c = F.regexp_replace("m", r"[\s-]", "")
     return d.select("doc_id", c.alias("digits"), T.luhn_valid(c).alias("valid"))
 
@@ -222,7 +234,7 @@ SELECT run_id, coalesce(string_agg(part, '|' ORDER BY i) FILTER (WHERE len(part)
 SELECT run_id, CASE WHEN len(p) > 1 THEN array_to_string(p, '|') ELSE '' END AS parts FROM p""",
     "counterfactual_pairs": f"WITH {V.REQUESTS} {swaps_sql('requests')}",
     "luhn_cards": rf"""SELECT doc_id, c AS digits, {_valid_sql('CREDIT_CARD')} AS valid FROM (SELECT doc_id, regexp_replace(m, '[\s-]', '', 'g') AS c
-FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\b(?:[0-9][ -]?){{12,19}}\b')) AS m FROM documents))""",
+FROM (SELECT doc_id, unnest(regexp_extract_all({_asciied('text')}, '\b(?:[0-9][ -]?){{12,19}}\b')) AS m FROM documents))""",
     "verhoeff_ids": f"SELECT o_orderkey, c AS digits, {_valid_sql('AADHAAR')} AS valid FROM (SELECT o_orderkey, '2' || lpad((o_orderkey * 7919 % 100000000000)::VARCHAR, 11, '0') AS c FROM orders)",
     "pan_gstin_valid": f"SELECT c_custkey, substr(p, 4, 1) IN ({', '.join(map(sql_text, L.PAN_HOLDERS))}) AS pan, c_custkey % 45 BETWEEN 1 AND 38 AS gstin FROM (SELECT c_custkey, {_PAN} AS p FROM customer)",
     "pii_findings": _pii_sql("input") + ' SELECT run_id, kind, text, start, "end", score, context, action FROM found',

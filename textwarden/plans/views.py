@@ -69,12 +69,12 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     n = len(ANSWER_LINES)
     k = F.col("conv_id") * 7 + F.col("turn")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("run_id"), F.concat_ws(" ", F.substring("text", 1, 80), F.lit("[S1]."), pick(ANSWER_LINES, k % n)).alias("answer"), F.concat_ws(" ", F.substring("text", 1, 80), F.lit("[S1]."), pick(ANSWER_LINES, F.floor(k / 2) % n)).alias("other"), (F.col("conv_id") % 2 == 0).alias("strict"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("run_id"), F.concat_ws(" ", "text", F.lit("[S1]."), pick(ANSWER_LINES, k % n)).alias("answer"), F.concat_ws(" ", "text", F.lit("[S1]."), pick(ANSWER_LINES, F.floor(k / 2) % n)).alias("other"), (F.col("conv_id") % 2 == 0).alias("strict"))
 
 
 ANSWERS = f"""answers AS (
-  SELECT conv_id * 1000 + turn AS run_id, substr(text, 1, 80) || ' [S1]. ' || {sql_list(ANSWER_LINES)}[((conv_id * 7 + turn) % {len(ANSWER_LINES)})::INT + 1] AS answer,
-         substr(text, 1, 80) || ' [S1]. ' || {sql_list(ANSWER_LINES)}[((conv_id * 7 + turn) // 2 % {len(ANSWER_LINES)})::INT + 1] AS other, conv_id % 2 = 0 AS strict
+  SELECT conv_id * 1000 + turn AS run_id, text || ' [S1]. ' || {sql_list(ANSWER_LINES)}[((conv_id * 7 + turn) % {len(ANSWER_LINES)})::INT + 1] AS answer,
+         text || ' [S1]. ' || {sql_list(ANSWER_LINES)}[((conv_id * 7 + turn) // 2 % {len(ANSWER_LINES)})::INT + 1] AS other, conv_id % 2 = 0 AS strict
   FROM conversations WHERE role = 'assistant')"""
 
 
@@ -122,7 +122,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as verdict events, several an order: run_id, verdict, reviewer, at."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 and l_quantity > 20")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("run_id"), pick(["correct", "wrong", "should_block", "over_flagged"], F.col("l_partkey") % 4).alias("verdict"), F.concat(F.lit("r"), (F.col("l_suppkey") % 5).cast("string")).alias("reviewer"), (F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("bigint").alias("at"))
 
 
@@ -131,19 +131,19 @@ REVIEWS = """reviews AS (
          epoch(o_orderdate)::DOUBLE AS queued_at, epoch(o_orderdate)::DOUBLE + 86400 AS due_at FROM orders),
 verdicts AS (
   SELECT l_orderkey AS run_id, ['correct', 'wrong', 'should_block', 'over_flagged'][(l_partkey % 4)::INT + 1] AS verdict, 'r' || l_suppkey % 5 AS reviewer, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS told_at
-  FROM lineitem WHERE l_linenumber <= 3 AND l_quantity > 20),
+  FROM lineitem),
 items AS (
   SELECT r.*, v.verdict, v.reviewer, CASE WHEN v.verdict IS NULL THEN 'waiting' ELSE 'reviewed' END AS status
   FROM reviews r LEFT JOIN (SELECT run_id, arg_max(verdict, told_at) AS verdict, arg_max(reviewer, told_at) AS reviewer FROM verdicts GROUP BY run_id) v USING (run_id))"""
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents of up to 400 characters as examples: id, side (toxic or safe), category, text."""
-    d = table(spark, sf_dir, "documents").where("length(text) <= 400").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Labelled documents as examples: id, side (toxic or safe), category, text."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     toxic = F.col("toxic") == 1
     return d.select(F.col("doc_id").alias("id"), F.when(toxic, "risky").otherwise("calm").alias("side"), F.when(toxic, pick(["fraud", "harassment", "self_harm"], F.col("doc_id") % 3)).alias("category"), "text")
 
 
 EXAMPLES = """examples AS (
   SELECT d.doc_id AS id, CASE WHEN toxic = 1 THEN 'risky' ELSE 'calm' END AS side, CASE WHEN toxic = 1 THEN ['fraud', 'harassment', 'self_harm'][(d.doc_id % 3)::INT + 1] END AS category, text
-  FROM documents d JOIN labels USING (doc_id) WHERE length(text) <= 400)"""
+  FROM documents d JOIN labels USING (doc_id))"""
