@@ -23,6 +23,7 @@ link between different sets is found or implied.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
@@ -71,6 +72,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.starts = num, den, [1]
+        self.known: dict[int, tuple[int, int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
@@ -79,11 +81,26 @@ class Bands:
 
     def blocks(self, band: int) -> tuple[int, int, int]:
         """(K, E, C) of a band: blocks, those that may be empty, and the common symbols that are left out."""
+        if band not in self.known:
+            self.known[band] = self._blocks(band)
+        return self.known[band]
+
+    def _blocks(self, band: int) -> tuple[int, int, int]:
         while len(self.starts) < band + 2:
             self.of(self.starts[-1])
         most = self.starts[band + 1] - 1
         apart = (self.den - self.num) * 2 * most // (self.den + self.num)
-        empty, common = (1 + apart // 15, apart // COMMON) if apart else (0, 0)
+        if not apart:
+            return 1, 0, 0
+        # as many blocks may be empty as the smallest sets that have keys in the band are likely to leave
+        least, common, empty = max(1, self.num * self.starts[band] // self.den), apart // COMMON, 1
+        while empty <= apart // 2:
+            k = apart + 1 + empty + common
+            mean = k * math.exp(-least / k)
+            needed = math.ceil(mean + 2 * math.sqrt(mean))
+            if needed <= empty:
+                break
+            empty = needed
         return apart + 1 + empty + common, empty, common
 
     def commons(self, size: int = 1 << 31) -> list[int]:
