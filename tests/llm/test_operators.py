@@ -6,10 +6,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from textwarden.llm import chunk_dedup, components, decontaminate, hashing, language_id, license_scan, line_dedup, mixing, ngram_jaccard, quality_rules, suffix_dedup, topk_search
+from textwarden.llm.queries import license_sql, op2_license_scan
 
 from .conftest import WORDS, odd_rows, prose
 
@@ -274,6 +276,38 @@ def test_licences(spark, empty):
     assert license_scan.scan(df, license_scan.templates(spark).where("false")).where("license is not null").count() == 0
 
 
+def test_licences_against_sql(spark):
+    """A tree of files with licence files at several depths, notices, ties, a long text, nulls and repeated rows, against SQL."""
+    r = random.Random(6)
+    notices = [text for _, text in license_scan.TEMPLATES]
+    rows = [("deep/a/b/c/d/e.py", prose(r, 40)), (None, notices[0]), (None, None), ("x", None), ("x/LICENSE", notices[1]), ("x/COPYING", notices[2]), ("x/y/z", ""), ("long.txt", prose(r, 5000) + "\n" + notices[3].upper() + "\n" + prose(r, 5000))]
+    for k in range(120):
+        path = "/".join(r.choice("abc") for _ in range(r.randrange(4)))
+        name = r.choice(["LICENSE", "COPYING.txt", "notice", f"f{k}.py", f"g{k}.md", "same.py"])
+        lines = [prose(r, r.randrange(12)) for _ in range(r.randrange(1, 6))]
+        if name[0] in "LCn":
+            lines = [r.choice(notices)] * r.randrange(1, 3)
+        elif r.random() < 0.3:
+            lines.insert(r.randrange(len(lines)), r.choice(["# ", ""]) + r.choice(notices) + r.choice(["", " the the", " MIT", " more words of our own"]))
+        rows.append((f"{path}/{name}" if path else name, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "path string, text string").repartition(3)
+    got = license_scan.scan(df, license_scan.templates(spark)).select("path", "license", "how", "score").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE files (path VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO files VALUES (?, ?)", rows)
+    want = con.sql(license_sql("SELECT * FROM files", "path, license, how, score")).fetchall()
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert {x["how"] for x in got} == {"file", "header", "inherited", None}
+
+
+def test_licences_of_documents_without_ids(spark, tmp_path):
+    """The query takes rows whose doc_id or source is null."""
+    rows = [(None, license_scan.TEMPLATES[1][1], None), (5, "plain words", None), (None, None, "web"), (7, None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(x["doc_id"], x["license"], x["how"]) for x in op2_license_scan(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter([(None, "MIT", "file"), (5, None, None), (None, None, None), (7, None, None)])
+
+
 def test_words_are_words():
     assert len(WORDS) == len(set(WORDS))
 

@@ -35,11 +35,46 @@ SELECT n.doc_id, n.n_shingles, min(reach.y) AS component_id FROM n JOIN reach ON
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents, as files in folders of a thousand below their source."""
+    """Licences of all documents, as files in folders of a thousand below their source. A null doc_id is a file named "none"."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    folder = F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), folder, F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     found = license_scan.scan(docs.select(path.alias("path"), "text"), license_scan.templates(spark))
-    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "license", "how", "score")
+    return found.select(F.substring_index("path", "/", -1).try_cast("long").alias("doc_id"), "license", "how", "score")
+
+
+def license_sql(files: str, answer: str, templates: list[tuple[str, str]] = license_scan.TEMPLATES, threshold: float = 0.6) -> str:
+    """SQL for a scan of the rows (path, text) that the SQL `files` gives; answer is what to select of path, license, how, score."""
+    known = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in templates)
+    stop = ", ".join(f"'{w}'" for w in license_scan.STOP_WORDS)
+    return rf"""
+WITH t(license, text) AS (VALUES {known}),
+bag AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) AS term FROM t) WHERE term NOT IN ({stop}) GROUP BY ALL),
+many AS (SELECT 1 + count(DISTINCT license) AS many FROM t),
+v AS (SELECT term, ln((SELECT many FROM many)::DOUBLE / (1 + count(*))) + 1 AS idf FROM bag GROUP BY term),
+u AS (SELECT license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS w FROM bag JOIN v USING (term)),
+d AS (SELECT row_number() OVER () AS row, path, text, regexp_replace(path, '(^|/)[^/]*$', '') AS folder FROM ({files})),
+p AS (SELECT row, unnest(list_prepend(text, string_split(text, chr(10)))) AS part, unnest(range(0, len(string_split(text, chr(10))) + 1)) AS line FROM d WHERE text IS NOT NULL),
+q AS (SELECT row, line, term, count(*) AS tf FROM (SELECT row, line, unnest(regexp_extract_all(lower(part), '{license_scan.TERM}')) AS term FROM p) WHERE term NOT IN ({stop}) GROUP BY ALL),
+z AS (SELECT row, line, q.term, tf * coalesce(idf, ln((SELECT many FROM many)::DOUBLE) + 1) AS q FROM q LEFT JOIN v ON v.term = q.term),
+size AS (SELECT row, line, sqrt(sum(q * q)) AS length FROM z GROUP BY ALL),
+dots AS (SELECT row, line, license, sum(q * w) AS dot FROM z JOIN u ON u.term = z.term GROUP BY ALL),
+near AS (SELECT row, CASE WHEN line = 0 THEN 'file' ELSE 'header' END AS how, license, floor(dot / length * 1e6 + 0.5) / 1e6 AS score FROM dots JOIN size USING (row, line)),
+best AS (SELECT * FROM near WHERE score >= {threshold}::DOUBLE QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, how, license) = 1),
+own AS (SELECT d.row, path, folder, license, how, score FROM d LEFT JOIN best USING (row)),
+spoken AS (SELECT folder, license AS above FROM own WHERE license IS NOT NULL AND path IS NOT NULL AND (how = 'file' OR regexp_matches(path, '{license_scan.LICENCE_NAMES}'))
+           QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, license) = 1),
+up AS (SELECT row, unnest(range(0, len(string_split(folder, '/')) + 1)) AS k, folder FROM own WHERE license IS NULL AND path IS NOT NULL),
+heir AS (SELECT up.row, spoken.above FROM up JOIN spoken ON spoken.folder = array_to_string(string_split(up.folder, '/')[1 : k], '/') QUALIFY row_number() OVER (PARTITION BY up.row ORDER BY k DESC) = 1),
+found AS (SELECT path, coalesce(license, above) AS license, coalesce(how, CASE WHEN above IS NOT NULL THEN 'inherited' END) AS how, score FROM own LEFT JOIN heir USING (row))
+SELECT {answer} FROM found
+"""
+
+
+OP2_SQL = license_sql(
+    "SELECT coalesce(source, 'none') || '/' || coalesce((doc_id // 1000)::VARCHAR, 'none') || '/' || coalesce(doc_id::VARCHAR, 'none') AS path, text FROM documents",
+    "TRY_CAST(string_split(path, '/')[-1] AS BIGINT) AS doc_id, license, how, score",
+)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +192,7 @@ QUERIES = {
 }
 SQL = {
     "op1_ngram_jaccard": OP1_SQL,
+    "op2_license_scan": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op7_topk_search": OP7_SQL,
