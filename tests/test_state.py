@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from textwarden.operators import history as H
+from textwarden.operators import verify as Y
 from textwarden.plans import job_queries
 from textwarden.sources import stores
 
@@ -52,3 +53,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fuzzy_ratio_of_nulls(spark):
+    df = spark.createDataFrame([("abcd", "abce"), (None, "x"), ("x", None), ("", "")], "a string, b string")
+    assert [r["r"] for r in df.select(Y.fuzzy_ratio()("a", "b").alias("r")).collect()] == [0.75, None, None, 1.0]

@@ -216,9 +216,14 @@ def fuzzy_leak(spark, sf_dir):
 
 
 def extract_answers(spark, sf_dir):
+    """Answers drawn from the sentences of each request's three nearest passages."""
+    c, vocab, items = _fitted(spark, sf_dir)
     r = V.requests(spark, sf_dir).select("run_id", "question")
-    texts = F.array(*map(F.lit, V.EVIDENCE.values()))
-    return r.select("run_id", Y.extract_answer(F.col("question"), texts).alias("answer"))
+    near = VE.top(VE.similarities(VE.tfidf(_texts(r), vocab), items), 3).join(VE.small(c.select(F.col("id").alias("item_id"), "text")), "item_id")
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "text")))
+    told = near.groupBy(F.col("query_id").alias("run_id")).agg(F.transform(ranked, lambda x: x["text"]).alias("evidence"))
+    evidence = F.coalesce("evidence", F.array().cast("array<string>"))
+    return r.join(told, "run_id", "left").select("run_id", Y.extract_answer(F.col("question"), evidence).alias("answer"))
 
 
 # --- whole requests ---
@@ -337,6 +342,18 @@ d AS (SELECT a.query_id, CASE WHEN a.b.trust > z.b.trust THEN 'trust' WHEN a.b.y
 SELECT query_id, reason <> 'none' AS resolved, reason, CASE WHEN reason <> 'none' THEN winner END AS winner_id, CASE WHEN reason <> 'none' THEN (SELECT array_to_string(list_sort(flatten(list(ids))), ',') FROM r WHERE r.query_id = d.query_id AND k > 1) ELSE '' END AS losers FROM d""",
     "cache_lookup_asof": f"""{_TFIDF}, b AS (SELECT query_id AS id, item_id, sim FROM sims WHERE item_id * 1500 < query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id) = 1)
 SELECT run_id AS id, coalesce(sim >= 0.1 AND item_id % 3 <> 0, false) AS hit, CASE WHEN sim >= 0.1 AND item_id % 3 <> 0 THEN item_id END AS entry_id FROM requests LEFT JOIN b ON b.id = run_id""",
+    "near_dup_leaders": f"""{_TFIDF.replace("WITH", "WITH RECURSIVE", 1)}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id) AS rank FROM sims QUALIFY rank <= {L.FETCH}),
+alike AS (SELECT a.id AS item_id, list(b.id) AS near FROM (SELECT x.id, y.id AS other FROM cw x JOIN cw y ON x.term = y.term AND x.id <> y.id GROUP BY ALL HAVING sum(x.w * y.w) > {L.DUPLICATE}::DOUBLE) a JOIN corpus b ON b.id = a.other GROUP BY ALL),
+kept AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::BIGINT[] AS ids FROM r UNION ALL
+  SELECT kept.query_id, k + 1, CASE WHEN len(list_intersect(ids, coalesce(near, []::BIGINT[]))) > 0 THEN ids ELSE list_append(ids, r.item_id) END FROM kept JOIN r ON r.query_id = kept.query_id AND r.rank = k + 1 LEFT JOIN alike ON alike.item_id = r.item_id)
+SELECT query_id, len(ids)::INT AS kept, (k - len(ids))::INT AS dropped FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1""",
+    "extract_answers": rf"""{_TFIDF}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id) AS rank FROM sims QUALIFY rank <= 3),
+e AS (SELECT query_id AS run_id, rank, question, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(x) > 12) AS s
+  FROM r JOIN corpus ON id = item_id JOIN requests ON run_id = query_id),
+w AS (SELECT run_id, 'S' || rank AS tag, list_distinct(regexp_extract_all(lower(question), '[a-z]{{4,}}')) AS q, unnest(CASE WHEN len(s) > 0 THEN s ELSE [text] END) AS s FROM e),
+o AS (SELECT run_id, tag, s, CASE WHEN len(q) > 0 THEN len(list_intersect(q, regexp_extract_all(lower(s), '[a-z]{{4,}}')))::DOUBLE / len(q) ELSE 0 END AS o FROM w),
+p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY o DESC, tag DESC, s DESC) AS k FROM o QUALIFY k <= 3)
+SELECT run_id, coalesce(string_agg(rtrim(s, '.') || ' [' || tag || '].', ' ' ORDER BY k) FILTER (WHERE o > 0.05), {sql_text(Y.NOTHING_FOUND)}) AS answer FROM requests LEFT JOIN p USING (run_id) GROUP BY run_id""",
     "groundedness": f"{_GROUND} SELECT run_id, score, claims, supported, unsure, unsupported FROM grounded",
     "self_consistency": f"WITH {V.ANSWERS}, {_CONSISTENT} SELECT * FROM consistent",
     "output_safety": f"WITH {V.ANSWERS}, {_SAFE} SELECT * FROM safe",
