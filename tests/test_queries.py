@@ -1,7 +1,9 @@
 """Every registered query against its SQL on the smallest tables; queries without SQL must give rows."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from oracle import rows_of, sql_rows
+from oracle import TABLES, rows_of, sql_rows
 
 from textwarden import registry
 
@@ -15,3 +17,16 @@ def test_query(spark, name):
         assert got == sql_rows(registry.SQL[name], SF)
     else:
         assert got[1]
+
+
+def test_near_duplicates_go(spark, tmp_path):
+    """Passages in several near copies, against SQL: the test tables have none, so that nothing is dropped there."""
+    for name in TABLES:
+        if name != "benchmark":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id < 8").collect()
+    rows = [(x["item_id"] + 8 * k, x["text"] + end) for x in items for k, end in enumerate(["", "", " again", " and something else"])]
+    pq.write_table(pa.table({"item_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}), tmp_path / "benchmark.parquet")
+    names, got = rows_of(registry.QUERIES["near_dup_leaders"](spark, str(tmp_path)).toArrow())
+    assert (names, got) == sql_rows(registry.SQL["near_dup_leaders"], str(tmp_path))
+    assert sum(r[names.index("dropped")] for r in got) > 0
