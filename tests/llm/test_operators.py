@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textwarden.llm import chunk_dedup, components, decontaminate, hashing, language_id, license_scan, line_dedup, mixing, ngram_jaccard, quality_rules, suffix_dedup, topk_search
@@ -188,10 +189,20 @@ def test_contamination(spark, docs, empty):
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     got = [tuple(r) for r in decontaminate.contamination(docs, bench).drop("row").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and sum(r[-1] for r in got) >= 5
+    # Terms and windows beyond a broadcast, and texts of several pieces, give the same rows.
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "PIECE", 16)
+        again = [tuple(r) for r in decontaminate.contamination(docs, bench, broadcast_rows=20).drop("row").collect()]
+    assert sorted(again, key=repr) == sorted(want, key=repr)
     assert decontaminate.contamination(empty, bench).count() == 0
     assert not decontaminate.contamination(docs, bench.where("false")).where("contaminated").count()
-    near = decontaminate.proximity_matches(docs, [texts[4].split()[50], texts[4].split()[53]], 5)
-    assert 4 in {r["doc_id"] for r in near.collect()}
+    first, other, third = (texts[4].split()[k] for k in (50, 53, 48))
+    for terms, within in (([first, other], 5), ([first, other, third], 3), ([first, other], 1), ([first], 4)):
+        places = []
+        for i, t in TEXTS:
+            w = words(t)
+            places += [(i, k) for k, x in enumerate(w) if x == first and all(o in w[max(0, k - within) : k + within + 1] for o in terms[1:])]
+        assert sorted(map(tuple, decontaminate.proximity_matches(docs, terms, within).collect()), key=repr) == sorted(places, key=repr)
 
 
 def test_mixing(docs, empty):
