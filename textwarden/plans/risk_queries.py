@@ -9,12 +9,15 @@ from ..functions import text as T
 from ..operators import detectors as D
 from ..operators import evidence as E
 from ..operators import history as H
+from ..operators import rewrite as R
 from ..operators import vectors as VE
 from ..operators import verify as Y
 from . import text_queries as TQ
 from . import views as V
 from .views import sql_list, sql_text
 
+PARTLY = "Parts of this answer could not be checked."
+
 # --- TF-IDF ---
 
 
@@ -215,15 +218,33 @@ def fuzzy_leak(spark, sf_dir):
     return rows.select("k", Y.fuzzy_ratio()(F.col("a"), F.col("b")).alias("ratio"))
 
 
-def extract_answers(spark, sf_dir):
-    """Answers drawn from the sentences of each request's three nearest passages."""
+def _with_evidence(spark, sf_dir):
+    """Requests (run_id, question, strict) with the texts of their three nearest passages, nearest first."""
     c, vocab, items = _fitted(spark, sf_dir)
-    r = V.requests(spark, sf_dir).select("run_id", "question")
+    r = V.requests(spark, sf_dir).select("run_id", "question", (F.col("thread") % 2 == 0).alias("strict"))
     near = VE.top(VE.similarities(VE.tfidf(_texts(r), vocab), items), 3).join(VE.small(c.select(F.col("id").alias("item_id"), "text")), "item_id")
     ranked = F.array_sort(F.collect_list(F.struct("rank", "text")))
     told = near.groupBy(F.col("query_id").alias("run_id")).agg(F.transform(ranked, lambda x: x["text"]).alias("evidence"))
-    evidence = F.coalesce("evidence", F.array().cast("array<string>"))
-    return r.join(told, "run_id", "left").select("run_id", Y.extract_answer(F.col("question"), evidence).alias("answer"))
+    return r.join(told, "run_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+
+
+def extract_answers(spark, sf_dir):
+    """Answers drawn from the sentences of each request's three nearest passages."""
+    return _with_evidence(spark, sf_dir).select("run_id", Y.extract_answer(F.col("question"), F.col("evidence")).alias("answer"))
+
+
+def generate_answers(spark, sf_dir):
+    """Answers of the model that needs none, with their citations checked; requests of even threads are strict."""
+    told = R.generate(_with_evidence(spark, sf_dir))
+    return told.select("run_id", "strict", "answer", "temperature", F.array_join("untagged", "|").alias("untagged"), "citations_ok", "reprompted", "calls")
+
+
+def delivered(spark, sf_dir):
+    """The text that each decided answer is delivered as, with a reference id where it is withheld."""
+    a = decided(spark, sf_dir).join(V.answers(spark, sf_dir).select("run_id", "answer"), "run_id")
+    ref = Y.short_ref(F.substring(F.md5(F.col("run_id").cast("string")), 1, 12))
+    caveat = F.when(F.col("trust_label") == "partly verified", PARTLY)
+    return a.select("run_id", "action", ref.alias("ref"), Y.message(F.col("action"), F.col("answer"), caveat, ref).alias("message"))
 
 
 # --- whole requests ---
@@ -305,12 +326,21 @@ QUERIES = {
     "output_safety": output_safety,
     "decide": decided,
     "extract_answers": extract_answers,
+    "generate_answers": generate_answers,
+    "delivered": delivered,
     "judge_udf_slot": judge_udf_slot,
     "fuzzy_leak": fuzzy_leak,
 }
 _TFIDF = f"WITH {V.REQUESTS}, {tfidf_sql(V.CORPUS, 'corpus')}"
 _BOOSTS = " ".join(f"WHEN {sql_text(k)} THEN {v}" for k, v in L.TRUST_BOOST.items())
 _RANKS = " ".join(f"WHEN {sql_text(k)} THEN {v}" for k, v in L.TRUST_RANK.items())
+_DRAWN = rf"""{_TFIDF.replace('{', '{{').replace('}', '}}')}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id) AS rank FROM sims QUALIFY rank <= 3),
+e AS (SELECT query_id AS run_id, rank, thread, question, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(x) > 12) AS s
+  FROM r JOIN corpus ON id = item_id JOIN requests ON run_id = query_id),
+w AS (SELECT run_id, thread, 'S' || rank AS tag, list_distinct(regexp_extract_all(lower(question), '[a-z]{{{{4,}}}}')) AS q, unnest(CASE WHEN len(s) > 0 THEN s ELSE [text] END) AS s FROM e),
+o AS (SELECT run_id, thread, tag, s, CASE WHEN len(q) > 0 THEN len(list_intersect(q, regexp_extract_all(lower(s), '[a-z]{{{{4,}}}}')))::DOUBLE / len(q) ELSE 0 END AS o FROM w),
+p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY o DESC, tag DESC, s DESC) AS k FROM o QUALIFY k <= {{keep}}),
+drawn AS (SELECT run_id, coalesce(string_agg(rtrim(s, '.') || ' [' || tag || '].', ' ' ORDER BY k) FILTER (WHERE o > 0.05), {sql_text(Y.NOTHING_FOUND)}) AS answer FROM requests LEFT JOIN p USING (run_id) GROUP BY run_id)"""
 SQL = {
     "risk_overview": f"{_SCAN} SELECT band, action, count(*) AS n, floor(avg(risk_score) * 1000000 + 0.5) / 1000000 AS mean_score FROM t1 GROUP BY band, action",
     "tier1_scan": f"""{_SCAN} SELECT run_id, risk_score, floor(weighted * 10 + 0.5) / 10 AS weighted, band, action, band <> 'normal' AS strict_mode, CASE WHEN action = 'block' THEN 'blocked' ELSE 'rewrite' END AS route,
@@ -347,13 +377,13 @@ alike AS (SELECT a.id AS item_id, list(b.id) AS near FROM (SELECT x.id, y.id AS
 kept AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::BIGINT[] AS ids FROM r UNION ALL
   SELECT kept.query_id, k + 1, CASE WHEN len(list_intersect(ids, coalesce(near, []::BIGINT[]))) > 0 THEN ids ELSE list_append(ids, r.item_id) END FROM kept JOIN r ON r.query_id = kept.query_id AND r.rank = k + 1 LEFT JOIN alike ON alike.item_id = r.item_id)
 SELECT query_id, len(ids)::INT AS kept, (k - len(ids))::INT AS dropped FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1""",
-    "extract_answers": rf"""{_TFIDF}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id) AS rank FROM sims QUALIFY rank <= 3),
-e AS (SELECT query_id AS run_id, rank, question, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(x) > 12) AS s
-  FROM r JOIN corpus ON id = item_id JOIN requests ON run_id = query_id),
-w AS (SELECT run_id, 'S' || rank AS tag, list_distinct(regexp_extract_all(lower(question), '[a-z]{{4,}}')) AS q, unnest(CASE WHEN len(s) > 0 THEN s ELSE [text] END) AS s FROM e),
-o AS (SELECT run_id, tag, s, CASE WHEN len(q) > 0 THEN len(list_intersect(q, regexp_extract_all(lower(s), '[a-z]{{4,}}')))::DOUBLE / len(q) ELSE 0 END AS o FROM w),
-p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY o DESC, tag DESC, s DESC) AS k FROM o QUALIFY k <= 3)
-SELECT run_id, coalesce(string_agg(rtrim(s, '.') || ' [' || tag || '].', ' ' ORDER BY k) FILTER (WHERE o > 0.05), {sql_text(Y.NOTHING_FOUND)}) AS answer FROM requests LEFT JOIN p USING (run_id) GROUP BY run_id""",
+    "extract_answers": f"{_DRAWN.format(keep='3')} SELECT run_id, answer FROM drawn",
+    "generate_answers": rf"""{_DRAWN.format(keep='CASE WHEN thread % 2 = 0 THEN 2 ELSE 3 END')},
+parts AS (SELECT run_id, list_filter(list_transform(string_split_regex(regexp_replace(trim(answer), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), '\x01+'), lambda x: trim(x)),
+  lambda x: len(x) >= 12 AND NOT regexp_matches(x, '\[([A-Za-z]?\d+)\]')) AS u FROM drawn),
+told AS (SELECT run_id, thread % 2 = 0 AS strict, answer, run_id IN (SELECT query_id FROM r) AS found, u FROM requests JOIN drawn USING (run_id) JOIN parts USING (run_id))
+SELECT run_id, strict, answer, CASE WHEN strict THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END AS temperature, CASE WHEN found THEN array_to_string(u, '|') ELSE '' END AS untagged,
+       NOT found OR len(u) = 0 AS citations_ok, found AND strict AND len(u) > 0 AS reprompted, CASE WHEN NOT found THEN 0 WHEN strict AND len(u) > 0 THEN 2 ELSE 1 END AS calls FROM told""",
     "groundedness": f"{_GROUND} SELECT run_id, score, claims, supported, unsure, unsupported FROM grounded",
     "self_consistency": f"WITH {V.ANSWERS}, {_CONSISTENT} SELECT * FROM consistent",
     "output_safety": f"WITH {V.ANSWERS}, {_SAFE} SELECT * FROM safe",
@@ -361,3 +391,8 @@ SELECT run_id, coalesce(string_agg(rtrim(s, '.') || ' [' || tag || '].', ' ' ORD
   CASE WHEN action IN ('block', 'abstain', 'block_and_route_hr') THEN 'could not verify' WHEN unsupported > 0 THEN 'could not verify' WHEN unsure > 0 THEN 'partly verified' WHEN claims > 0 THEN 'verified against your documents' ELSE 'not checked in depth' END AS trust_label,
   CASE WHEN action = 'retry' THEN 'regenerate' WHEN action = 'escalate' THEN 'human' ELSE 'finalize' END AS route FROM z""",
 }
+_ACTED = " ".join(f"WHEN action {test} THEN {text}" for test, text in (
+    ("= 'abstain'", sql_text(Y.ABSTAINED)), ("IN ('block', 'block_and_route_hr')", sql_text(Y.STOPPED) + " || ref || '.'"),
+    ("= 'care'", sql_text(Y.CARE)), ("= 'escalate'", sql_text(Y.HANDED_ON) + " || ref || '.'")))
+SQL["delivered"] = f"""WITH {V.ANSWERS}, d AS ({SQL['decide']}), n AS (SELECT run_id, action, trust_label, answer, substr(md5(run_id::VARCHAR), 1, 4) || '-' || substr(md5(run_id::VARCHAR), 5, 2) AS ref FROM d JOIN answers USING (run_id))
+SELECT run_id, action, ref, (CASE {_ACTED} ELSE answer END) || CASE WHEN trust_label = 'partly verified' AND action NOT IN ('block', 'abstain', 'block_and_route_hr') THEN chr(10) || chr(10) || {sql_text(PARTLY)} ELSE '' END AS message FROM n"""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import detectors as D
+from ..operators import rewrite as R
 from . import views as V
 from .views import sql_list, sql_text
 
@@ -58,6 +60,38 @@ def relative_dates(spark, sf_dir):
     return V.requests(spark, sf_dir).select("run_id", T.absolute_dates(F.col("question"), F.lit(TODAY).cast("date")).alias("rewritten"))
 
 
+def rewrite_query(spark, sf_dir):
+    """Each request rewritten whole, with the request before it in its thread."""
+    before = F.lag("question").over(Window.partitionBy("thread").orderBy("seq"))
+    told = R.rewrite(V.requests(spark, sf_dir).withColumn("previous", before), F.lit(TODAY).cast("date"))
+    joined = (F.array_join(c, "|").alias(c) for c in ("changes", "assumptions", "split"))
+    return told.select("run_id", "rewritten", *joined, "changed")
+
+
+def rewrite_sql() -> str:
+    """CTEs of one step each: q is the text so far, ch and asm the changes and assumptions."""
+    word = lambda w: rf"(?i)(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])"
+    steps = ["p AS (SELECT run_id, question, lag(question) OVER (PARTITION BY thread ORDER BY seq) AS previous FROM requests)",
+             "s0 AS (SELECT *, question AS q, []::VARCHAR[] AS ch, []::VARCHAR[] AS asm FROM p)"]
+    spans = zip(("last month", "this month", "last year"), (x.strip("'") for x in _month), strict=True)
+    for phrase, new, dated in [*((a, b, False) for a, b in L.SHORT_FORMS.items()), *((a, b, True) for a, b in spans)]:
+        met, k = f"regexp_matches(q, '{word(phrase)}')", len(steps) - 1
+        asm = f"CASE WHEN {met} THEN list_append(asm, '{phrase} is taken as {new}') ELSE asm END" if dated else "asm"
+        steps.append(rf"s{k} AS (SELECT run_id, question, previous, regexp_replace(q, '{word(phrase)}', '\1{new}\2', 'g') AS q, CASE WHEN {met} THEN list_append(ch, '{phrase} -> {new}') ELSE ch END AS ch, {asm} AS asm FROM s{k - 1})")
+    last = len(steps) - 2
+    subject = "regexp_extract_all(previous, '[A-Za-z]{5,}')[-1]"
+    refers = f"subject IS NOT NULL AND regexp_matches(q, '{word('(it|that|this|those|they)')}')"
+    replaced = rf"regexp_replace(q, '{word('(it|that|this)')}', '\1' || subject || '\3')"
+    halves = rf"regexp_replace(regexp_replace(q, '{_WORDISH}and($|[^\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g'), '{_WORDISH}and($|[^\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g')"
+    steps += [f"r AS (SELECT *, {subject} AS subject FROM s{last})",
+              f"u AS (SELECT run_id, question, asm, CASE WHEN {refers} THEN {replaced} ELSE q END AS q, CASE WHEN {refers} THEN list_append(ch, 'pronoun -> ' || subject) ELSE ch END AS ch FROM r)",
+              rf"v AS (SELECT *, list_filter(list_transform(string_split_regex({halves}, '\x01|\?'), lambda x: trim(x)), lambda x: len(x) > 12) AS parts FROM u)"]
+    ends = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    return f"""WITH {V.REQUESTS}, {', '.join(steps)}
+SELECT run_id, {ends('q')} AS rewritten, array_to_string(CASE WHEN len(parts) > 1 THEN list_append(ch, 'split into ' || len(parts) || ' questions') ELSE ch END, '|') AS changes,
+       array_to_string(asm, '|') AS assumptions, CASE WHEN len(parts) > 1 THEN array_to_string(parts, '|') ELSE '' END AS split, {ends('q')} <> {ends('question')} AS changed FROM v"""
+
+
 def counterfactual_pairs(spark, sf_dir):
     from ..operators import jobs
 
@@ -204,6 +238,7 @@ QUERIES = {
     "untagged_sentences": lambda s, d: V.answers(s, d).select("run_id", F.array_join(T.untagged_sentences(F.col("answer")), "|").alias("untagged")),
     "rewrite_short_forms": q(("rewritten", T.expand_short_forms)),
     "relative_dates": relative_dates,
+    "rewrite_query": rewrite_query,
     "compound_split": q(("parts", lambda c: F.array_join(T.split_questions(c), "|"))),
     "counterfactual_pairs": counterfactual_pairs,
     "luhn_cards": cards,
@@ -230,6 +265,7 @@ SQL = {
 SELECT run_id, coalesce(string_agg(part, '|' ORDER BY i) FILTER (WHERE len(part) >= 12 AND NOT regexp_matches(part, '\[([A-Za-z]?\d+)\]')), '') AS untagged FROM parts GROUP BY run_id""",
     "rewrite_short_forms": over_requests(f"{_SHORT} AS rewritten"),
     "relative_dates": over_requests(f"{_REL} AS rewritten"),
+    "rewrite_query": rewrite_sql(),
     "compound_split": rf"""WITH {V.REQUESTS}, p AS (SELECT run_id, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(question, '{_WORDISH}and($|[^\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g'), '{_WORDISH}and($|[^\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g'), '\x01|\?'), lambda x: trim(x)), lambda x: len(x) > 12) AS p FROM requests)
 SELECT run_id, CASE WHEN len(p) > 1 THEN array_to_string(p, '|') ELSE '' END AS parts FROM p""",
     "counterfactual_pairs": f"WITH {V.REQUESTS} {swaps_sql('requests')}",

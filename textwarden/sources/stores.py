@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,10 +90,21 @@ def read_benign(spark: SparkSession, path: str, n: int = 2000, seed: int = 42) -
 
 def fingerprint(examples: DataFrame, encoder: str) -> str:
     """A digest of an example set (category, text) and an encoder's name: the key under which its vectors may be kept."""
-    row = examples.agg(F.md5(F.concat_ws("\n", F.lit(encoder), F.array_sort(F.collect_list(F.concat_ws("\t", "category", "text"))))).alias("d")).first()
+    own = F.conv(F.substring(F.md5(F.concat_ws("\t", F.coalesce("category", F.lit("")), F.coalesce("text", F.lit("")))), 1, 15), 16, 10).cast("decimal(38,0)")
+    row = examples.agg(F.count("*").alias("n"), F.sum(own).alias("total")).select(F.md5(F.concat_ws("\t", F.lit(encoder), "n", F.coalesce("total", F.lit(0)))).alias("d")).first()
     return row["d"]
 
 
+def vectors_of(examples: DataFrame, encoder: str, encode: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """encode(examples), written under folder by the examples' fingerprint; as long as neither changes, it is only read."""
+    path = f"{folder}/{fingerprint(examples, encoder)}"
+    spark = examples.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        encode(examples).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def simulated(spark: SparkSession, n: int, questions: list[str], users: int = 12, seed: int = 7) -> DataFrame:
     """n requests (run_id, user, thread, question, tokens), the same for the same seed."""
     pick = lambda m, k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(m))
