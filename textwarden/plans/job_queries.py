@@ -222,3 +222,11 @@ SQL["attempt_number"] = f"WITH {V.TRACES}, {_ATTEMPTS}"
 SQL["eval_confusion"] = f"""WITH {V.REQUESTS}, told AS (SELECT CASE run_id % 3 WHEN 0 THEN 'attack' WHEN 1 THEN 'safe' ELSE 'tricky' END AS label,
   CASE WHEN len(list_filter({sql_list(L.ROLE_MARKERS)}, lambda m: contains(lower(question), m))) > 0 THEN 'block' WHEN regexp_matches(question, '[A-Za-z0-9+/]{{30,}}') OR regexp_matches(question, 'a{{81,}}') THEN 'suspicious' ELSE 'allow' END AS band FROM requests)
 SELECT label, count(*) FILTER (WHERE band = 'allow') AS allow, count(*) FILTER (WHERE band = 'suspicious') AS suspicious, count(*) FILTER (WHERE band = 'block') AS block FROM told GROUP BY label"""
+_DAY = "OVER (PARTITION BY user ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)"
+SQL["stream_usage"] = f"""WITH e AS (SELECT event_id AS run_id, user_id AS user, epoch_us(ts) AS us, floor(value)::BIGINT AS tokens FROM events)
+SELECT run_id, user, count(*) OVER (PARTITION BY user ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND 1 PRECEDING) AS per_minute, count(*) {_DAY} AS per_day, coalesce(sum(tokens) {_DAY}, 0)::BIGINT AS tokens_day FROM e"""
+SQL["stream_attempts"] = """WITH e AS (SELECT event_id AS run_id, user_id AS thread, event_type = 'click' AS pushed_back, CASE event_type WHEN 'error' THEN 'down' WHEN 'purchase' THEN 'up' END AS feedback FROM events),
+a AS (SELECT *, pushed_back OR coalesce(last_value(feedback IGNORE NULLS) OVER (PARTITION BY thread ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'down', false) AS again,
+        coalesce(lag(feedback) OVER (PARTITION BY thread ORDER BY run_id) = 'up', false) AS settled FROM e),
+g AS (SELECT *, count(*) FILTER (WHERE NOT again OR settled) OVER (PARTITION BY thread ORDER BY run_id) AS island FROM a)
+SELECT run_id, thread, 1 + count(*) FILTER (WHERE again) OVER (PARTITION BY thread, island ORDER BY run_id) AS attempt FROM g"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,19 +16,18 @@ def _rates(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     if state.hasTimedOut:
         state.remove()
         return
-    times, tokens = (list(x) for x in state.get) if state.exists else ([], [])
     rows = pd.concat(list(batches)).sort_values(["us", "run_id"], kind="stable")
-    out = []
-    for run, us, n in zip(rows["run_id"], rows["us"], rows["tokens"], strict=True):
-        keep = next((k for k, t in enumerate(times) if t >= us - DAY_S * 1_000_000), len(times))
-        times, tokens = times[keep:], tokens[keep:]
-        before = [k for k, t in enumerate(times) if t < us]
-        out.append((run, key[0], sum(times[k] >= us - MINUTE_S * 1_000_000 for k in before), len(before), sum(tokens[k] for k in before)))
-        times.append(int(us))
-        tokens.append(int(n))
-    state.update((times, tokens))
+    kept = state.get if state.exists else ([], [])
+    us = rows["us"].to_numpy("int64")
+    times = np.concatenate([np.array(kept[0], "int64"), us])
+    order = np.argsort(times, kind="stable")
+    times, tokens = times[order], np.concatenate([np.array(kept[1], "int64"), rows["tokens"].to_numpy("int64")])[order]
+    spent = np.concatenate([[0], np.cumsum(tokens)])
+    now, minute, day = (np.searchsorted(times, us - back * 1_000_000, "left") for back in (0, MINUTE_S, DAY_S))
+    left = np.searchsorted(times, times[-1] - DAY_S * 1_000_000, "left")
+    state.update((times[left:].tolist(), tokens[left:].tolist()))
     state.setTimeoutDuration(DAY_S * 1000)
-    yield pd.DataFrame(out, columns=["run_id", "user", "per_minute", "per_day", "tokens_day"])
+    yield pd.DataFrame({"run_id": rows["run_id"].to_numpy(), "user": key[0], "per_minute": now - minute, "per_day": now - day, "tokens_day": spent[now] - spent[day]})
 
 
 def usage_rates(events: DataFrame) -> DataFrame:
