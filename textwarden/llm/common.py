@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Largest number of (narrow) rows that a side may have to be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Most MB that a side may have to be broadcast, where its rows have no fixed size.
+BROADCAST_MB = 16
+
 #: The tables that the operators under way have written, innermost last.
 _written = threading.local()
 
@@ -81,6 +84,15 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def light(df: DataFrame, mb: int = BROADCAST_MB) -> DataFrame:
+    """df with a broadcast hint if its rows, written as text, have at most that many MB; else df as it is, for a shuffled join.
+
+    df is computed for that, so it should be a table from cut(), or cheap.
+    """
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= mb << 20 else df
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds."""
     return F.crc32(key.cast("string").cast("binary")) % folds

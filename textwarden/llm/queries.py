@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, language_id, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, topk_search
+from . import chunk_dedup, decontaminate, importance, language_id, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, topk_search, url_filter, whitening
 from .ngram_jaccard import jaccard_components
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -178,6 +178,47 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each page by its URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), url_filter.rule_table(spark))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of the documents, drawn towards the benchmark."""
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_CRC_BYTE = "list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+OP12_SQL = rf"""
+WITH tab AS (SELECT list({_CRC_BYTE} ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_OP8_WORDS} AS w FROM documents),
+b AS (SELECT {_OP8_WORDS} AS w FROM benchmark),
+n(k) AS (VALUES (1), (2), (3)),
+f AS (SELECT row, array_to_string(w[i : i + k - 1], ' ') AS f FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, n WHERE len(w) >= k)),
+g AS (SELECT array_to_string(w[i : i + k - 1], ' ') AS f FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b, n WHERE len(w) >= k)),
+u AS (SELECT DISTINCT f FROM (SELECT f FROM f UNION ALL SELECT f FROM g)),
+x AS (SELECT f, hex(encode(f)) AS x FROM u),
+c AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+        lambda a, y: xor(a // 256, t[xor(a % 256, y) + 1]))) % 10000 AS bucket FROM x, tab),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN c USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN c USING (f) GROUP BY bucket),
+gain AS (SELECT r.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)::DOUBLE)))::BIGINT AS gain
+         FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN c USING (f) JOIN gain USING (bucket) GROUP BY row),
+e AS (SELECT row, doc_id, len(d.w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (row)),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id, row) AS rank, count(*) OVER () AS n FROM e WHERE doc_id IS NOT NULL AND n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END::BIGINT AS rank FROM e LEFT JOIN r USING (row)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of each vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_license_scan": op2_license_scan,
@@ -189,6 +230,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_chunk_dedup": op10_chunk_dedup,
+    "op11_url_filter": op11_url_filter,
+    "op12_importance": op12_importance,
+    "op13_whitening": op13_whitening,
 }
 SQL = {
     "op1_ngram_jaccard": OP1_SQL,
@@ -197,4 +241,5 @@ SQL = {
     "op4_line_dedup": OP4_SQL,
     "op7_topk_search": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op12_importance": OP12_SQL,
 }
