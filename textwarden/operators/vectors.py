@@ -1,4 +1,4 @@
-"""TF-IDF vectors as sparse rows, nearest neighbours by equi-joins on terms, and greedy folds over short ranked lists."""
+"""TF-IDF vectors as sparse rows, dense vectors, and greedy folds over short ranked lists. Nearest neighbours are in retrieval."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import kept, spread
+
 #: Rows of example or corpus terms up to which that side of a term join is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -15,56 +17,53 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def grams(text: Column) -> Column:
-    """Words of two or more letters or digits, and pairs of neighbouring words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+def grams(texts: DataFrame) -> DataFrame:
+    """(id, term) of texts (id, text): words of two or more letters or digits, and pairs of neighbouring words."""
+    words = texts.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("words"))
+    each = words.select("id", "words", F.posexplode("words").alias("at", "word"))
+    pair = F.concat("word", F.lit(" "), F.get("words", F.col("at") + 1))
+    return each.select("id", F.explode(F.array("word", pair)).alias("term")).where(F.col("term").isNotNull())
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """(id, term, tf) of texts (id, text)."""
-    return texts.select("id", F.explode(grams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return grams(spread(texts)).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(corpus: DataFrame) -> DataFrame:
-    """(term, df, idf) of a corpus (id, text): smoothed idf, ln((1 + n) / (1 + df)) + 1, with n the number of its rows."""
+def vocabulary(corpus: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) of a corpus (id, text), whose term_counts may be given: smoothed idf, ln((1 + n) / (1 + df)) + 1, with n the number of its rows."""
     n = corpus.agg(F.count("*").alias("n"))
-    df = term_counts(corpus).groupBy("term").agg(F.count("*").alias("df"))
+    df = (term_counts(corpus) if counts is None else counts).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(texts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(id, term, w): sublinear tf times idf, of unit length. Terms outside the vocabulary are dropped; a text with none has no row."""
-    raw = term_counts(texts).join(vocab.select("term", "idf"), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+def weighed(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(id, term, w) of term_counts: sublinear tf times idf, of unit length. term is the vocabulary's key, if it has one."""
+    term = F.col("key") if "key" in vocab.columns else F.col("term")
+    raw = counts.join(vocab, "term").select("id", term.alias("term"), ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "term", (F.col("w") / norm).alias("w"))
 
 
-def similarities(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, item_id, sim) of the pairs of sparse vectors (id, term, w) that share a term. Items are broadcast if few."""
-    q = queries.select(F.col("id").alias("query_id"), "term", F.col("w").alias("q"))
-    i = small(items.select(F.col("id").alias("item_id"), "term", F.col("w").alias("i")))
-    return q.join(i, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("q") * F.col("i")).alias("sim"))
-
+def tfidf(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(id, term, w) of texts (id, text). Terms outside the vocabulary are dropped; a text with none has no row."""
+    return weighed(term_counts(texts), vocab)
 
-def top(sims: DataFrame, k: int) -> DataFrame:
-    """The k nearest items of each query, ties to the smaller item id; rank from 1."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.floor(F.col("sim") * 1e9).desc(), "item_id"))
-    return sims.withColumn("rank", rank).where(F.col("rank") <= k)
 
+def fit(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A vocabulary (term, df, idf, key) and the vectors (id, term, w) of a corpus (id, text), which is read once; terms of vectors are whole-number keys."""
+    counts = kept(term_counts(corpus.select("id", "text")))
+    vocab = kept(vocabulary(corpus, counts).withColumn("key", F.monotonically_increasing_id()))
+    return vocab, kept(weighed(counts, vocab))
 
-def nearest(sims: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, side, sim, category): the nearest item on each side, by items (item_id, side, category). Ties to the smaller item id."""
-    best = F.max(F.struct(F.floor(F.col("sim") * 1e9).alias("s"), (-F.col("item_id")).alias("i"), "sim", "category"))
-    told = sims.join(small(items), "item_id").groupBy("query_id", "side").agg(best.alias("b"))
-    return told.select("query_id", "side", F.col("b.sim").alias("sim"), F.col("b.category").alias("category"))
 
+def two_sided(queries: DataFrame, best: DataFrame, items: DataFrame, risky: str, calm: str) -> DataFrame:
+    """queries (id, ...) with the columns risky_sim, risky_category and calm_sim, 0 and null where nothing is near.
 
-def two_sided(queries: DataFrame, sims: DataFrame, items: DataFrame, risky: str, calm: str) -> DataFrame:
-    """queries (id, ...) with the columns risky_sim, risky_category and calm_sim, 0 and null where nothing is near. Each side is one pass."""
-    by = nearest(sims, items)
-    wide = by.groupBy(F.col("query_id").alias("id")).agg(
+    best (query_id, side, item_id, sim) has the nearest item of each side, items (item_id, category) what they are.
+    """
+    told = best.join(items.select("item_id", "category"), "item_id")
+    wide = told.groupBy(F.col("query_id").alias("id")).agg(
         F.max(F.when(F.col("side") == risky, F.col("sim"))).alias("risky_sim"), F.max(F.when(F.col("side") == risky, F.col("category"))).alias("risky_category"), F.max(F.when(F.col("side") == calm, F.col("sim"))).alias("calm_sim")
     )
     return queries.join(wide, "id", "left").fillna({"risky_sim": 0.0, "calm_sim": 0.0})

@@ -9,9 +9,11 @@ from ..functions import text as T
 from ..operators import detectors as D
 from ..operators import evidence as E
 from ..operators import history as H
+from ..operators import retrieval as RE
 from ..operators import rewrite as R
 from ..operators import vectors as VE
 from ..operators import verify as Y
+from ..tables import scoped
 from . import text_queries as TQ
 from . import views as V
 from .views import sql_list, sql_text
@@ -26,28 +28,34 @@ def _texts(r):
 
 
 def _fitted(spark, sf_dir):
+    """The corpus, its vocabulary and its vectors."""
     c = V.corpus(spark, sf_dir)
-    vocab = VE.vocabulary(c.select("id", "text"))
-    return c, vocab, VE.tfidf(c.select("id", "text"), vocab)
+    return c, *VE.fit(c)
+
+
+def _nearest(spark, sf_dir, k):
+    """The corpus, its vectors, and each request's k nearest passages: query_id, item_id, sim, rank."""
+    c, vocab, items = _fitted(spark, sf_dir)
+    return c, items, RE.top_items(VE.tfidf(_texts(V.requests(spark, sf_dir)), vocab), items, k).drop("side")
 
 
 def tfidf_vocab(spark, sf_dir):
     return VE.vocabulary(V.corpus(spark, sf_dir).select("id", "text")).select("term", "df", T.half_up(F.col("idf"), 6).alias("idf"))
 
 
+@scoped
 def tfidf_topk(spark, sf_dir):
-    _, vocab, items = _fitted(spark, sf_dir)
-    top = VE.top(VE.similarities(VE.tfidf(_texts(V.requests(spark, sf_dir)), vocab), items), 3)
+    top = _nearest(spark, sf_dir, 3)[2]
     return top.select("query_id", "item_id", "rank", T.half_up(F.col("sim"), 6).alias("sim"))
 
 
 def _sides(spark, sf_dir, rows=None, text="question"):
     """Requests, or other rows (run_id, ...), with their similarity to the nearest risky and calm example."""
     ex = V.examples(spark, sf_dir)
-    vocab = VE.vocabulary(ex.select("id", "text"))
+    vocab, items = VE.fit(ex)
     rows = (V.requests(spark, sf_dir) if rows is None else rows).withColumn("id", F.col("run_id"))
-    sims = VE.similarities(VE.tfidf(rows.select("id", F.col(text).alias("text")), vocab), VE.tfidf(ex.select("id", "text"), vocab))
-    return VE.two_sided(rows, sims, ex.select(F.col("id").alias("item_id"), "side", "category"), "risky", "calm")
+    best = RE.top_items(VE.tfidf(rows.select("id", F.col(text).alias("text")), vocab), items.join(ex.select("id", "side"), "id"), 1)
+    return VE.two_sided(rows, best, ex.select(F.col("id").alias("item_id"), "category"), "risky", "calm")
 
 
 def _near(spark, sf_dir, rows=None, text="question"):
@@ -56,10 +64,12 @@ def _near(spark, sf_dir, rows=None, text="question"):
     return _sides(spark, sf_dir, rows, text).withColumns({"unsafe": D.unsafe_intent(*near, L.UNSAFE_CUTS["tfidf"]), "stakes": D.high_stakes(*near, L.STAKES_CUTS["tfidf"])})
 
 
+@scoped
 def unsafe_intent(spark, sf_dir):
     return _near(spark, sf_dir).select("run_id", T.half_up(F.col("risky_sim"), 6).alias("unsafe_sim"), T.half_up(F.col("calm_sim"), 6).alias("safe_sim"), "unsafe.score", "unsafe.category", "unsafe.action")
 
 
+@scoped
 def stakes(spark, sf_dir):
     return _near(spark, sf_dir).select("run_id", "stakes.score", "stakes.category", "stakes.strict_mode")
 
@@ -111,9 +121,10 @@ def scope_missing_terms(spark, sf_dir):
     return E.missing_terms(r.select(F.col("run_id").alias("id"), "question"), V.corpus(spark, sf_dir)).select("id", F.array_join("missing", " ").alias("missing"))
 
 
+@scoped
 def rerank_boosted(spark, sf_dir):
-    c, vocab, items = _fitted(spark, sf_dir)
-    wide = VE.top(VE.similarities(VE.tfidf(_texts(V.requests(spark, sf_dir)), vocab), items), L.FETCH).join(c.select(F.col("id").alias("item_id"), "source_type", "year"), "item_id")
+    c, _, near = _nearest(spark, sf_dir, L.FETCH)
+    wide = near.join(c.select(F.col("id").alias("item_id"), "source_type", "year"), "item_id")
     return E.rerank(wide).select("query_id", "item_id", "place", "rerank_score")
 
 
@@ -129,21 +140,28 @@ def evidence_pack(spark, sf_dir):
     return E.build(r.select(F.col("run_id").alias("id"), "question"), V.corpus(spark, sf_dir))
 
 
+@scoped
 def near_dup_leaders(spark, sf_dir):
     """For each request's 25 nearest passages, how many remain once near duplicates are gone."""
-    c, vocab, items = _fitted(spark, sf_dir)
-    wide = VE.top(VE.similarities(VE.tfidf(_texts(V.requests(spark, sf_dir)), vocab), items), L.FETCH).join(c.withColumnRenamed("id", "item_id"), "item_id")
+    c, items, near = _nearest(spark, sf_dir, L.FETCH)
+    wide = near.join(c.withColumnRenamed("id", "item_id"), "item_id")
     return E.without_duplicates(E.packed(wide, items, "rank", L.DUPLICATE)).select("query_id", F.size("pieces").alias("kept"), "dropped")
 
 
+def _asked(spark, sf_dir):
+    """Traces as questions to a cache: id, at, question in three spellings, version of the documents at that time, and whether their answer may be stored."""
+    t = V.traces(spark, sf_dir)
+    spelled = F.when(F.col("run_id") % 3 == 0, F.upper("question")).when(F.col("run_id") % 3 == 1, F.concat("question", F.lit(" Please answer soon."))).otherwise(F.col("question"))
+    version = F.concat(F.lit("v"), F.floor(F.dayofmonth("ts") / 10).cast("string"))
+    may = H.storable(F.size(D.pii_findings(F.col("question"))) > 0, F.col("action") == "allow", F.col("feedback"))
+    return t.select(F.col("run_id").alias("id"), H.micros(F.col("ts")).alias("at"), spelled.alias("question"), version.alias("version"), may.alias("may"))
+
+
+@scoped
 def cache_lookup_asof(spark, sf_dir):
-    """Requests against passages stored before them; ids stand for times."""
-    c, vocab, items = _fitted(spark, sf_dir)
-    r = V.requests(spark, sf_dir)
-    sims = VE.similarities(VE.tfidf(_texts(r), vocab), items)
-    asked = r.select(F.col("run_id").alias("id"), F.col("run_id").alias("ts"), F.lit("v1").alias("doc_version"))
-    entries = c.select(F.col("id").alias("entry_id"), (F.col("id") * 1500).alias("stored_at"), F.when(F.col("id") % 3 == 0, "v0").otherwise("v1").alias("entry_version"))
-    return H.cached_answers(asked, entries, sims, near=0.10).select("id", "hit", "entry_id")
+    """Traces against the cached answers of those before them."""
+    asked = _asked(spark, sf_dir)
+    return H.cached_answers(asked.drop("may"), asked.where("may").select(F.col("id").alias("entry_id"), "at", "question", "version"))
 
 
 # --- answers ---
@@ -175,6 +193,7 @@ def full_scan(spark, sf_dir):
     return D.scan(_near(spark, sf_dir), "question", format_given=F.col("format_given"), unsafe=F.col("unsafe"), stakes=F.col("stakes"))
 
 
+@scoped
 def decided(spark, sf_dir):
     """Answers, decided by their checks and the first tier's scan of the turn before them."""
     a = _checked(spark, sf_dir).withColumn("t2", Y.tier2(F.col("g.score"), F.when(F.col("strict"), F.col("c.score")), F.col("s.score")))
@@ -187,19 +206,24 @@ def decided(spark, sf_dir):
     return a.select("run_id", F.col("t2.risk_score").alias("t2_score"), F.col("t2.weighted").alias("weighted"), F.array_join("t2.ran", ",").alias("ran"), F.col("d.action").alias("action"), F.col("d.severity").alias("severity"), F.col("d.confident").alias("confident"), "trust_label", "route")
 
 
+@scoped
 def tier1_full(spark, sf_dir):
     return full_scan(spark, sf_dir).select("run_id", "t1.risk_score", "t1.weighted", "t1.solo", "t1.band", "t1.action", "t1.strict_mode")
 
 
+@scoped
 def tier1_output(spark, sf_dir):
     """Answers, scanned in output mode, and whether they go on to the deep checks."""
     s = D.scan(_near(spark, sf_dir, V.answers(spark, sf_dir), "answer"), "answer", "output", unsafe=F.col("unsafe"))
     return s.select("run_id", "t1.risk_score", "t1.band", "t1.action", D.deep_check_route(F.col("strict"), F.col("t1.band")).alias("route"))
 
 
+@scoped
 def request_route(spark, sf_dir):
     """Where requests go after the cache, and those that miss it after the evidence."""
-    cached = cache_lookup_asof(spark, sf_dir).select("id", D.cache_route(F.col("hit")).alias("cache"))
+    r = V.requests(spark, sf_dir).select(F.col("run_id").alias("id"), F.col("run_id").alias("at"), "question", F.lit("v1").alias("version"))
+    hits = H.cached_answers(r, r.withColumnRenamed("id", "entry_id"), slot=1_000_000)
+    cached = hits.select("id", D.cache_route(F.col("hit")).alias("cache"))
     evidence = evidence_pack(spark, sf_dir).select("id", D.evidence_route(F.col("evidence")).alias("evidence"))
     return cached.join(evidence, "id").select("id", "cache", F.when(F.col("cache") == "miss", F.col("evidence")).alias("evidence"))
 
@@ -220,25 +244,28 @@ def fuzzy_leak(spark, sf_dir):
 
 def _with_evidence(spark, sf_dir):
     """Requests (run_id, question, strict) with the texts of their three nearest passages, nearest first."""
-    c, vocab, items = _fitted(spark, sf_dir)
     r = V.requests(spark, sf_dir).select("run_id", "question", (F.col("thread") % 2 == 0).alias("strict"))
-    near = VE.top(VE.similarities(VE.tfidf(_texts(r), vocab), items), 3).join(VE.small(c.select(F.col("id").alias("item_id"), "text")), "item_id")
+    c, _, near = _nearest(spark, sf_dir, 3)
+    near = near.join(c.select(F.col("id").alias("item_id"), "text"), "item_id")
     ranked = F.array_sort(F.collect_list(F.struct("rank", "text")))
     told = near.groupBy(F.col("query_id").alias("run_id")).agg(F.transform(ranked, lambda x: x["text"]).alias("evidence"))
     return r.join(told, "run_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
 
 
+@scoped
 def extract_answers(spark, sf_dir):
     """Answers drawn from the sentences of each request's three nearest passages."""
     return _with_evidence(spark, sf_dir).select("run_id", Y.extract_answer(F.col("question"), F.col("evidence")).alias("answer"))
 
 
+@scoped
 def generate_answers(spark, sf_dir):
     """Answers of the model that needs none, with their citations checked; requests of even threads are strict."""
     told = R.generate(_with_evidence(spark, sf_dir))
     return told.select("run_id", "strict", "answer", "temperature", F.array_join("untagged", "|").alias("untagged"), "citations_ok", "reprompted", "calls")
 
 
+@scoped
 def delivered(spark, sf_dir):
     """The text that each decided answer is delivered as, with a reference id where it is withheld."""
     a = decided(spark, sf_dir).join(V.answers(spark, sf_dir).select("run_id", "answer"), "run_id")
@@ -370,8 +397,14 @@ c AS (SELECT query_id, cluster FROM h QUALIFY row_number() OVER (PARTITION BY qu
 r AS (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY b.trust DESC, b.year DESC, sources DESC, first) AS k FROM g JOIN c USING (query_id, cluster)),
 d AS (SELECT a.query_id, CASE WHEN a.b.trust > z.b.trust THEN 'trust' WHEN a.b.year > z.b.year THEN 'year' WHEN a.sources > z.sources THEN 'sources' ELSE 'none' END AS reason, -a.b.p AS winner FROM r a JOIN r z ON a.query_id = z.query_id AND a.k = 1 AND z.k = 2)
 SELECT query_id, reason <> 'none' AS resolved, reason, CASE WHEN reason <> 'none' THEN winner END AS winner_id, CASE WHEN reason <> 'none' THEN (SELECT array_to_string(list_sort(flatten(list(ids))), ',') FROM r WHERE r.query_id = d.query_id AND k > 1) ELSE '' END AS losers FROM d""",
-    "cache_lookup_asof": f"""{_TFIDF}, b AS (SELECT query_id AS id, item_id, sim FROM sims WHERE item_id * 1500 < query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id) = 1)
-SELECT run_id AS id, coalesce(sim >= 0.1 AND item_id % 3 <> 0, false) AS hit, CASE WHEN sim >= 0.1 AND item_id % 3 <> 0 THEN item_id END AS entry_id FROM requests LEFT JOIN b ON b.id = run_id""",
+    "cache_lookup_asof": f"""WITH {V.TRACES}, asked AS (SELECT run_id, epoch_us(ts) AS at, CASE run_id % 3 WHEN 0 THEN upper(question) WHEN 1 THEN question || ' Please answer soon.' ELSE question END AS question,
+  'v' || day(ts) // 10 AS version, action = 'allow' AND coalesce(feedback = 'up', false) AS may FROM traces),
+texts AS (SELECT question AS text, md5(question) AS id, max(run_id) FILTER (WHERE may) IS NOT NULL AS stored FROM asked GROUP BY question), entries AS (SELECT * FROM texts WHERE stored),
+{grams_sql('cg', 'entries', 'id', 'text')}, {grams_sql('qg', 'texts', 'id', 'text')},
+vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM entries))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS idf FROM cg GROUP BY term), cw AS ({weights_sql('cg')}), qw AS ({weights_sql('qg')}),
+alike AS (SELECT q.id AS of, c.id AS sig, floor(sum(q.w * c.w) * 1e9) AS s FROM qw q JOIN cw c USING (term) GROUP BY ALL HAVING floor(sum(q.w * c.w) * 1e9) >= {L.CACHE_NEAR} * 1e9),
+b AS (SELECT a.run_id AS id, arg_max(e.run_id, (s, -e.run_id)) AS entry, arg_max(e.version, (s, -e.run_id)) AS version FROM asked a JOIN alike ON of = md5(a.question) JOIN asked e ON e.may AND md5(e.question) = sig AND e.at < a.at GROUP BY a.run_id)
+SELECT run_id AS id, coalesce(b.version = asked.version, false) AS hit, CASE WHEN b.version = asked.version THEN entry END AS entry_id FROM asked LEFT JOIN b ON b.id = run_id""",
     "near_dup_leaders": f"""{_TFIDF.replace("WITH", "WITH RECURSIVE", 1)}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id) AS rank FROM sims QUALIFY rank <= {L.FETCH}),
 alike AS (SELECT a.id AS item_id, list(b.id) AS near FROM (SELECT x.id, y.id AS other FROM cw x JOIN cw y ON x.term = y.term AND x.id <> y.id GROUP BY ALL HAVING sum(x.w * y.w) > {L.DUPLICATE}::DOUBLE) a JOIN corpus b ON b.id = a.other GROUP BY ALL),
 kept AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::BIGINT[] AS ids FROM r UNION ALL

@@ -103,14 +103,15 @@ TRACES = f"""traces AS (
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as a corpus: id, title, text, source_id, source_type, year."""
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("id"), F.concat(F.lit("Passage "), F.col("item_id").cast("string")).alias("title"), F.concat_ws(" ", pick(CORPUS_LINES, F.col("item_id") % len(CORPUS_LINES)), "text").alias("text"), F.concat(F.lit("src"), (F.col("item_id") % 9).cast("string")).alias("source_id"), pick(KINDS, F.col("item_id") % 6).alias("source_type"), (2019 + F.col("item_id") % 8).cast("int").alias("year"))
+    """Documents as a corpus: id, title, text, source_id, source_type, year."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    text = F.concat_ws(" ", pick(CORPUS_LINES, k % len(CORPUS_LINES)), "text")
+    return d.select(k.alias("id"), F.concat(F.lit("Passage "), k.cast("string")).alias("title"), text.alias("text"), F.concat(F.lit("src"), (k % 9).cast("string")).alias("source_id"), pick(KINDS, k % 6).alias("source_type"), (2019 + k % 8).cast("int").alias("year"))
 
 
 CORPUS = f"""corpus AS (
-  SELECT item_id AS id, 'Passage ' || item_id AS title, {sql_list(CORPUS_LINES)}[(item_id % {len(CORPUS_LINES)})::INT + 1] || ' ' || text AS text, 'src' || item_id % 9 AS source_id,
-         {sql_list(KINDS)}[(item_id % 6)::INT + 1] AS source_type, (2019 + item_id % 8)::INT AS year FROM benchmark)"""
+  SELECT doc_id AS id, 'Passage ' || doc_id AS title, {sql_list(CORPUS_LINES)}[(doc_id % {len(CORPUS_LINES)})::INT + 1] || ' ' || text AS text, 'src' || doc_id % 9 AS source_id,
+         {sql_list(KINDS)}[(doc_id % 6)::INT + 1] AS source_type, (2019 + doc_id % 8)::INT AS year FROM documents)"""
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
