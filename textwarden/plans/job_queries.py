@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -12,7 +10,9 @@ from ..operators import detectors as D
 from ..operators import history as H
 from ..operators import jobs as J
 from ..sources import stores
+from ..streaming import traces as ST
 from ..streaming import usage as S
+from ..tables import fresh_path, scoped
 from . import views as V
 from .text_queries import TOPICS, swaps_sql
 from .views import sql_list, sql_text
@@ -110,33 +110,53 @@ def trace_export(spark, sf_dir):
     return x.select("id", "name", F.col("inputs.question").alias("question"), F.col("metadata.user").alias("user"), F.col("metadata.band").alias("band"), F.element_at("scores", "detector.pii").alias("detector_pii"), F.element_at("scores", "tier2.groundedness").alias("tier2_groundedness"), F.get("feedback", 0)["score"].alias("thumbs"))
 
 
+def _events(spark, sf_dir):
+    """The events' files as a stream, with a closing row."""
+    path = f"{sf_dir}/events.parquet"
+    return ST.closed(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"), "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@scoped
 def stream_usage(spark, sf_dir):
     """Usage rates of the events, as a stream read from their files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = s.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("user"), H.micros(F.col("ts")).alias("us"), F.floor("value").cast("long").alias("tokens"))
-    return S.run_once(S.usage_rates(rows), "textwarden_usage", _checkpoint(spark))
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("run_id"), F.col("user_id").alias("user"), "ts", H.micros(F.col("ts")).alias("us"), F.floor("value").cast("long").alias("tokens"))
+    return ST.replayed(S.usage_rates(rows).where(F.col("run_id") != ST.CLOSING))
 
 
+@scoped
 def stream_attempts(spark, sf_dir):
-    """Attempts by pushed-back rows and thumbs, as a stream read from the events' files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    """Attempts by pushed-back rows and thumbs, as a stream read from the events' files; a thread is a user's day, and so never quiet for a day."""
     kind = F.col("event_type")
-    rows = s.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), (kind == "click").alias("pushed_back"), F.when(kind == "error", "down").when(kind == "purchase", "up").alias("feedback"))
-    return S.run_once(S.attempts(rows), "textwarden_attempts", _checkpoint(spark))
+    thread = F.col("user_id") * 1000 + F.dayofyear("ts")
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("run_id"), thread.alias("thread"), "ts", H.micros(F.col("ts")).alias("us"), (kind == "click").alias("pushed_back"), F.when(kind == "error", "down").when(kind == "purchase", "up").alias("feedback"))
+    return ST.replayed(S.attempts(rows).where(F.col("run_id") != ST.CLOSING))
+
+
+def _told(spark, sf_dir):
+    """Streams of the events as traces (run_id, user, ts), and as late feedback (run_id, at, seq, feedback), meant as in trace_stitch."""
+    thumbs = F.when(F.col("event_type") == "error", "down").when(F.col("event_type") == "purchase", "up")
+    traces = _events(spark, sf_dir).select(F.col("event_id").alias("run_id"), F.col("user_id").alias("user"), "ts")
+    feedback = _events(spark, sf_dir).select(F.when(F.col("event_id") == ST.CLOSING, F.col("event_id")).otherwise(F.col("event_id") - F.col("event_id") % 3).alias("run_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), thumbs.alias("feedback"))
+    return traces, feedback.where(F.col("feedback").isNotNull() | (F.col("seq") == ST.CLOSING))
+
 
+@scoped
+def stream_feedback(spark, sf_dir):
+    """trace_stitch, as a join of two streams in event time."""
+    traces, feedback = _told(spark, sf_dir)
+    return ST.replayed(ST.with_feedback(traces, feedback)).where(F.col("run_id") != ST.CLOSING).select("run_id", "user", "feedback")
 
-def _checkpoint(spark) -> str:
-    """A folder for a stream's progress: below the cluster's shared one, or temporary where none is set and all run on one machine."""
-    import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return f"{folder}/streams/{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="textwarden-stream-")
+@scoped
+def stream_stored(spark, sf_dir):
+    """trace_stitch, of a store that one stream of both kinds has been written to."""
+    traces, feedback = _told(spark, sf_dir)
+    both = traces.select("run_id", "user", "ts", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("feedback"), F.lit("trace").alias("kind"))
+    both = both.unionByName(feedback.select("run_id", F.lit(None).cast("long").alias("user"), F.col("at").alias("ts"), "seq", "feedback", F.lit("feedback").alias("kind")))
+    folder = fresh_path(spark)
+    ST.store_kinds(both.where(F.col("run_id") != ST.CLOSING), folder, fresh_path(spark)).awaitTermination()
+    stored = spark.read.parquet(folder)
+    return stores.stitch_feedback(stored.where("kind = 'trace'").drop("seq"), stored.where("kind = 'feedback'").select("run_id", "feedback", "seq")).select("run_id", "user", "feedback")
 
 
 QUERIES = {
@@ -168,6 +188,8 @@ QUERIES = {
     "attempt_number": attempt_number,
     "stream_usage": stream_usage,
     "stream_attempts": stream_attempts,
+    "stream_feedback": stream_feedback,
+    "stream_stored": stream_stored,
 }
 _KEYED = f"keyed AS (SELECT thread, array_to_string(list_sort(list_distinct({TOPICS('question')})), ' ') AS key FROM traces)"
 _TOPIC = f"topics AS (SELECT *, unnest(list_distinct({TOPICS('question')})) AS topic FROM traces)"
@@ -225,7 +247,8 @@ SELECT label, count(*) FILTER (WHERE band = 'allow') AS allow, count(*) FILTER (
 _DAY = "OVER (PARTITION BY user ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)"
 SQL["stream_usage"] = f"""WITH e AS (SELECT event_id AS run_id, user_id AS user, epoch_us(ts) AS us, floor(value)::BIGINT AS tokens FROM events)
 SELECT run_id, user, count(*) OVER (PARTITION BY user ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND 1 PRECEDING) AS per_minute, count(*) {_DAY} AS per_day, coalesce(sum(tokens) {_DAY}, 0)::BIGINT AS tokens_day FROM e"""
-SQL["stream_attempts"] = """WITH e AS (SELECT event_id AS run_id, user_id AS thread, event_type = 'click' AS pushed_back, CASE event_type WHEN 'error' THEN 'down' WHEN 'purchase' THEN 'up' END AS feedback FROM events),
+SQL["stream_feedback"] = SQL["stream_stored"] = SQL["trace_stitch"]
+SQL["stream_attempts"] = """WITH e AS (SELECT event_id AS run_id, user_id * 1000 + dayofyear(ts) AS thread, event_type = 'click' AS pushed_back, CASE event_type WHEN 'error' THEN 'down' WHEN 'purchase' THEN 'up' END AS feedback FROM events),
 a AS (SELECT *, pushed_back OR coalesce(last_value(feedback IGNORE NULLS) OVER (PARTITION BY thread ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'down', false) AS again,
         coalesce(lag(feedback) OVER (PARTITION BY thread ORDER BY run_id) = 'up', false) AS settled FROM e),
 g AS (SELECT *, count(*) FILTER (WHERE NOT again OR settled) OVER (PARTITION BY thread ORDER BY run_id) AS island FROM a)

@@ -1,74 +1,129 @@
-"""Streaming usage guard and attempts: keyed state with bounded lists and expiry."""
+"""Streaming usage guard and attempts: keyed state in event time, kept in the state store, that goes when a key has been quiet.
+
+Rows wait in the key's state until the watermark has passed them. Then they are taken in order of time, whatever order or batch they came in, so that a
+replay gives what the batch operators give. Timers are in event time: state expires by what the rows say, not by when they are read.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 DAY_S, MINUTE_S = 86_400, 60
+#: The store that holds state on the executors' disks and its changes under the checkpoint.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+PLAIN = {"long": int, "boolean": bool, "string": str}
 
-def _rates(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values(["us", "run_id"], kind="stable")
-    kept = state.get if state.exists else ([], [])
-    us = rows["us"].to_numpy("int64")
-    times = np.concatenate([np.array(kept[0], "int64"), us])
-    order = np.argsort(times, kind="stable")
-    times, tokens = times[order], np.concatenate([np.array(kept[1], "int64"), rows["tokens"].to_numpy("int64")])[order]
-    spent = np.concatenate([[0], np.cumsum(tokens)])
-    now, minute, day = (np.searchsorted(times, us - back * 1_000_000, "left") for back in (0, MINUTE_S, DAY_S))
-    left = np.searchsorted(times, times[-1] - DAY_S * 1_000_000, "left")
-    state.update((times[left:].tolist(), tokens[left:].tolist()))
-    state.setTimeoutDuration(DAY_S * 1000)
-    yield pd.DataFrame({"run_id": rows["run_id"].to_numpy(), "user": key[0], "per_minute": now - minute, "per_day": now - day, "tokens_day": spent[now] - spent[day]})
+Step = Callable[[tuple, pd.DataFrame, bytes], tuple[pd.DataFrame, bytes]]
 
 
-def usage_rates(events: DataFrame) -> DataFrame:
-    """(run_id, user, per_minute, per_day, tokens_day) of a stream (run_id long, user long, us long, tokens long).
+class InOrder(StatefulProcessor):
+    """Hands a key's rows to step(key, rows, memory) -> (out, memory) once the watermark has passed them, in order of `us` and run_id.
 
-    A user's state is the last day's rows, and goes after a day without any. Rows of a batch are taken by time.
+    schema: the rows' columns, with us (microseconds) and run_id. memory is what the key keeps; it is forgotten once the watermark is `quiet_s` seconds
+    past the key's last row.
     """
-    return events.groupBy("user").applyInPandasWithState(
-        _rates, "run_id long, user long, per_minute long, per_day long, tokens_day long", "times array<long>, tokens array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+
+    def __init__(self, schema: str, step: Step, quiet_s: int):
+        self.schema, self.step, self.quiet_s = schema, step, quiet_s
+        self.columns = [tuple(c.split()) for c in schema.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.memory = handle.getValueState("memory", "memory binary, last long")
+
+    def _timer(self, us: int) -> None:
+        """A timer once the watermark is past that time."""
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            columns = [[None if pd.isna(x) else PLAIN[kind](x) for x in frame[name]] for name, kind in self.columns]  # a null makes numbers floats
+            self.waiting.appendList(list(zip(*columns, strict=True)))
+            first = min(x for x in (first, int(frame["us"].min())) if x is not None)
+        if first is not None:
+            self._timer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=[name for name, _ in self.columns])
+        due = rows[rows["us"].astype("int64") < past].sort_values(["us", "run_id"], kind="stable")
+        memory, last = self.memory.get() if self.memory.exists() else (b"", -1)
+        if len(due):
+            later = rows.drop(due.index)
+            if len(later):
+                self.waiting.put([tuple(r) for r in later.itertuples(index=False)])
+                self._timer(int(later["us"].min()))
+            else:
+                self.waiting.clear()
+            out, memory = self.step(key, due, bytes(memory))
+            last = int(due["us"].iloc[-1])
+            self.memory.update((memory, last))
+            self._timer(last + self.quiet_s * 1_000_000)
+            yield out
+        elif last >= 0 and past > last + self.quiet_s * 1_000_000:
+            self.memory.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _rates(key: tuple, rows: pd.DataFrame, memory: bytes) -> tuple[pd.DataFrame, bytes]:
+    """Memory: times and tokens of the last day's rows."""
+    old = np.frombuffer(memory, "int64").reshape(2, -1)
+    us = rows["us"].to_numpy("int64")
+    times, tokens = np.concatenate([old[0], us]), np.concatenate([old[1], np.array([0 if pd.isna(x) else x for x in rows["tokens"]], "int64")])
+    spent = np.concatenate([[0], np.cumsum(tokens)])
+    now, minute, day = (np.searchsorted(times, us - back * 1_000_000, "left") for back in (0, MINUTE_S, DAY_S))
+    left = np.searchsorted(times, times[-1] - DAY_S * 1_000_000, "left")
+    out = pd.DataFrame({"run_id": rows["run_id"].to_numpy("int64"), "user": key[0], "per_minute": now - minute, "per_day": now - day, "tokens_day": spent[now] - spent[day]})
+    return out, np.stack([times[left:], tokens[left:]]).astype("int64").tobytes()
 
 
-def _attempts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    count, thumbs = state.get if state.exists else (0, "")
-    rows = pd.concat(list(batches)).sort_values(["seq", "run_id"], kind="stable")
+def _attempts(key: tuple, rows: pd.DataFrame, memory: bytes) -> tuple[pd.DataFrame, bytes]:
+    """Memory: the last attempt's number and the last thumbs."""
+    count, thumbs = json.loads(memory) if memory else (0, "")
     out = []
     for run, again, feedback in zip(rows["run_id"], rows["pushed_back"], rows["feedback"], strict=True):
-        if again or thumbs == "down":
-            count = max(count, 1) + 1
-        else:
-            count = 1
+        count = max(count, 1) + 1 if again or thumbs == "down" else 1
         out.append((run, key[0], count))
         if feedback == "up":
             count = 1
         if isinstance(feedback, str) and feedback:
             thumbs = feedback
-    state.update((int(count), thumbs))
-    state.setTimeoutDuration(DAY_S * 1000)
-    yield pd.DataFrame(out, columns=["run_id", "thread", "attempt"])
+    return pd.DataFrame(out, columns=["run_id", "thread", "attempt"]), json.dumps([count, thumbs]).encode()
+
+
+def _in_order(stream: DataFrame, key: str, rows: str, step: Step, out: str, late: str) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    processor = InOrder(rows, step, DAY_S)
+    return stream.where(F.col(key).isNotNull()).withWatermark("ts", late).groupBy(key).transformWithStateInPandas(processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+def usage_rates(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(run_id, user, per_minute, per_day, tokens_day) of a stream (run_id long, user long, ts timestamp, us long, tokens long).
+
+    Rows that come later than the watermark allows are dropped. A user's state is the last day's rows and those that wait, and goes a day after the last one.
+    Null tokens count as 0; rows without a user are left out.
+    """
+    return _in_order(events, "user", "run_id long, us long, tokens long", _rates, "run_id long, user long, per_minute long, per_day long, tokens_day long", late)
 
 
-def attempts(requests: DataFrame) -> DataFrame:
-    """(run_id, thread, attempt) of a stream (run_id long, thread long, seq long, pushed_back boolean, feedback string)."""
-    return requests.groupBy("thread").applyInPandasWithState(_attempts, "run_id long, thread long, attempt long", "count long, thumbs string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def attempts(requests: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(run_id, thread, attempt) of a stream (run_id long, thread long, ts timestamp, us long, pushed_back boolean, feedback string). A thread is forgotten after a day without rows; rows without one are left out."""
+    return _in_order(requests, "thread", "run_id long, us long, pushed_back boolean, feedback string", _attempts, "run_id long, thread long, attempt long", late)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """What a stream yields on all input there is now, in one batch, through a memory table; for queries and tests. (With processing-time timeouts, availableNow would go on with empty batches.)"""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(once=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def state_rows(spark: SparkSession, checkpoint: str, name: str) -> int:
+    """How many keys have the state variable of that name, by a stream's checkpoint; for tests and reports."""
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint).count()
