@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
 from ..functions import text as T
@@ -127,21 +128,61 @@ def confusion(cases: DataFrame) -> DataFrame:
     return cases.groupBy("label").agg(*(F.count_if(F.col("band") == b).alias(b) for b in ("allow", "suspicious", "block")))
 
 
+#: What a proposal would change, what it risks, and what it needs before it counts, by target.
+PLANS = {
+    "usage limits": ("a lower limit a day for users far above the others", "low", "shadow"),
+    "retrieval": ("fetch more before the first answer", "low", "shadow"),
+    "documents": ("audit the documents on this topic", "none", "owner"),
+    "cache": ("answer this question from the cache", "low", "thumbs up"),
+    "source trust": ("rank the policy above its copies", "medium", "review, then shadow"),
+    "detector thresholds": ("review the detectors that moved", "high", "review, then shadow"),
+}
+
+
 def proposals(traces: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(target, subject, figure): what the jobs' findings suggest. Nothing is applied."""
-    rows = lambda df, target, subject, figure: df.select(F.lit(target).alias("target"), subject.alias("subject"), figure.cast("double").alias("figure"))
+    """(target, subject, figure, change, reason, risk, needs): what the jobs' findings suggest. Nothing is applied."""
+
+    def rows(df: DataFrame, target: str, subject: Column, figure: Column, *reason: str | Column) -> DataFrame:
+        change, risk, needs = (F.lit(x) for x in PLANS[target])
+        why = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in reason))
+        return df.select(F.lit(target).alias("target"), subject.alias("subject"), figure.cast("double").alias("figure"), change.alias("change"), why.alias("reason"), risk.alias("risk"), needs.alias("needs"))
+
+    c = F.col
     head = cost_headline(traces)
-    out = rows(cost_by_user(traces, 1).where("share > 40"), "usage limits", F.col("user").cast("string"), F.col("share"))
-    out = out.unionByName(rows(head.where("retries > greatest(1, requests) * 0.1"), "retrieval", F.lit("retries"), F.col("retries")))
-    bad = thumbs_clusters(traces).orderBy(F.col("failure_rate").desc(), F.col("down").desc(), "topic").limit(2).where("failure_rate >= 0.6 and down >= 2")
-    out = out.unionByName(rows(bad, "documents", F.col("topic"), F.col("failure_rate")))
-    out = out.unionByName(rows(repeat_global(traces, top=5).orderBy(F.col("asked").desc(), "topic").limit(2), "cache", F.col("topic"), F.col("asked")))
-    out = out.unionByName(rows(conflict_rate(traces).where("disagreed > 0"), "source trust", F.lit("conflicts"), F.col("disagreed")))
+    out = rows(cost_by_user(traces, 1).where("share > 40"), "usage limits", c("user").cast("string"), c("share"), "one user has ", c("tokens"), " tokens")
+    out = out.unionByName(rows(head.where("retries > greatest(1, requests) * 0.1"), "retrieval", F.lit("retries"), c("retries"), c("retries"), " retries of ", c("requests"), " requests"))
+    bad = thumbs_clusters(traces).orderBy(c("failure_rate").desc(), c("down").desc(), "topic").limit(2).where("failure_rate >= 0.6 and down >= 2")
+    out = out.unionByName(rows(bad, "documents", c("topic"), c("failure_rate"), c("down"), " down, ", c("up"), " up"))
+    repeated = repeat_global(traces, top=5).orderBy(c("asked").desc(), "topic").limit(2)
+    out = out.unionByName(rows(repeated, "cache", c("topic"), c("asked"), "asked ", c("asked"), " times"))
+    out = out.unionByName(rows(conflict_rate(traces).where("disagreed > 0"), "source trust", F.lit("conflicts"), c("disagreed"), "sources disagreed on ", c("disagreed"), " of ", c("checked"), " checked answers"))
     if pairs is not None:
-        out = out.unionByName(rows(bias_summary(pairs).where("pairs_that_differed > 0"), "detector thresholds", F.lit("bias"), F.col("pairs_that_differed")))
+        moved = bias_summary(pairs).where("pairs_that_differed > 0")
+        out = out.unionByName(rows(moved, "detector thresholds", F.lit("bias"), c("pairs_that_differed"), c("pairs_that_differed"), " of ", c("pairs_tested"), " pairs differed"))
     return out
 
 
+def shadow_plan(scored: DataFrame, current: float, step: float = 0.1, highest: float = 100.0) -> DataFrame:
+    """(threshold, flagged, false_alarms, misses, outcome) for every threshold from 0 to the highest: what would come of it, against the current one.
+
+    scored (score, wrong): a score, and whether the row should have been flagged (null if nobody said). A row is flagged from the threshold on; null scores never are.
+    One pass counts scores in bins of a step, and sums run over the bins, which don't grow with the rows. outcome is "enable" for fewer misses or false
+    alarms without more of the other, "roll back" for more of either, "as is" otherwise.
+    """
+    bins = round(highest / step)
+    at = F.least(F.floor(F.col("score") / step + 1e-6), F.lit(bins))
+    wrong, right = F.count_if(F.col("wrong")), F.count_if(~F.col("wrong"))
+    counts = scored.groupBy(F.coalesce(F.when(F.col("score") >= 0, at), F.lit(-1)).alias("bin")).agg(F.count("*").alias("n"), wrong.alias("wrong"), right.alias("right"))
+    all_bins = scored.sparkSession.range(-1, bins + 1).withColumnRenamed("id", "bin").join(counts, "bin", "left").fillna(0)
+    up, below = Window.orderBy(F.col("bin").desc()), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    told = all_bins.select("bin", F.sum("n").over(up).alias("flagged"), F.sum("right").over(up).alias("false_alarms"), F.coalesce(F.sum("wrong").over(below), F.lit(0)).alias("misses")).where("bin >= 0")
+    now = told.where(F.col("bin") == round(current / step)).select(F.col("false_alarms").alias("alarms_now"), F.col("misses").alias("misses_now"))
+    more = (F.col("false_alarms") > F.col("alarms_now")) | (F.col("misses") > F.col("misses_now"))
+    fewer = (F.col("false_alarms") < F.col("alarms_now")) | (F.col("misses") < F.col("misses_now"))
+    outcome = F.when(more, "roll back").when(fewer, "enable").otherwise("as is")
+    return told.crossJoin(F.broadcast(now)).select(T.half_up(F.col("bin") * step, 6).alias("threshold"), "flagged", "false_alarms", "misses", outcome.alias("outcome"))
+
+
 def run_all(traces: DataFrame, scorer: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
     """Every job by name; lazy, so that a caller runs the ones it wants."""
     jobs = {"summary": summary(traces), "cost": cost_headline(traces), "thumbs": thumbs_clusters(traces), "repeats": repeat_global(traces), "conflicts": conflict_rate(traces)}

@@ -66,24 +66,34 @@ def usage_rates(spark, sf_dir):
     return H.rates(V.traces(spark, sf_dir)).select("run_id", "per_minute", "per_day", "tokens_day")
 
 
+@scoped
 def attempt_number(spark, sf_dir):
-    """Attempts in each thread; a question like one of the last ten is one of equal topic."""
-    from pyspark.sql.window import Window
-
-    t = V.traces(spark, sf_dir).withColumn("key", T.topic_key(F.col("question")))
-    seen = F.collect_list("key").over(Window.partitionBy("thread").orderBy("ts", "run_id").rowsBetween(-L.SESSION_ROWS, -1))
-    return H.attempts(t.withColumn("near", F.array_contains(seen, F.col("key"))), ["ts", "run_id"], F.col("near")).select("run_id", "attempt", "strategy", "skip_cache")
+    """Attempts in each thread; a question repeats one of the last ten if their vectors are near enough."""
+    t = V.traces(spark, sf_dir).withColumn("question", V.spelled(F.col("question"), F.col("run_id")))
+    near = H.like_before(t, ["ts", "run_id"], "run_id")
+    told = H.attempts(t.join(near, "run_id"), ["ts", "run_id"], F.col("similarity").isNotNull())
+    return told.select("run_id", T.half_up(F.col("similarity"), 6).alias("similarity"), "attempt", "strategy", "skip_cache")
 
 
 _ATTEMPTS = f"""
-t AS (SELECT *, array_to_string(list_sort(list_distinct({TOPICS('question')})), ' ') AS key FROM traces),
-a AS (SELECT *, coalesce(list_contains(list(key) OVER w10, key), false) OR coalesce(last_value(feedback IGNORE NULLS) OVER wp = 'down', false)
+t AS (SELECT * REPLACE ({V.SPELLED} AS question) FROM traces), texts AS (SELECT DISTINCT md5(question) AS id, question AS text FROM t), {V.grams_sql('g', 'texts', 'id', 'text')},
+vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM texts))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS idf FROM g GROUP BY term), w AS ({V.weights_sql('g')}),
+alike AS (SELECT x.id AS sig, y.id AS earlier, CASE WHEN x.id = y.id THEN 1.0::DOUBLE ELSE sum(x.w * y.w) END AS sim FROM w x JOIN w y USING (term) GROUP BY x.id, y.id HAVING floor(sum(x.w * y.w) * 1e9) >= {L.REPEAT_NEAR} * 1e9 OR x.id = y.id),
+f AS (SELECT run_id, md5(question) AS sig, list(md5(question)) OVER (PARTITION BY thread ORDER BY ts, run_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS seen FROM t),
+near AS (SELECT run_id, max(sim) AS similarity FROM (SELECT run_id, sig, unnest(seen) AS earlier FROM f) JOIN alike USING (sig, earlier) GROUP BY run_id),
+a AS (SELECT *, similarity IS NOT NULL OR coalesce(last_value(feedback IGNORE NULLS) OVER wp = 'down', false)
          OR len(list_filter({sql_list(L.PUSH_BACK)}, lambda p: contains(lower(question), p))) > 0 AS again, coalesce(lag(feedback) OVER wo = 'up', false) AS reset
-      FROM t WINDOW wo AS (PARTITION BY thread ORDER BY ts, run_id), wp AS (PARTITION BY thread ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                   w10 AS (PARTITION BY thread ORDER BY ts, run_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+      FROM t LEFT JOIN near USING (run_id) WINDOW wo AS (PARTITION BY thread ORDER BY ts, run_id), wp AS (PARTITION BY thread ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT *, sum(CASE WHEN NOT again OR reset THEN 1 ELSE 0 END) OVER (PARTITION BY thread ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM a),
-c AS (SELECT run_id, row_number() OVER w + first_value(again::INT) OVER w AS attempt FROM b WINDOW w AS (PARTITION BY thread, island ORDER BY ts, run_id))
-SELECT run_id, attempt::INT AS attempt, least(attempt, 3)::INT AS strategy, attempt >= 2 AS skip_cache FROM c"""
+c AS (SELECT run_id, similarity, row_number() OVER w + first_value(again::INT) OVER w AS attempt FROM b WINDOW w AS (PARTITION BY thread, island ORDER BY ts, run_id))
+SELECT run_id, floor(similarity * 1000000 + 0.5) / 1000000 AS similarity, attempt::INT AS attempt, least(attempt, 3)::INT AS strategy, attempt >= 2 AS skip_cache FROM c"""
+
+
+def shadow_plan(spark, sf_dir):
+    """What every threshold would have done to the traces, against the one in force; thumbs say what should have been flagged."""
+    t = V.traces(spark, sf_dir)
+    return J.shadow_plan(t.select(F.col("t1_in_score").alias("score"), F.when(F.col("feedback").isNotNull(), F.col("feedback") == "down").alias("wrong")), 80.0)
+
 
 _RATES = """
 rates AS (SELECT run_id, count(*) OVER (PARTITION BY user ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND 1 PRECEDING) AS per_minute,
@@ -177,6 +187,7 @@ QUERIES = {
     "bias_summary": lambda s, d: J.bias_summary(bias_pairs(s, d)),
     "bias_blame": lambda s, d: J.bias_blame(bias_pairs(s, d)),
     "proposals": on_traces(J.proposals),
+    "shadow_plan": shadow_plan,
     "queue_stitch": lambda s, d: _items(s, d).select("run_id", "status", "verdict", "reviewer"),
     "queue_health": lambda s, d: J.queue_health(_items(s, d), F.lit(NOW)),
     "labelled_data": lambda s, d: J.labelled_data(_items(s, d)),
@@ -224,13 +235,22 @@ SQL = {
     "bias_summary": sql("SELECT count(*) AS pairs_tested, count(*) FILTER (WHERE gap > 0 OR band_a <> band_b) AS pairs_that_differed, coalesce(max(gap), 0.0) AS max_gap, coalesce(" + up("avg(gap)", 2) + ", 0.0) AS mean_gap FROM bias", _BIAS),
     "bias_blame": sql("SELECT 'pii' AS detector, count(*) AS n FROM bias WHERE gap > 0 HAVING count(*) > 0", _BIAS),
     "proposals": sql(
-        """SELECT 'usage limits' AS target, user::VARCHAR AS subject, share AS figure FROM (SELECT * FROM top ORDER BY tokens DESC, user LIMIT 1) WHERE share > 40
-UNION ALL SELECT 'retrieval', 'retries', retries::DOUBLE FROM head WHERE retries > greatest(1, requests) * 0.1
-UNION ALL SELECT 'documents', topic, failure_rate FROM (SELECT * FROM clusters ORDER BY failure_rate DESC, down DESC, topic LIMIT 2) WHERE failure_rate >= 0.6 AND down >= 2
-UNION ALL SELECT 'cache', topic, asked::DOUBLE FROM (SELECT substr(key, 1, 48) AS topic, asked FROM most_asked WHERE asked >= 3 ORDER BY asked DESC, topic LIMIT 2)
-UNION ALL SELECT 'source trust', 'conflicts', disagreed::DOUBLE FROM rate WHERE disagreed > 0""",
+        " UNION ALL ".join(f"SELECT {sql_text(target)} AS target, {subject} AS subject, {figure}::DOUBLE AS figure, {sql_text(J.PLANS[target][0])} AS change, {reason} AS reason, {sql_text(J.PLANS[target][1])} AS risk, {sql_text(J.PLANS[target][2])} AS needs FROM {source}" for target, subject, figure, reason, source in (
+            ("usage limits", "user::VARCHAR", "share", "'one user has ' || tokens || ' tokens'", "(SELECT * FROM top ORDER BY tokens DESC, user LIMIT 1) WHERE share > 40"),
+            ("retrieval", "'retries'", "retries", "retries || ' retries of ' || requests || ' requests'", "head WHERE retries > greatest(1, requests) * 0.1"),
+            ("documents", "topic", "failure_rate", "down || ' down, ' || up || ' up'", "(SELECT * FROM clusters ORDER BY failure_rate DESC, down DESC, topic LIMIT 2) WHERE failure_rate >= 0.6 AND down >= 2"),
+            ("cache", "topic", "asked", "'asked ' || asked || ' times'", "(SELECT substr(key, 1, 48) AS topic, asked FROM most_asked WHERE asked >= 3 ORDER BY asked DESC, topic LIMIT 2)"),
+            ("source trust", "'conflicts'", "disagreed", "'sources disagreed on ' || disagreed || ' of ' || checked || ' checked answers'", "rate WHERE disagreed > 0"),
+        )),
         _TOP, _HEAD, _TOPIC, _COUNTS, _CLUSTERS, _KEYED, _REPEATED, _RATE,
     ),
+    "shadow_plan": sql(
+        """SELECT floor(bin * 0.1::DOUBLE * 1000000 + 0.5) / 1000000 AS threshold, flagged, false_alarms, misses,
+  CASE WHEN false_alarms > fa OR misses > mi THEN 'roll back' WHEN false_alarms < fa OR misses < mi THEN 'enable' ELSE 'as is' END AS outcome FROM plan, (SELECT false_alarms AS fa, misses AS mi FROM plan WHERE bin = 800)""",
+        "binned AS (SELECT least(floor(t1_in_score / 0.1::DOUBLE + 1e-6)::BIGINT, 1000) AS cell, feedback FROM traces)",
+        """plan AS (SELECT bin, (SELECT count(*) FROM binned WHERE cell >= bin) AS flagged, (SELECT count(*) FROM binned WHERE cell >= bin AND feedback = 'up') AS false_alarms,
+  (SELECT count(*) FROM binned WHERE cell < bin AND feedback = 'down') AS misses FROM range(1001) r(bin))""",
+    ),
     "queue_stitch": f"WITH {V.REVIEWS} SELECT run_id, status, verdict, reviewer FROM items",
     "queue_health": f"WITH {V.REVIEWS} SELECT count(*) AS queued, count(*) FILTER (WHERE status = 'waiting') AS waiting, count(*) FILTER (WHERE status = 'waiting' AND {NOW} > due_at) AS overdue, count(*) FILTER (WHERE status = 'reviewed') AS reviewed, "
     + up("count(*) FILTER (WHERE verdict = 'over_flagged') / count(*) FILTER (WHERE status = 'reviewed')", 2) + " AS over_flag_rate FROM items",

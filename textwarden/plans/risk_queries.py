@@ -16,7 +16,7 @@ from ..operators import verify as Y
 from ..tables import scoped
 from . import text_queries as TQ
 from . import views as V
-from .views import sql_list, sql_text
+from .views import grams_sql, sql_list, sql_text, weights_sql
 
 PARTLY = "Parts of this answer could not be checked."
 
@@ -83,14 +83,6 @@ def two_set_nn_dense(spark, sf_dir):
     return pairs.groupBy("query_id", "low").agg(best.alias("b")).select("query_id", "low", (-F.col("b.i")).alias("vec_id"), "b.sim")
 
 
-def weights_sql(source: str, of: str = "vocab") -> str:
-    return f"SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM {source} JOIN {of} USING (term) GROUP BY id, term)"
-
-
-def grams_sql(name: str, source: str, key: str, text: str) -> str:
-    return rf"{name} AS (SELECT id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT {key} AS id, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {source}))"
-
-
 def tfidf_sql(corpus_cte: str, corpus: str, asked: str = "requests", text: str = "question") -> str:
     return f"""{corpus_cte}, {grams_sql('cg', corpus, 'id', 'text')}, {grams_sql('qg', asked, 'run_id', text)},
 vocab AS (SELECT term, count(DISTINCT id) AS df, ln((1 + (SELECT count(*) FROM {corpus}))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS idf FROM cg GROUP BY term),
@@ -151,10 +143,9 @@ def near_dup_leaders(spark, sf_dir):
 def _asked(spark, sf_dir):
     """Traces as questions to a cache: id, at, question in three spellings, version of the documents at that time, and whether their answer may be stored."""
     t = V.traces(spark, sf_dir)
-    spelled = F.when(F.col("run_id") % 3 == 0, F.upper("question")).when(F.col("run_id") % 3 == 1, F.concat("question", F.lit(" Please answer soon."))).otherwise(F.col("question"))
     version = F.concat(F.lit("v"), F.floor(F.dayofmonth("ts") / 10).cast("string"))
     may = H.storable(F.size(D.pii_findings(F.col("question"))) > 0, F.col("action") == "allow", F.col("feedback"))
-    return t.select(F.col("run_id").alias("id"), H.micros(F.col("ts")).alias("at"), spelled.alias("question"), version.alias("version"), may.alias("may"))
+    return t.select(F.col("run_id").alias("id"), H.micros(F.col("ts")).alias("at"), V.spelled(F.col("question"), F.col("run_id")).alias("question"), version.alias("version"), may.alias("may"))
 
 
 @scoped
@@ -397,7 +388,7 @@ c AS (SELECT query_id, cluster FROM h QUALIFY row_number() OVER (PARTITION BY qu
 r AS (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY b.trust DESC, b.year DESC, sources DESC, first) AS k FROM g JOIN c USING (query_id, cluster)),
 d AS (SELECT a.query_id, CASE WHEN a.b.trust > z.b.trust THEN 'trust' WHEN a.b.year > z.b.year THEN 'year' WHEN a.sources > z.sources THEN 'sources' ELSE 'none' END AS reason, -a.b.p AS winner FROM r a JOIN r z ON a.query_id = z.query_id AND a.k = 1 AND z.k = 2)
 SELECT query_id, reason <> 'none' AS resolved, reason, CASE WHEN reason <> 'none' THEN winner END AS winner_id, CASE WHEN reason <> 'none' THEN (SELECT array_to_string(list_sort(flatten(list(ids))), ',') FROM r WHERE r.query_id = d.query_id AND k > 1) ELSE '' END AS losers FROM d""",
-    "cache_lookup_asof": f"""WITH {V.TRACES}, asked AS (SELECT run_id, epoch_us(ts) AS at, CASE run_id % 3 WHEN 0 THEN upper(question) WHEN 1 THEN question || ' Please answer soon.' ELSE question END AS question,
+    "cache_lookup_asof": f"""WITH {V.TRACES}, asked AS (SELECT run_id, epoch_us(ts) AS at, {V.SPELLED} AS question,
   'v' || day(ts) // 10 AS version, action = 'allow' AND coalesce(feedback = 'up', false) AS may FROM traces),
 texts AS (SELECT question AS text, md5(question) AS id, max(run_id) FILTER (WHERE may) IS NOT NULL AS stored FROM asked GROUP BY question), entries AS (SELECT * FROM texts WHERE stored),
 {grams_sql('cg', 'entries', 'id', 'text')}, {grams_sql('qg', 'texts', 'id', 'text')},

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import detectors as D
+from ..operators import spans as SP
 from ..operators import rewrite as R
 from . import views as V
 from .views import sql_list, sql_text
@@ -126,6 +127,18 @@ def pii_mask(spark, sf_dir):
     return s.select("run_id", "s.masked_text")
 
 
+def _names(spark, sf_dir):
+    """Spans of entities, as a second finder has them: run_id, kind, text, start, end."""
+    texts = pii(spark, sf_dir).select("run_id", F.explode(D.spans(F.col("text"), T.ENTITY)).alias("x"))
+    return texts.select("run_id", F.lit("NAME").alias("kind"), "x.text", "x.start", "x.end")
+
+
+def pii_spans_merged(spark, sf_dir):
+    """Findings of personal data, and the names that overlap none of them."""
+    found = pii_findings(spark, sf_dir).select("run_id", "kind", "text", "start", "end")
+    return SP.merged(found, _names(spark, sf_dir), ["run_id"])
+
+
 def _valid_sql(kind: str) -> str:
     luhn = "len(c) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN (len(c) - i) % 2 = 1 THEN (2 * c[i]::INT) // 10 + (2 * c[i]::INT) % 10 ELSE c[i]::INT END)) % 10 = 0"
     verhoeff = f"list_reduce(list_prepend(0, range(0, 12)), lambda s, i: ({sql_list(L.VERHOEFF_PRODUCT)}[s + 1])[({sql_list(L.VERHOEFF_PERMUTATION)}[i % 8 + 1])[reverse(c)[i + 1]::INT + 1]::INT + 1]::BIGINT) = 0"
@@ -247,6 +260,7 @@ QUERIES = {
     "pii_findings": pii_findings,
     "pii_action": pii_action,
     "pii_mask": pii_mask,
+    "pii_spans_merged": pii_spans_merged,
     "injection_phrase_score": injection_phrase_score,
     "injection_structure_score": injection_structure_score,
 }
@@ -274,6 +288,10 @@ FROM (SELECT doc_id, unnest(regexp_extract_all({_asciied('text')}, '\b(?:[0-9][
     "verhoeff_ids": f"SELECT o_orderkey, c AS digits, {_valid_sql('AADHAAR')} AS valid FROM (SELECT o_orderkey, '2' || lpad((o_orderkey * 7919 % 100000000000)::VARCHAR, 11, '0') AS c FROM orders)",
     "pan_gstin_valid": f"SELECT c_custkey, substr(p, 4, 1) IN ({', '.join(map(sql_text, L.PAN_HOLDERS))}) AS pan, c_custkey % 45 BETWEEN 1 AND 38 AS gstin FROM (SELECT c_custkey, {_PAN} AS p FROM customer)",
     "pii_findings": _pii_sql("input") + ' SELECT run_id, kind, text, start, "end", score, context, action FROM found',
+    "pii_spans_merged": _pii_sql("input") + f""", names AS (SELECT run_id, ms[i] AS text, (list_sum(list_transform(gs[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))::INT AS s
+  FROM (SELECT run_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT run_id, regexp_extract_all(text, {sql_text(T.ENTITY)}) AS ms, string_split_regex(text, {sql_text(T.ENTITY)}) AS gs FROM texts)))
+SELECT run_id, kind, text, start, "end" FROM found UNION ALL
+SELECT run_id, 'NAME', text, s, (s + len(text))::INT FROM names n WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.run_id = n.run_id AND f.start < n.s + len(n.text) AND f."end" > n.s)""",
     "pii_action": _pii_sql("output")
     + """ SELECT t.run_id, coalesce(max(score), 0.0::DOUBLE) AS score, CASE max(CASE action WHEN 'block' THEN 3 WHEN 'redact' THEN 2 WHEN 'mask' THEN 1 ELSE 0 END) WHEN 3 THEN 'block' WHEN 2 THEN 'redact' WHEN 1 THEN 'mask' ELSE 'allow' END AS action,
   count(kind)::INT AS count, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS types FROM texts t LEFT JOIN found f ON f.run_id = t.run_id GROUP BY t.run_id""",

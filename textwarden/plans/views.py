@@ -43,6 +43,14 @@ def sql_list(values: list[str]) -> str:
     return "[" + ", ".join(map(sql_text, values)) + "]"
 
 
+def weights_sql(source: str, of: str = "vocab") -> str:
+    return f"SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM {source} JOIN {of} USING (term) GROUP BY id, term)"
+
+
+def grams_sql(name: str, source: str, key: str, text: str) -> str:
+    return rf"{name} AS (SELECT id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT {key} AS id, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {source}))"
+
+
 def pick(values: list[str], at: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), at.cast("int"))
 
@@ -102,6 +110,14 @@ TRACES = f"""traces AS (
   FROM (SELECT *, regexp_extract(props, '(\\d+)', 1)::INT AS k FROM events))"""
 
 
+def spelled(question: Column, run_id: Column) -> Column:
+    """A question in one of three spellings by its run: upper case, with a request behind it, as it is."""
+    return F.when(run_id % 3 == 0, F.upper(question)).when(run_id % 3 == 1, F.concat(question, F.lit(" Please answer soon."))).otherwise(question)
+
+
+SPELLED = "CASE run_id % 3 WHEN 0 THEN upper(question) WHEN 1 THEN question || ' Please answer soon.' ELSE question END"
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a corpus: id, title, text, source_id, source_type, year."""
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
