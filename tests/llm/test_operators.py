@@ -264,6 +264,19 @@ def test_top_k(spark):
     assert topk_search.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Rows of one vec_id are each other's candidates; equal rows are answered each."""
+    rows = [(20, [0.5, 0.5]), (20, [0.9, 0.1]), (40, [0.1, 0.1]), (40, [0.1, 0.1]), (3, [0.2, 0.0])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=2).collect()
+    whole = [[int(np.floor(64 * x)) for x in v] for _, v in rows]
+    want = []
+    for a, (i, _) in enumerate(rows):
+        if i % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(whole[a], whole[b])), rows[b][0]) for b in range(len(rows)) if b != a)[:2]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 8 and (20, 1, 20, whole[0][0] * whole[1][0] + whole[0][1] * whole[1][1]) in want
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(6)
     rows = [(k, prose(r, 40).upper() + " ###" if k % 4 == 0 else prose(r, 40)) for k in range(400)]

@@ -93,9 +93,10 @@ def _turned(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
 
 
 def block_top_k(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, axes: np.ndarray) -> pd.DataFrame:
-    """The k best candidates (vec_id, v) of each query (vec_id, v, reached) in one pair of blocks, without those under what it has reached."""
+    """The k best candidates (row, vec_id, v) of each query (row, vec_id, v, reached) in one pair of blocks, without those under what it has reached."""
     width = max([1, *map(len, queries["v"]), *map(len, candidates["v"])])
     q, c = _matrix(queries["v"], width), _matrix(candidates["v"], width)
+    qr, cr = queries["row"].to_numpy(np.int64), candidates["row"].to_numpy(np.int64)
     qi, ci = queries["vec_id"].to_numpy(np.int64), candidates["vec_id"].to_numpy(np.int64)
     known = queries["reached"].to_numpy(float, na_value=-np.inf)
     exact = width * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0)) < 2**53
@@ -106,7 +107,7 @@ def block_top_k(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, axes: n
     for a in range(0, len(q), TILE):
         at = slice(a, min(a + TILE, len(q)))
         ids, reached = qi[at], known[at].copy()
-        other = ids[:, None] != ci[None, :]
+        other = qr[at][:, None] != cr[None, :]
         coarse = np.where(other, sq[0][at] @ sc[0].T, -np.inf)
         few = min(len(c), 2 * k)
         first = np.argpartition(-coarse, few - 1, axis=1)[:, :few]
@@ -120,8 +121,8 @@ def block_top_k(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, axes: n
             left = np.flatnonzero(open_[r])
             told = integers(c[left]) @ integers(q[at][r : r + 1])[0]
             best = _best(told.astype(float) if exact else told, ci[left], k)
-            rows.append(pd.DataFrame({"query_id": ids[r], "vec_id": ci[left[best]], "score": [int(x) for x in told[best]]}))
-    return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            rows.append(pd.DataFrame({"row": qr[at][r], "query_id": ids[r], "vec_id": ci[left[best]], "score": [int(x) for x in told[best]]}))
+    return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
 def principal_axes(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -140,17 +141,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     other rows, ties to the smaller vec_id; all of them, if fewer.
 
     Rows with a null vec_id, and vectors that are null or have a null or non-finite component, take no part. Shorter vectors count as padded
-    with zeros. Rows that repeat a vec_id are queries and candidates of their own, but never each other's; a query repeated
-    with equal rows is answered once. Scores must fit a long. Other columns are ignored; an empty table has no rows.
+    with zeros. Rows that repeat a vec_id are queries and candidates of their own, each other's as well: only a query's own row is left out. vec_ids
+    and scores must fit a long. Other columns are ignored; an empty table has no rows.
     """
-    own = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), floored(F.col("embedding"), scale).alias("v"), is_query.alias("is_query"))
+    own = cut(vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), floored(F.col("embedding"), scale).alias("v"), is_query.alias("is_query")))
     counts = own.agg(F.count("*").alias("all"), F.count_if("is_query").alias("queries")).first()
     axes = principal_axes(own)
     q_blocks, c_blocks = -(-counts["queries"] // QUERY_BLOCK) or 1, -(-counts["all"] // CANDIDATE_BLOCK) or 1
-    q_block = F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")
-    c_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(c_blocks)).cast("int")
-    queries = own.where("is_query").dropDuplicates(["vec_id", "v"]).select("vec_id", "v", q_block.alias("qb"))
-    candidates = own.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), c_block.alias("cb"))
+    q_block = F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int")
+    c_block = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(c_blocks)).cast("int")
+    queries = own.where("is_query").select("row", "vec_id", "v", q_block.alias("qb"))
+    candidates = own.select("row", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), c_block.alias("cb"))
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return block_top_k(left, right, k, axes)
@@ -158,14 +159,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     def passed(asking: DataFrame, first: int, last: int) -> DataFrame:
         dealt = asking.select(*(F.col(c).alias(c) for c in asking.columns), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("cb"))
         met = candidates.where(F.col("cb").between(first, last))
-        return dealt.groupBy("qb", "cb").cogroup(met.groupBy("qb", "cb")).applyInPandas(pair, "query_id long, vec_id long, score long")
+        return dealt.groupBy("qb", "cb").cogroup(met.groupBy("qb", "cb")).applyInPandas(pair, "row long, query_id long, vec_id long, score long")
 
     each = passed(queries.withColumn("reached", F.lit(None).cast("double")), 0, 0)
     if c_blocks > 1:
         # what k candidates of the first block reach, each query brings to the others
         each = cut(each)
-        reached = each.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("reached"))
-        asking = queries.join(reached.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        reached = each.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("reached"))
+        asking = queries.join(reached, "row", "left")
         each = each.unionByName(passed(asking, 1, c_blocks - 1))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id"))
     return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
