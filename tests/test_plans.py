@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textwarden.operators import history, jobs, spans, vectors
+from textwarden.operators import history, jobs, rewrite, spans, vectors
 
 
 def test_spans_that_overlap_give_way(spark):
@@ -68,3 +68,18 @@ def test_like_before(spark):
             best = max((cos(x[2], y[2]) for y in own[max(0, k - 10) : k]), default=0.0)
             assert (got[x[0]] is None) if best < 0.85 - 1e-9 else abs(got[x[0]] - best) < 1e-9
     assert got[201] > 0.999 and got[205] == 1.0
+
+
+def test_second_pass_settles_everything(spark):
+    """A grounded second answer is allowed; one without support, or without evidence, is not, and is never sent back again; what the first tier stopped stays stopped."""
+    evidence = ["Notice period lasts 60 days for everyone."]
+    rows = [
+        (1, "How long is the notice period?", evidence, 0.0, "allow", False), (2, "How long is the notice period?", evidence, 95.0, "block", True), (3, "Anything else?", [], 0.0, "allow", False),
+        (4, None, None, 0.0, "allow", False), (5, "How long is the notice period?", evidence, 50.0, "allow", False),
+    ]
+    df = spark.createDataFrame(rows, "run_id long, question string, evidence array<string>, t1_score double, t1_action string, t1_sure boolean").withColumn("strict", F.lit(False))
+    got = {x["run_id"]: x for x in rewrite.second_pass(df).collect()}
+    assert {k: x["action"] for k, x in got.items()} == {1: "allow", 2: "block", 3: "abstain", 4: "abstain", 5: "escalate"}
+    assert got[1]["trust_label"] == "verified against your documents" and got[1]["answer"] == "Notice period lasts 60 days for everyone [S1]." and all(x["strict"] for x in got.values())
+    made_up = rewrite.second_pass(df.where("run_id = 1"), lambda question, evidence, temperature, offending: F.lit("The notice period lasts 90 days [S1].")).collect()
+    assert [x["action"] for x in made_up] == ["abstain"]

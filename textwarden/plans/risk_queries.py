@@ -13,7 +13,7 @@ from ..operators import retrieval as RE
 from ..operators import rewrite as R
 from ..operators import vectors as VE
 from ..operators import verify as Y
-from ..tables import scoped
+from ..tables import kept, scoped
 from . import text_queries as TQ
 from . import views as V
 from .views import grams_sql, sql_list, sql_text, weights_sql
@@ -184,9 +184,8 @@ def full_scan(spark, sf_dir):
     return D.scan(_near(spark, sf_dir), "question", format_given=F.col("format_given"), unsafe=F.col("unsafe"), stakes=F.col("stakes"))
 
 
-@scoped
-def decided(spark, sf_dir):
-    """Answers, decided by their checks and the first tier's scan of the turn before them."""
+def _decided(spark, sf_dir):
+    """Answers with their checks, the first tier's scan of the turn before them, and the decision."""
     a = _checked(spark, sf_dir).withColumn("t2", Y.tier2(F.col("g.score"), F.when(F.col("strict"), F.col("c.score")), F.col("s.score")))
     sure = D.certain({k: F.col(f"{k}.score") for k in ("injection", "unsafe", "pii", "usage")})
     asked = full_scan(spark, sf_dir).select((F.col("run_id") + 1).alias("run_id"), F.col("t1.risk_score").alias("t1_score"), F.col("t1.action").alias("t1_action"), sure.alias("t1_sure"))
@@ -194,9 +193,27 @@ def decided(spark, sf_dir):
     retries = (F.col("run_id") % 2).cast("int")
     a = a.withColumn("d", Y.decision(F.col("t1_score"), F.col("t1_action"), F.col("t1_sure"), F.col("t2.risk_score"), F.col("g.unsupported"), retries, F.col("strict")))
     a = a.withColumns({"trust_label": Y.trust_label(F.col("d.action"), F.col("g.claims"), F.col("g.unsure"), F.col("g.unsupported")), "route": Y.decision_route(F.col("d.action"), retries)})
+    return a
+
+
+@scoped
+def decided(spark, sf_dir):
+    """Answers, decided by their checks and the first tier's scan of the turn before them."""
+    a = _decided(spark, sf_dir)
     return a.select("run_id", F.col("t2.risk_score").alias("t2_score"), F.col("t2.weighted").alias("weighted"), F.array_join("t2.ran", ",").alias("ran"), F.col("d.action").alias("action"), F.col("d.severity").alias("severity"), F.col("d.confident").alias("confident"), "trust_label", "route")
 
 
+@scoped
+def retried(spark, sf_dir):
+    """Decided answers, with those that were sent back answered and decided anew from the evidence for the turn before them."""
+    a = kept(_decided(spark, sf_dir).select("run_id", "answer", "trust_label", "t1_score", "t1_action", "t1_sure", F.col("d.action").alias("action")))
+    back = a.where("action = 'retry'").select("run_id", "t1_score", "t1_action", "t1_sure")
+    asked = _with_evidence(spark, sf_dir).select((F.col("run_id") + 1).alias("run_id"), "question", "evidence")
+    again = R.second_pass(back.join(asked, "run_id", "left"))
+    told = lambda df, fresh: df.select("run_id", F.lit(fresh).alias("regenerated"), "action", "trust_label", "answer")
+    return told(a.where("action <> 'retry'"), False).unionByName(told(again, True))
+
+
 @scoped
 def tier1_full(spark, sf_dir):
     return full_scan(spark, sf_dir).select("run_id", "t1.risk_score", "t1.weighted", "t1.solo", "t1.band", "t1.action", "t1.strict_mode")
@@ -343,6 +360,7 @@ QUERIES = {
     "self_consistency": self_consistency,
     "output_safety": output_safety,
     "decide": decided,
+    "retried": retried,
     "extract_answers": extract_answers,
     "generate_answers": generate_answers,
     "delivered": delivered,
@@ -420,3 +438,22 @@ _ACTED = " ".join(f"WHEN action {test} THEN {text}" for test, text in (
     ("= 'care'", sql_text(Y.CARE)), ("= 'escalate'", sql_text(Y.HANDED_ON) + " || ref || '.'")))
 SQL["delivered"] = f"""WITH {V.ANSWERS}, d AS ({SQL['decide']}), n AS (SELECT run_id, action, trust_label, answer, substr(md5(run_id::VARCHAR), 1, 4) || '-' || substr(md5(run_id::VARCHAR), 5, 2) AS ref FROM d JOIN answers USING (run_id))
 SELECT run_id, action, ref, (CASE {_ACTED} ELSE answer END) || CASE WHEN trust_label = 'partly verified' AND action NOT IN ('block', 'abstain', 'block_and_route_hr') THEN chr(10) || chr(10) || {sql_text(PARTLY)} ELSE '' END AS message FROM n"""
+_LABEL = """CASE WHEN action IN ('block', 'abstain', 'block_and_route_hr') OR unsupported > 0 THEN 'could not verify' WHEN unsure > 0 THEN 'partly verified' WHEN claims > 0 THEN 'verified against your documents' ELSE 'not checked in depth' END"""
+SQL["retried"] = rf"""WITH {V.ANSWERS}, first AS ({_DECIDED} SELECT run_id, action, t1, t1_action, t1_sure, {_LABEL} AS trust_label FROM z),
+second AS ({_DRAWN.format(keep='2')},
+  ev AS (SELECT run_id + 1 AS run_id, 'S' || rank AS tag, text FROM e),
+  fresh AS (SELECT f.run_id, f.t1, f.t1_action, f.t1_sure, true AS strict, coalesce(d.answer, {sql_text(Y.NOTHING_FOUND)}) AS answer FROM first f LEFT JOIN drawn d ON d.run_id + 1 = f.run_id WHERE f.action = 'retry'),
+  {TQ.claims_sql('fresh', 'run_id', 'answer')},
+  each_tag AS (SELECT run_id, k, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM claims),
+  cited AS (SELECT c.run_id, c.k, c.text, c.tags, trim(coalesce(string_agg(coalesce(ev.text, ''), chr(10) ORDER BY i), '')) AS cited
+            FROM claims c LEFT JOIN each_tag t ON t.run_id = c.run_id AND t.k = c.k LEFT JOIN ev ON ev.run_id = c.run_id AND ev.tag = t.tag GROUP BY c.run_id, c.k, c.text, c.tags),
+  words AS (SELECT *, {TQ.CONTENT('text')} AS cw, {TQ.CONTENT('cited')} AS ew, {TQ.NUMBERS('text')} AS cn, {TQ.NUMBERS('cited')} AS en FROM cited),
+  judged AS (SELECT run_id, CASE WHEN len(tags) = 0 OR cited = '' OR len(list_filter(cn, lambda n: NOT list_contains(en, n))) > 0 THEN 'bad' WHEN len(cw) > 0 AND len(list_intersect(cw, ew)) / len(cw) >= 0.6 THEN 'good' ELSE 'unsure' END AS v FROM words),
+  counted AS (SELECT f.run_id, count(v) AS claims, count(*) FILTER (WHERE v = 'unsure') AS unsure, count(*) FILTER (WHERE v = 'bad') AS unsupported FROM fresh f LEFT JOIN judged USING (run_id) GROUP BY f.run_id),
+  {_SAFE.replace('FROM answers', 'FROM fresh')},
+  scored AS (SELECT c.*, f.answer, f.t1, f.t1_action, f.t1_sure, CASE WHEN claims > 0 THEN floor(least(1.0::DOUBLE, (unsupported + 0.4::DOUBLE * unsure) / claims) * 100 + 0.5) / 100 ELSE 0.0::DOUBLE END AS g, s.score AS s
+             FROM counted c JOIN fresh f USING (run_id) JOIN safe s USING (run_id)),
+  weighed AS (SELECT *, greatest(t1, floor(greatest((g * 50 + s * 20) / 70 * 100, g * 100, s * 100) * 10 + 0.5) / 10) AS sev FROM scored),
+  acted AS (SELECT *, CASE WHEN t1_action IN ('block', 'block_and_route_hr', 'care') THEN t1_action WHEN unsupported > 0 THEN 'abstain' WHEN sev >= 80 THEN 'block' WHEN sev >= 40 THEN 'escalate' ELSE 'allow' END AS action FROM weighed)
+  SELECT run_id, true AS regenerated, action, {_LABEL} AS trust_label, answer FROM acted)
+SELECT run_id, false AS regenerated, action, trust_label, answer FROM first JOIN answers USING (run_id) WHERE action <> 'retry' UNION ALL SELECT * FROM second"""
