@@ -22,9 +22,9 @@ from ..tables import kept, scoped
 #: Classes of item sizes for each doubling of the number of terms.
 CLASSES = 4
 #: Postings, of its shortest lists, that a query scores first.
-SEED = 32
+SEED = 48
 #: The share of the score to reach that the bounds of lists left out may add up to.
-SKIP = 0.7
+SKIP = 0.75
 #: How many times k of the items with the highest partial scores are scored in full, to raise the score to reach before the others are.
 LIKELY = 4
 #: Scores are compared in billionths; bounds leave room for that.
