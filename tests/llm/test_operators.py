@@ -145,32 +145,38 @@ def test_lines(docs, empty):
     rows = line_dedup.dedup_lines(docs).collect()
     assert len(rows) == len(TEXTS) and set(docs.columns) < set(rows[0].asDict())
 
-    def chunks(t):
-        lines = t.split("\n")
-        codes = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) % line_dedup.MODULUS for x in lines]
-        out, own = [], []
-        for i, (line, c) in enumerate(zip(lines, codes, strict=True)):
-            own.append(line)
-            if i + 1 == len(lines) or (c + line_dedup.FACTOR * (codes[i - 1] if i else 0)) % 3 == 0:
-                out.append(own)
-                own = []
-        return out
-
     seen, want = set(), {}
     for i, t in sorted((x for x in set(TEXTS) if x[0] is not None and x[1] is not None)):
-        kept, gone = [], 0
-        for c in chunks(t):
-            if len(c) > 1 and tuple(c) in seen:
-                gone += len(c)
-            else:
-                kept.append("\n".join(c))
-            seen.add(tuple(c)) if len(c) > 1 else None
-        want[i] = ("\n".join(kept), gone)
+        lines, gone = t.split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            gone |= {k, k + 1} if pair in seen else set()
+            seen.add(pair)
+        want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
     got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in rows if r["doc_id"] is not None and r["text"] is not None}
     assert got == want and any(g for _, g in want.values())
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_chunks(spark):
+    """Chunks are the local minima of a rolling hash, far enough apart; they come back after lines put in before; copies beyond one task's are all found."""
+    r = random.Random(3)
+    lines = [prose(r, 4) for _ in range(300)]
+    cases = [(0, lines), (1, ["new line", *lines]), (2, ["only"]), (3, [""]), (4, ["same"] * 40)]
+    df = spark.createDataFrame([(k, "\n".join(x)) for k, x in cases], "doc_id long, text string").select("doc_id", F.split("text", "\n").alias("lines"))
+    spans = {x["doc_id"]: [tuple(s) for s in x["s"]] for x in df.select("doc_id", line_dedup.chunk_spans(F.col("lines"), 2).alias("s")).collect()}
+    for k, x in cases:
+        assert spans[k][0][0] == 1 and spans[k][-1][1] == len(x) and all(a[1] + 1 == b[0] for a, b in zip(spans[k], spans[k][1:]))
+        assert all(b - a >= 2 for a, b in spans[k][1:-1])
+    moved = {(a - 1, b - 1) for a, b in spans[1]}
+    assert len(moved & set(spans[0])) >= len(spans[0]) - 2 > 30 and spans[2] == spans[3] == [(1, 1)]
+    docs = spark.createDataFrame([(k, "\n".join(lines[k % 7 : 9] + [f"own {k}"])) for k in range(60)], "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "SALT_ROWS", 4)
+        salted = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+    assert salted == sorted(map(tuple, line_dedup.dedup_lines(docs, reach=5).collect()))
+    assert [(k, n) for k, _, n in salted] == [(k, 0 if k == 0 else 9 - k % 7) for k in range(60)]
+
+
 def test_contamination(spark, docs, empty):
     texts = dict((i, t) for i, t in TEXTS if i is not None)
     items = [("p", " ".join(texts[4].split()[45:75])), ("q", "nowhere to be seen at all in any of these texts here or there"), ("s", "x Y, z"), ("p", None), (None, "one"), ("e", ""), ("d", texts[1])]
@@ -232,6 +238,24 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_shards(spark):
+    """Shards hold equal numbers of the blocks placed, but for one a level of the tree; rows without doc_id are dealt over the blocks."""
+    rows = [(None if k % 3 == 0 else k, "w " * (k % 9 + 1) + str(k), f"s{k % 4}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, shards=8).collect()
+    placed = {(r["source"], p["copy"], p["shard"]) for r in got for p in r["parts"]}
+    assert {p[2] for p in placed} == set(range(8))
+    blocks = mixing.LEAST_BLOCKS * len({p[:2] for p in placed})
+    words = Counter()
+    for r in got:
+        for p in r["parts"]:
+            words[p["shard"]] += p["words"]
+    mean = sum(words.values()) / 8
+    assert all(abs(n - mean) <= 5 * mean * 8 / blocks for n in words.values())
+    by_shard = Counter(p["shard"] for r in got if r["doc_id"] is None for p in r["parts"])
+    assert len(by_shard) == 8 and max(by_shard.values()) < 3 * min(by_shard.values())
+
+
 def test_splitting_tree(spark):
     quotas = spark.createDataFrame([(1, 100), (2, 7), (3, 0), (4, 33)], "sid int, blocks long")
     ends = {r["sid"]: r["ends"] for r in mixing.splitting_tree(quotas, 8, "s").collect()}

@@ -93,18 +93,19 @@ def mix_sources(docs: DataFrame, shards: int = 64, seed: str = "mix", weights: t
 
     taken is at most MOST_COPIES times the size, and the words that a source's documents give are its target, rounded. The last part of a
     source may take the first words of one document only. Null texts have size 0 and give nothing; null sources are a source
-    of their own, and sort last; repeated rows are documents of their own, dealt together. Reruns agree. row_key names a column of docs that
+    of their own, and sort last; repeated rows are documents of their own, dealt together; rows without doc_id are dealt by their texts. Reruns agree. row_key names a column of docs that
     tells rows apart, by which the result, where it is the first column, can be joined to them: doc_ids may be null or repeat.
     """
     keys = [row_key] if row_key else []
-    sizes = cut(docs.select(*keys, "doc_id", "source", n_words(F.col("text")).alias("size")))
+    h = dealt(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), seed)
+    sizes = cut(docs.select(*keys, "doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h")))
     sources = targets(sizes, weights)
     quota = F.least(F.round("target").cast("long"), MOST_COPIES * F.col("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     whole = F.when(whole * F.col("source_size") > quota, whole - 1).otherwise(whole)
     sources = cut(sources.withColumn("copies", whole).withColumn("part", quota - whole * F.col("source_size")).withColumn("blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS))))
     known = sizes.alias("d").join(checked_broadcast(sources).alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.sid", "s.source_size", "s.target", "s.copies", "s.part", "s.blocks")
-    known = cut(known.withColumn("h", dealt(F.col("doc_id"), seed)).withColumn("block", F.pmod("h", F.col("blocks"))))
+    known = cut(known.withColumn("block", F.pmod("h", F.col("blocks"))))
     by_block = known.groupBy("sid", "block").agg(F.sum("size").alias("block_size"), F.first("copies").alias("copies"), F.first("part").alias("part"))
     before = F.coalesce(F.sum("block_size").over(Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by_block = cut(by_block.select("sid", "block", "copies", "block_size", F.greatest(F.lit(0), F.least("block_size", F.col("part") - before)).alias("block_part")))

@@ -78,14 +78,17 @@ OP2_SQL = license_sql(
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """How many words the mix takes of each document, and in how many parts; both are counted over what the splitting tree has placed in shards."""
+    placed = F.filter("parts", lambda p: p["shard"].between(0, 63))
+    taken = F.aggregate(placed, F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("taken")
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), shards=64)
+    return mixed.select("doc_id", "size", "source_size", "target", taken, F.size(placed).cast("long").alias("n_parts"))
 
 
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS w, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 g AS (SELECT *, ((sid - 1) % 3 + 1)::BIGINT AS k FROM s),
 r AS (SELECT *, (sum(w) OVER () - coalesce(sum(3 * w) OVER (ORDER BY 3 * w / k, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest,
@@ -99,25 +102,24 @@ c AS (SELECT *, CASE WHEN w > 0 THEN quota // w ELSE 0 END AS copies, CASE WHEN
 o AS (SELECT d.doc_id, d.size, c.w, c.target, c.copies, c.part,
              coalesce(sum(d.size) OVER (PARTITION BY c.sid ORDER BY d.h % c.blocks, d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS gone
       FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
-SELECT doc_id, size, w AS source_size, target, copies * size + greatest(0, least(size, part - gone)) AS taken FROM o
+SELECT doc_id, size, w AS source_size, target, copies * size + greatest(0, least(size, part - gone)) AS taken,
+       CASE WHEN size > 0 THEN copies ELSE 0 END + CASE WHEN least(size, part - gone) > 0 THEN 1 ELSE 0 END AS n_parts FROM o
 """
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What line dedup leaves of each document."""
+    """What is left of each document without the runs of two lines or more that occur earlier."""
     left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "lines_removed", F.md5("text").alias("text_md5"))
 
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-c AS (SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 1000003) AS c FROM d),
-e AS (SELECT doc_id, l, list_filter(range(1, len(c) + 1), lambda i: i = len(c) OR (c[i] + 31 * coalesce(c[i - 1], 0)) % 3 = 0) AS e FROM c),
-k AS (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS k FROM e),
-s AS (SELECT doc_id, k, coalesce(e[k - 1], 0) + 1 AS a, e[k] AS b, array_to_string(l[coalesce(e[k - 1], 0) + 1 : e[k]], chr(10)) AS t FROM k),
-r AS (SELECT *, b > a AND row_number() OVER (PARTITION BY t, b > a ORDER BY doc_id, k) > 1 AS gone FROM s)
-SELECT doc_id, coalesce(sum(b - a + 1) FILTER (WHERE gone), 0)::BIGINT AS lines_removed, md5(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS text_md5
-FROM r GROUP BY doc_id
+p AS (SELECT doc_id, i, row_number() OVER (PARTITION BY l[i], l[i + 1] ORDER BY doc_id, i) > 1 AS again FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d)),
+g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i, TRUE AS gone FROM p WHERE again),
+x AS (SELECT doc_id, i, l[i] AS t, coalesce(gone, FALSE) AS gone FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d) LEFT JOIN g USING (doc_id, i)),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(t, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS lines_removed, CASE WHEN text IS NOT NULL THEN md5(coalesce(kept, '')) END AS text_md5 FROM documents LEFT JOIN r USING (doc_id)
 """
 
 
