@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality_rules
-from textwarden.llm.common import cut
+from textwarden.llm.common import cut, scoped
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of two lines or more that occur earlier; a document of which nothing is left goes."""
-    left = line_dedup.dedup_lines(docs, every=None)
+    left = line_dedup.dedup_lines(docs)
     return left.where((F.col("lines_removed") == 0) | (F.trim("text") != "")).drop("lines_removed")
 
 
@@ -42,11 +42,13 @@ STAGES = [("quality", quality), ("line dedup", lines), ("n-gram Jaccard", near_c
 ORACLE_SQL = None
 
 
+@scoped
+def through(docs: DataFrame, spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
+    """docs after the stages up to the last-th. A stage's table goes as soon as the next one's is written, with all that the stage wrote on its way."""
+    before = through(docs, spark, sf_dir, last - 1) if last else docs
+    return STAGES[last][1](spark, before, sf_dir)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each stage's result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    """STAGES applied to documents, each stage's result written and read again. The last one's table stays, for the caller."""
+    return through(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark, sf_dir, len(STAGES) - 1)
