@@ -1,5 +1,6 @@
 """Queries with SQL against DuckDB, and the pipeline's stages on odd rows and on the smallest tables."""
 
+import pathlib
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from oracle import rows_of, sql_rows
 
 import corpus_pipeline
 from textwarden.llm import queries
+from textwarden.llm.common import shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,7 +67,11 @@ def test_mix_keeps_rows_apart(spark):
 
 
 def test_run(spark):
+    """What the mix takes comes in whole parts, and of all tables that the stages wrote, only the result's is left."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:")) / "textwarden"
+    before = set(folder.iterdir()) if folder.exists() else set()
     rows = corpus_pipeline.run(spark, SF).collect()
+    assert len(set(folder.iterdir()) - before) == 1
     assert rows and all(r["words"] <= r["size"] and r["taken"] <= 3 * r["size"] for r in rows)
     taken = {}
     for r in rows:
