@@ -69,19 +69,16 @@ def repeats(texts: DataFrame) -> DataFrame:
     Texts without spans, or without repeated ones, have no row. Equal rows are one text.
     """
     keys = ["doc_id", "text_hash"]
-    digests = F.transform("spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), F.unhex(F.md5(chunk_text(F.col("lines"), s))).alias("digest")))
-    each = cut(texts.select(*keys, F.explode(digests).alias("c")).select(*keys, "c.*"))
+    shown = F.transform("spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), chunk_text(F.col("lines"), s).alias("chunk")))
+    each = texts.select(*keys, F.explode(shown).alias("c")).select(*keys, "c.*")
+    each = cut(each.withColumn("digest", F.unhex(F.md5("chunk"))))
     counted = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "from")).alias("first"))
     repeated = cut(counted.where("n > 1").select("digest", "first", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("parts")))
     is_first = F.struct(*keys, "from").eqNullSafe(F.col("first")).alias("is_first")
-    wanted = each.join(checked_broadcast(repeated), "digest").select(*keys, "from", "to", "digest", "parts", is_first).distinct()
-    wanted = cut(wanted.groupBy(*keys).agg(F.collect_list(F.struct("from", "to", "digest", "parts", "is_first")).alias("wanted")))
-    shown = texts.drop("spans").join(light(wanted), keys)
-    told = F.transform("wanted", lambda w: F.struct(w.alias("w"), chunk_text(F.col("lines"), w).alias("chunk")))
-    shown = shown.select(*keys, F.explode(told).alias("t")).select(*keys, "t.w.*", "t.chunk")
-    first = shown.where("is_first").select("digest", "parts", F.col("chunk").alias("first_chunk")).dropDuplicates(["digest"])
+    wanted = cut(each.join(checked_broadcast(repeated), "digest").select(*keys, "from", "to", "digest", "chunk", "parts", is_first))
+    first = wanted.where("is_first").select("digest", "parts", F.col("chunk").alias("first_chunk")).dropDuplicates(["digest"])
     first = first.select("digest", "first_chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    others = shown.where("not is_first").withColumn("part", F.pmod(F.xxhash64(*keys, "from"), F.col("parts")).cast("int"))
+    others = wanted.where("not is_first").withColumn("part", F.pmod(F.xxhash64(*keys, "from"), F.col("parts")).cast("int"))
     same = others.join(first, ["digest", "part"]).where("chunk = first_chunk")
     return same.groupBy(*keys).agg(F.collect_set(F.struct("from", "to")).alias("gone"))
 
