@@ -58,11 +58,12 @@ def injection_structure(text: Column) -> Column:
     return F.struct(score.alias("score"), signals.alias("signals"))
 
 
-def injection(text: Column, format_given: Column) -> Column:
-    """struct<score, band, phrase, target, signals>; it names no action of its own."""
+def injection(text: Column, format_given: Column, learned: Column | None = None) -> Column:
+    """struct<score, band, phrase, target, signals>; it names no action of its own. learned is a third layer's score, see operators.classifier."""
     text = F.coalesce(text, F.lit(""))
     both = F.struct(injection_phrases(text, format_given).alias("p"), injection_structure(text).alias("s"))
-    score = lambda b: F.greatest(b["p"]["score"], b["s"]["score"])
+    third = F.lit(0.0) if learned is None else F.coalesce(learned, F.lit(0.0))
+    score = lambda b: F.greatest(b["p"]["score"], b["s"]["score"], third)
     return _let(both, lambda b: F.struct(score(b).alias("score"), band(score(b), 0.70, 0.40).alias("band"), b["p"]["phrase"].alias("phrase"), b["p"]["target"].alias("target"), b["s"]["signals"].alias("signals")))
 
 
@@ -194,18 +195,18 @@ def fuse(scores: dict[str, Column], actions: dict[str, Column], strict: Column |
     return F.struct(T.half_up(final, 1).alias("risk_score"), T.half_up(weighted, 1).alias("weighted"), T.half_up(solo, 1).alias("solo"), level.alias("band"), F.array_max(ranked)["action"].alias("action"), (calm | (level != "normal")).alias("strict_mode"), reasons.alias("reasons"))
 
 
-def scan(df: DataFrame, text: str, mode: str = "input", format_given: Column | None = None, unsafe: Column | None = None, stakes: Column | None = None) -> DataFrame:
+def scan(df: DataFrame, text: str, mode: str = "input", format_given: Column | None = None, unsafe: Column | None = None, stakes: Column | None = None, learned: Column | None = None) -> DataFrame:
     """df with the columns injection, pii, usage and t1: the detectors of one text, and the fusion of all that are given.
 
-    unsafe and stakes are the results of unsafe_intent and high_stakes, which need examples (see operators.vectors). In output mode only unsafe
-    intent and personal data count. Null texts scan as empty.
+    unsafe and stakes are the results of unsafe_intent and high_stakes, which need examples (see operators.vectors); learned is the third layer of injection.
+    In output mode only unsafe intent and personal data count. Null texts scan as empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     given = F.lit(False) if format_given is None else format_given
     out = df.withColumn("__findings", pii_findings(t, mode)).withColumn("pii", pii_summary(t, F.col("__findings"))).drop("__findings")
     scores, actions = {}, {}
     if mode == "input":
-        out = out.withColumn("injection", injection(t, given)).withColumn("usage", usage_size(t))
+        out = out.withColumn("injection", injection(t, given, learned)).withColumn("usage", usage_size(t))
         scores["injection"] = F.col("injection.score")
     if unsafe is not None:
         scores["unsafe_intent"], actions["unsafe_intent"] = unsafe["score"], unsafe["action"]

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import classifier as C
 from ..operators import detectors as D
+from ..operators import encoder as EN
 from ..operators import evidence as E
 from ..operators import history as H
 from ..operators import retrieval as RE
@@ -74,13 +76,58 @@ def stakes(spark, sf_dir):
     return _near(spark, sf_dir).select("run_id", "stakes.score", "stakes.category", "stakes.strict_mode")
 
 
+@scoped
 def two_set_nn_dense(spark, sf_dir):
     """Each twentieth vector's nearest neighbour by cosine on either side, labels 0 to 4 against 5 to 9; queries are a stated set, candidates all others."""
-    e = V.table(spark, sf_dir, "embeddings").select("vec_id", VE.unit(F.col("embedding")).alias("v"), (F.col("label") < 5).alias("low"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    pairs = e.crossJoin(VE.small(q, 20_000)).where("vec_id <> query_id").select("query_id", "low", "vec_id", T.half_up(VE.dot(F.col("qv"), F.col("v")), 6).alias("sim"))
-    best = F.max(F.struct("sim", (-F.col("vec_id")).alias("i")))
-    return pairs.groupBy("query_id", "low").agg(best.alias("b")).select("query_id", "low", (-F.col("b.i")).alias("vec_id"), "b.sim")
+    e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") < 5).alias("side"), VE.unit(F.col("embedding")).alias("v"))
+    best = EN.nearest(e.where("id % 20 = 0").select("id", "v"), e, others=True)
+    return best.select("query_id", F.col("side").alias("low"), F.col("item_id").alias("vec_id"), "sim")
+
+
+@scoped
+def encoder_projection(spark, sf_dir):
+    """Examples, projected by their terms' signs: what the dense encoder is fitted from."""
+    vocab, items = VE.fit(V.examples(spark, sf_dir))
+    each = EN.projected(items, vocab).select("id", F.posexplode("parts").alias("k", "x"))
+    return each.select("id", "k", T.half_up(F.col("x"), 6).alias("x"))
+
+
+@scoped
+def intent_dense(spark, sf_dir):
+    """Unsafe intent and high stakes of requests by the dense encoder, fitted on all examples, with its own cut-offs."""
+    ex, r = V.examples(spark, sf_dir), V.requests(spark, sf_dir).withColumn("id", F.col("run_id"))
+    vocab, items = VE.fit(ex)
+    basis = kept(EN.fit(items, vocab))
+    asked = EN.encoded(VE.tfidf(r.select("id", F.col("question").alias("text")), vocab), basis)
+    best = EN.nearest(asked, EN.encoded(items, basis).join(ex.select("id", "side"), "id"))
+    near = VE.two_sided(r, best, ex.select(F.col("id").alias("item_id"), "category"), "risky", "calm")
+    told = [F.col(c) for c in ("risky_sim", "calm_sim", "risky_category", "question")]
+    near = near.withColumns({"u": D.unsafe_intent(*told, L.UNSAFE_CUTS["dense"]), "h": D.high_stakes(*told, L.STAKES_CUTS["dense"])})
+    return near.select("run_id", "risky_sim", "calm_sim", F.col("u.score").alias("unsafe_score"), "u.category", "u.action", F.col("h.score").alias("stakes_score"), "h.strict_mode")
+
+
+def _toxic_model(spark, sf_dir):
+    """Labelled documents (doc_id, text, label, held_out) and a model of those that are not held out."""
+    d = V.table(spark, sf_dir, "documents").join(V.table(spark, sf_dir, "labels"), "doc_id")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    d = d.select("doc_id", "text", (F.col("toxic") == 1).alias("label"), held.alias("held_out"))
+    return d, kept(C.fit(d.where("not held_out")))
+
+
+@scoped
+def toxic_learned(spark, sf_dir):
+    """Labelled documents, scored by a classifier that four fifths of them have taught."""
+    d, model = _toxic_model(spark, sf_dir)
+    told = C.scored(d, model)
+    return told.select("doc_id", "held_out", T.half_up(F.col("learned"), 6).alias("score"), (F.col("learned") >= 0.5).alias("predicted"))
+
+
+@scoped
+def injection_layered(spark, sf_dir):
+    """Requests by all three layers of injection, with the classifier of toxic_learned in the third one's slot."""
+    r = C.scored(V.requests(spark, sf_dir), _toxic_model(spark, sf_dir)[1], "question")
+    told = r.select("run_id", "learned", D.injection(F.col("question"), F.col("format_given"), C.layer(F.col("learned"))).alias("i"))
+    return told.select("run_id", T.half_up(C.layer(F.col("learned")), 2).alias("classifier"), T.half_up(F.col("i.score"), 2).alias("score"), "i.band", "i.phrase")
 
 
 def tfidf_sql(corpus_cte: str, corpus: str, asked: str = "requests", text: str = "question") -> str:
@@ -350,6 +397,10 @@ QUERIES = {
     "unsafe_intent": unsafe_intent,
     "stakes_nn": stakes,
     "two_set_nn_dense": two_set_nn_dense,
+    "encoder_projection": encoder_projection,
+    "intent_dense": intent_dense,
+    "toxic_learned": toxic_learned,
+    "injection_layered": injection_layered,
     "near_dup_leaders": near_dup_leaders,
     "scope_missing_terms": scope_missing_terms,
     "rerank_boosted": rerank_boosted,
@@ -391,6 +442,10 @@ SQL = {
     "two_set_nn_dense": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label < 5 AS low FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, c.low, c.vec_id, floor(list_cosine_similarity(q.v, c.v) * 1000000 + 0.5) / 1000000 AS sim FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, low, vec_id, sim FROM p QUALIFY row_number() OVER (PARTITION BY query_id, low ORDER BY sim DESC, vec_id) = 1""",
+    "encoder_projection": f"""WITH {V.EXAMPLES}, {grams_sql('cg', 'examples', 'id', 'text')},
+vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM examples))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS idf FROM cg GROUP BY term), cw AS ({weights_sql('cg')}),
+signed AS (SELECT id, w, ('0x' || substr(md5(term), 1, 8))::BIGINT AS bits FROM cw)
+SELECT id, k::INT AS k, floor(sum(w * (((bits >> k) & 1) * 2 - 1)) * 1000000 + 0.5) / 1000000 AS x FROM signed, range({EN.DIMS}) r(k) GROUP BY id, k""",
     "scope_missing_terms": f"""WITH {V.REQUESTS}, {V.CORPUS}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text || ' ' || title), '[a-z]{{4,}}')) AS v FROM corpus),
 w AS (SELECT run_id AS id, unnest(regexp_extract_all(lower(question), '[a-z]{{5,}}')) AS term, generate_subscripts(regexp_extract_all(lower(question), '[a-z]{{5,}}'), 1) AS i FROM requests),
 m AS (SELECT * FROM w WHERE NOT list_contains({sql_list(L.GENERIC_WORDS)}, term) AND NOT EXISTS (SELECT 1 FROM v WHERE substr(v.v, 1, 5) = substr(w.term, 1, 5)) AND NOT EXISTS (SELECT 1 FROM v WHERE len(v.v) = 4 AND v.v = substr(w.term, 1, 4)))
