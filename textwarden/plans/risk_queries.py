@@ -167,16 +167,24 @@ def rerank_boosted(spark, sf_dir):
     return E.rerank(wide).select("query_id", "item_id", "place", "rerank_score")
 
 
+def _questions(spark, sf_dir):
+    return V.requests(spark, sf_dir).select(F.col("run_id").alias("id"), "question")
+
+
+@scoped
 def conflict_groups(spark, sf_dir):
-    """The figures that different sources state on one topic, and which of them holds. Each corpus line is a topic of its own here: its first word."""
-    c = V.corpus(spark, sf_dir)
-    members = c.select(F.floor(F.col("id") / 8).alias("query_id"), F.col("id").alias("item_id"), "source_id", "source_type", "year", F.col("id").cast("int").alias("place"), T.numbers(F.regexp_extract("text", r"^[^.]*\.", 0)).alias("numbers"), F.ascii(F.substring("text", 1, 1)).alias("cluster")).where(F.size("numbers") > 0)
-    return E.resolve(members).select("query_id", "resolved", "reason", "winner_id", F.array_join(F.transform("loser_ids", lambda x: x.cast("string")), ",").alias("losers"))
+    """The figures that the pieces retrieved for a request state on one topic, where they differ, and which of them holds."""
+    pieces, _, items = E.pieces_for(_questions(spark, sf_dir), V.corpus(spark, sf_dir))
+    return E.fights(pieces, items).select("query_id", "resolved", "reason", "winner_id", F.array_join(F.transform("loser_ids", lambda x: x.cast("string")), ",").alias("losers"))
+
+
+def _pack(spark, sf_dir):
+    return E.build(_questions(spark, sf_dir), V.corpus(spark, sf_dir))
 
 
 def evidence_pack(spark, sf_dir):
-    r = V.requests(spark, sf_dir)
-    return E.build(r.select(F.col("run_id").alias("id"), "question"), V.corpus(spark, sf_dir))
+    """Each request's evidence, its texts on lines of their own, and the words that the corpus lacks."""
+    return _pack(spark, sf_dir).select("id", F.array_join("evidence", "\n").alias("evidence"), "no_evidence", "sources_disagreed", F.array_join("missing", " ").alias("missing"))
 
 
 @scoped
@@ -279,7 +287,7 @@ def request_route(spark, sf_dir):
     r = V.requests(spark, sf_dir).select(F.col("run_id").alias("id"), F.col("run_id").alias("at"), "question", F.lit("v1").alias("version"))
     hits = H.cached_answers(r, r.withColumnRenamed("id", "entry_id"), slot=1_000_000)
     cached = hits.select("id", D.cache_route(F.col("hit")).alias("cache"))
-    evidence = evidence_pack(spark, sf_dir).select("id", D.evidence_route(F.col("evidence")).alias("evidence"))
+    evidence = _pack(spark, sf_dir).select("id", D.evidence_route(F.col("evidence")).alias("evidence"))
     return cached.join(evidence, "id").select("id", "cache", F.when(F.col("cache") == "miss", F.col("evidence")).alias("evidence"))
 
 
@@ -454,13 +462,6 @@ SELECT id, string_agg(term, ' ' ORDER BY i) AS missing FROM m GROUP BY id""",
 b AS (SELECT r.*, floor((sim + ((CASE source_type {_BOOSTS} ELSE -0.05 END)::DOUBLE + (CASE WHEN 2026 - year <= 1 THEN 0.05 ELSE 0 END)::DOUBLE)) * 1000 + 0.5) / 1000 AS rerank_score FROM r JOIN corpus ON id = item_id),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS place FROM b QUALIFY place <= 5)
 SELECT query_id, item_id, place::INT AS place, rerank_score FROM p QUALIFY max(floor(sim * 1000 + 0.5) / 1000) OVER (PARTITION BY query_id) >= 0.12""",
-    "conflict_groups": rf"""WITH {V.CORPUS}, m AS (SELECT id // 8 AS query_id, id AS item_id, source_id, CASE source_type {_RANKS} END AS trust, year, id AS place, {TQ.NUMBERS("regexp_extract(text, '^[^.]*[.]')")} AS numbers, text[1] AS cluster FROM corpus),
-g AS (SELECT query_id, cluster, numbers, max(struct_pack(trust := trust, year := year, p := -place)) AS b, count(DISTINCT source_id) AS sources, min(place) AS first, list(item_id) AS ids FROM m WHERE len(numbers) > 0 GROUP BY ALL),
-h AS (SELECT query_id, cluster, min(first) AS first FROM g GROUP BY ALL HAVING count(*) > 1),
-c AS (SELECT query_id, cluster FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first) = 1),
-r AS (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY b.trust DESC, b.year DESC, sources DESC, first) AS k FROM g JOIN c USING (query_id, cluster)),
-d AS (SELECT a.query_id, CASE WHEN a.b.trust > z.b.trust THEN 'trust' WHEN a.b.year > z.b.year THEN 'year' WHEN a.sources > z.sources THEN 'sources' ELSE 'none' END AS reason, -a.b.p AS winner FROM r a JOIN r z ON a.query_id = z.query_id AND a.k = 1 AND z.k = 2)
-SELECT query_id, reason <> 'none' AS resolved, reason, CASE WHEN reason <> 'none' THEN winner END AS winner_id, CASE WHEN reason <> 'none' THEN (SELECT array_to_string(list_sort(flatten(list(ids))), ',') FROM r WHERE r.query_id = d.query_id AND k > 1) ELSE '' END AS losers FROM d""",
     "cache_lookup_asof": f"""WITH {V.TRACES}, asked AS (SELECT run_id, epoch_us(ts) AS at, {V.SPELLED} AS question,
   'v' || day(ts) // 10 AS version, action = 'allow' AND coalesce(feedback = 'up', false) AS may FROM traces),
 texts AS (SELECT question AS text, md5(question) AS id, max(run_id) FILTER (WHERE may) IS NOT NULL AS stored FROM asked GROUP BY question), entries AS (SELECT * FROM texts WHERE stored),
@@ -488,6 +489,47 @@ SELECT run_id, strict, answer, CASE WHEN strict THEN 0.1::DOUBLE ELSE 0.4::DOUBL
   CASE WHEN action IN ('block', 'abstain', 'block_and_route_hr') THEN 'could not verify' WHEN unsupported > 0 THEN 'could not verify' WHEN unsure > 0 THEN 'partly verified' WHEN claims > 0 THEN 'verified against your documents' ELSE 'not checked in depth' END AS trust_label,
   CASE WHEN action = 'retry' THEN 'regenerate' WHEN action = 'escalate' THEN 'human' ELSE 'finalize' END AS route FROM z""",
 }
+_PACKED = f"""{_TFIDF.replace("WITH", "WITH RECURSIVE", 1)},
+wide AS (SELECT query_id, item_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e9) DESC, item_id) AS rank FROM sims QUALIFY rank <= {L.FETCH}),
+twins AS (SELECT a.id AS item_id, list(b.id) AS near FROM cw a JOIN cw b ON a.term = b.term AND a.id <> b.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) > {L.DUPLICATE}::DOUBLE),
+twin AS (SELECT item_id, flatten(list(near)) AS near FROM twins GROUP BY item_id),
+lead AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::BIGINT[] AS ids FROM wide UNION ALL
+  SELECT lead.query_id, k + 1, CASE WHEN len(list_intersect(ids, coalesce(near, []::BIGINT[]))) > 0 THEN ids ELSE list_append(ids, w.item_id) END
+  FROM lead JOIN wide w ON w.query_id = lead.query_id AND w.rank = k + 1 LEFT JOIN twin ON twin.item_id = w.item_id),
+own AS (SELECT query_id, arg_max(ids, k) AS ids FROM lead GROUP BY query_id),
+b AS (SELECT w.*, source_id, source_type, year, text, floor((sim + ((CASE source_type {_BOOSTS} ELSE -0.05 END)::DOUBLE + (CASE WHEN 2026 - year <= 1 THEN 0.05 ELSE 0 END)::DOUBLE)) * 1000 + 0.5) / 1000 AS rerank_score
+  FROM wide w JOIN own ON own.query_id = w.query_id AND list_contains(own.ids, w.item_id) JOIN corpus ON id = w.item_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS place FROM b QUALIFY place <= {L.KEEP}),
+held AS (SELECT * FROM p QUALIFY max(floor(sim * 1000 + 0.5) / 1000) OVER (PARTITION BY query_id) >= {L.FLOOR}),
+told AS (SELECT query_id, item_id, source_id, CASE source_type {_RANKS} END AS trust, year, place, {TQ.NUMBERS('text')} AS numbers FROM held),
+num AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM told WHERE len(numbers) > 0),
+couples AS (SELECT DISTINCT x.item_id AS x, y.item_id AS y FROM num x JOIN num y ON x.query_id = y.query_id AND x.item_id <> y.item_id),
+alike AS (SELECT x, y FROM couples JOIN cw a ON a.id = x JOIN cw c ON c.id = y AND c.term = a.term GROUP BY x, y HAVING sum(a.w * c.w) >= {L.TOPIC_NEAR}::DOUBLE),
+topic AS (SELECT x, list(y) AS near FROM alike GROUP BY x),
+heads AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::BIGINT[] AS found, NULL::BIGINT AS item_id, NULL::BIGINT AS head FROM num UNION ALL
+  SELECT query_id, k, CASE WHEN h IS NULL THEN list_append(found, item_id) ELSE found END, item_id, coalesce(h, item_id)
+  FROM (SELECT s.query_id, s.k + 1 AS k, s.found, m.item_id, list_filter(s.found, lambda z: list_contains(coalesce(t.near, []::BIGINT[]), z))[1] AS h
+        FROM heads s JOIN num m ON m.query_id = s.query_id AND m.n = s.k + 1 LEFT JOIN topic t ON t.x = m.item_id)),
+memb AS (SELECT num.*, heads.head AS cluster FROM num JOIN heads ON heads.query_id = num.query_id AND heads.item_id = num.item_id),
+g AS (SELECT query_id, cluster, numbers, max(struct_pack(trust := trust, year := year, p := -place, i := item_id)) AS b, count(DISTINCT source_id) AS sources, min(place) AS first, list(item_id) AS ids FROM memb GROUP BY ALL),
+several AS (SELECT query_id, cluster, min(first) AS first FROM g GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT query_id, cluster FROM several QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first) = 1),
+ranked AS (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY b.trust DESC, b.year DESC, sources DESC, first) AS k FROM g JOIN c USING (query_id, cluster)),
+d AS (SELECT x.query_id, CASE WHEN x.b.trust > z.b.trust THEN 'trust' WHEN x.b.year > z.b.year THEN 'year' WHEN x.sources > z.sources THEN 'sources' ELSE 'none' END AS reason, x.b.i AS winner
+  FROM ranked x JOIN ranked z ON x.query_id = z.query_id AND x.k = 1 AND z.k = 2),
+lost AS (SELECT query_id, unnest(ids) AS item_id FROM ranked JOIN d USING (query_id) WHERE k > 1 AND reason <> 'none')"""
+SQL["conflict_groups"] = f"""{_PACKED}, losers AS (SELECT query_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS losers FROM lost GROUP BY query_id)
+SELECT query_id, reason <> 'none' AS resolved, reason, CASE WHEN reason <> 'none' THEN winner END AS winner_id, coalesce(losers, '') AS losers FROM d LEFT JOIN losers USING (query_id)"""
+_EVIDENCE = f"""{_PACKED}, miss AS ({SQL['scope_missing_terms']}), near AS (SELECT query_id AS id, max(sim) AS nearest FROM wide GROUP BY query_id),
+ev AS (SELECT query_id AS id, string_agg(text, chr(10) ORDER BY place) AS evidence FROM held h WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.query_id = h.query_id AND l.item_id = h.item_id) GROUP BY query_id),
+parts AS (SELECT run_id AS id, evidence, coalesce(reason = 'none', false) AS open, missing, missing IS NOT NULL AND coalesce(nearest, 0) < {L.SCOPE_FLOOR} AS away
+  FROM requests LEFT JOIN ev ON ev.id = run_id LEFT JOIN miss ON miss.id = run_id LEFT JOIN near ON near.id = run_id LEFT JOIN d ON d.query_id = run_id)"""
+SQL["evidence_pack"] = f"""{_EVIDENCE} SELECT id, CASE WHEN away THEN '' ELSE coalesce(evidence, '') END AS evidence, away OR evidence IS NULL AS no_evidence, open AND NOT away AS sources_disagreed, coalesce(missing, '') AS missing FROM parts"""
+SQL["request_route"] = f"""{_EVIDENCE}, texts AS (SELECT question AS text, md5(question) AS id FROM requests GROUP BY question), {grams_sql('tg', 'texts', 'id', 'text')},
+tv AS (SELECT term, ln((1 + (SELECT count(*) FROM texts))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS idf FROM tg GROUP BY term), tw AS ({weights_sql('tg', 'tv')}),
+same AS (SELECT x.id AS x, y.id AS y FROM tw x JOIN tw y USING (term) GROUP BY x.id, y.id HAVING floor(sum(x.w * y.w) * 1e9) >= {L.CACHE_NEAR} * 1e9),
+hits AS (SELECT DISTINCT r.run_id FROM requests r JOIN same ON x = md5(r.question) JOIN requests e ON md5(e.question) = y AND e.run_id < r.run_id)
+SELECT id, CASE WHEN h.run_id IS NULL THEN 'miss' ELSE 'hit' END AS cache, CASE WHEN h.run_id IS NULL THEN CASE WHEN away OR evidence IS NULL THEN 'none' ELSE 'ok' END END AS evidence FROM parts LEFT JOIN hits h ON h.run_id = parts.id"""
 _ACTED = " ".join(f"WHEN action {test} THEN {text}" for test, text in (
     ("= 'abstain'", sql_text(Y.ABSTAINED)), ("IN ('block', 'block_and_route_hr')", sql_text(Y.STOPPED) + " || ref || '.'"),
     ("= 'care'", sql_text(Y.CARE)), ("= 'escalate'", sql_text(Y.HANDED_ON) + " || ref || '.'")))

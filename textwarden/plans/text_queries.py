@@ -292,6 +292,11 @@ FROM (SELECT doc_id, unnest(regexp_extract_all({_asciied('text')}, '\b(?:[0-9][
   FROM (SELECT run_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT run_id, regexp_extract_all(text, {sql_text(T.ENTITY)}) AS ms, string_split_regex(text, {sql_text(T.ENTITY)}) AS gs FROM texts)))
 SELECT run_id, kind, text, start, "end" FROM found UNION ALL
 SELECT run_id, 'NAME', text, s, (s + len(text))::INT FROM names n WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.run_id = n.run_id AND f.start < n.s + len(n.text) AND f."end" > n.s)""",
+    "pii_mask": _pii_sql("input").replace("WITH", "WITH RECURSIVE", 1) + f""", raw AS (SELECT run_id, question AS text FROM requests UNION ALL SELECT -1 - doc_id, text FROM documents),
+masks AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY start DESC, list_position({sql_list([p[0] for p in L.PII_PATTERNS])}, kind) DESC) AS k FROM found WHERE action <> 'allow'),
+steps AS (SELECT run_id, 0::BIGINT AS k, text FROM raw WHERE run_id IN (SELECT run_id FROM found) UNION ALL
+  SELECT s.run_id, s.k + 1, substr(s.text, 1, m.start) || '[' || m.kind || ']' || substr(s.text, m."end" + 1) FROM steps s JOIN masks m ON m.run_id = s.run_id AND m.k = s.k + 1)
+SELECT run_id, arg_max(text, k) AS masked_text FROM steps GROUP BY run_id""",
     "pii_action": _pii_sql("output")
     + """ SELECT t.run_id, coalesce(max(score), 0.0::DOUBLE) AS score, CASE max(CASE action WHEN 'block' THEN 3 WHEN 'redact' THEN 2 WHEN 'mask' THEN 1 ELSE 0 END) WHEN 3 THEN 'block' WHEN 2 THEN 'redact' WHEN 1 THEN 'mask' ELSE 'allow' END AS action,
   count(kind)::INT AS count, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS types FROM texts t LEFT JOIN found f ON f.run_id = t.run_id GROUP BY t.run_id""",
