@@ -122,3 +122,16 @@ def test_attempts_keep_thumbs_across_batches(spark, tmp_path):
     run(stream(), out, check)
     assert rows(spark, out, "run_id", "attempt") == [(1, 1), (2, 2), (3, 3), (4, 1), (5, 2)]
     assert json.loads(next((check / "offsets").glob("[0-9]*")).read_text().splitlines()[1])["conf"]["spark.sql.streaming.stateStore.providerClass"] == U.STORE
+
+
+def test_keys_share_groups(spark, tmp_path):
+    """Hundreds of keys wait in far fewer states, and one key's null leaves another's numbers whole."""
+    source, out, check = (tmp_path / n for n in ("in", "out", "check"))
+    keys = 1500
+    put(source, "1.parquet", ["run_id", "user", "ts", "tokens"], [(2 * u + k, u, 10 + k, None if (u, k) == (7, 1) else u) for u in range(keys) for k in (0, 1)] + [(-1, -1, 900, None)])
+    run(usage(spark, source), out, check)
+    assert U.state_rows(spark, str(check), "waiting") == 1
+    told = {r[0]: r[1:] for r in rows(spark, out, "run_id", "per_day", "tokens_day")}
+    assert told == {2 * u + k: (k, u * k) for u in range(keys) for k in (0, 1)}
+    groups = spark.read.format("statestore").option("stateVarName", "quiet").load(str(check)).count()
+    assert groups <= U.GROUPS
