@@ -1,6 +1,10 @@
 """Pairs of rows that meet as blocks: nothing is shuffled for a pair."""
 
-from textwarden.operators import retrieval, vectors
+import hashlib
+import math
+import re
+
+from textwarden.operators import encoder, retrieval, vectors
 
 
 def test_a_pair_is_no_row(spark, monkeypatch):
@@ -23,3 +27,33 @@ def test_a_pair_is_no_row(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "ITEM_BLOCK", 40)
     got = sorted(tuple(r) for r in retrieval.top_items(queries, items, 2).collect())
     assert [(r[0], r[3], round(r[2], 8)) for r in got] == [(r[0], r[3], round(r[2], 8)) for r in want]
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_where_texts_are(spark):
+    """Texts are dealt by id, and no term is shuffled before it is counted."""
+    plan = planned(vectors.term_counts(spark.createDataFrame([(1, "a few words"), (1, "a few more")], "id long, text string")))
+    assert re.search(r"hashpartitioning\(id#\d+L?, \d+\)", plan) and not re.search(r"hashpartitioning\(id#\d+L?, term#", plan)
+
+
+def test_signs_travel_as_bits(spark):
+    """What is shuffled for a projection is a term's bits, not a sum for each dimension."""
+    items, vocab = spark.createDataFrame([(1, 5, 0.6), (1, 6, 0.8)], "id long, term long, w double"), spark.createDataFrame([("few", 5), ("words", 6)], "term string, key long")
+    df = encoder.projected(items, vocab)
+    assert not re.search(r"Exchange hashpartitioning\(id#\d+L?, \d+\)[^\n]*\n[^\n]*HashAggregate[^\n]*partial_sum", planned(df))
+    bits = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in ("few", "words")]
+    want = [sum(w * ((b >> k & 1) * 2 - 1) for w, b in zip((0.6, 0.8), bits)) for k in range(encoder.DIMS)]
+    assert all(abs(x - y) < 1e-12 for x, y in zip(df.collect()[0]["parts"], want, strict=True))
+
+
+def test_blocks_stay_arrow(spark, monkeypatch):
+    """A block of vectors isn't turned into Python objects, whose size is many times its own."""
+    v = spark.range(40).selectExpr("id", "id % 2 = 0 AS side", "array(cast(cos(id) AS double), cast(sin(id) AS double)) AS v")
+    told = encoder.nearest(v.select("id", "v"), v, block=16, others=True)
+    assert "MapInArrow" in planned(told) and "MapInPandas" not in planned(told)
+    got = {(r["query_id"], r["side"]): r["item_id"] for r in told.collect()}
+    near = lambda q, s: min((-math.floor(math.cos(q - i) * 1e6 + 0.5), i) for i in range(40) if i != q and (i % 2 == 0) == s)[1]
+    assert got == {(q, s): near(q, s) for q in range(40) for s in (True, False)}
