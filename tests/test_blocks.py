@@ -2,9 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
+from collections import defaultdict
 
-from textwarden.operators import encoder, retrieval, vectors
+import pytest
+
+from textwarden.operators import encoder, evidence, retrieval, vectors
 
 
 def test_a_pair_is_no_row(spark, monkeypatch):
@@ -57,3 +61,52 @@ def test_blocks_stay_arrow(spark, monkeypatch):
     got = {(r["query_id"], r["side"]): r["item_id"] for r in told.collect()}
     near = lambda q, s: min((-math.floor(math.cos(q - i) * 1e6 + 0.5), i) for i in range(40) if i != q and (i % 2 == 0) == s)[1]
     assert got == {(q, s): near(q, s) for q in range(40) for s in (True, False)}
+
+
+@pytest.mark.parametrize(("above", "inclusive"), [(0.05, True), (0.3, False), (0.6, False), (0.92, False), (0.92, True)])
+def test_candidates_of_a_query_meet_in_memory(spark, above, inclusive):
+    """Near candidates against all pairs, for copies, near copies, frequent words and queries of one candidate; no pair and no posting is a row."""
+    r = random.Random(7)
+    draw = lambda n: [f"w{min(299, int(r.expovariate(0.02)))}" for _ in range(n)]
+    texts = [draw(r.choice([1, 2, 5, 40, 200])) for _ in range(60)]
+    for k in range(30):  # from copies to texts that share half of their words
+        texts.append([w if r.random() > k / 60 else draw(1)[0] for w in texts[k]])
+    vocab, items = vectors.fit(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string"))
+    items = items.cache()
+    asked = [(q, i) for q in range(70) for i in r.sample(range(len(texts)), 25 if q else 1)] + [(q, i) for q in range(100, 130) for i in (q - 100, q - 40)]
+    told = vectors.near_in_query(spark.createDataFrame(asked, "query_id long, item_id long"), items, above, inclusive)
+    assert "MapInArrow" in planned(told) and not re.search(r"Join \[[^\]]*term", planned(told))
+    got = {(x["query_id"], x["item_id"]): set(x["near"]) for x in told.collect()}
+    v, own = defaultdict(dict), defaultdict(list)
+    for x in items.collect():
+        v[x["id"]][x["term"]] = x["w"]
+    for q, i in asked:
+        own[q].append(i)
+    sims = {(i, j): sum(v[i][t] * v[j][t] for t in v[i].keys() & v[j].keys()) for ids in own.values() for i in ids for j in ids if i != j}
+    assert all(abs(s - above) > 1e-12 for s in sims.values())
+    want = {(q, i): {j for j in ids if j != i and sims[i, j] > above} for q, ids in own.items() for i in ids}
+    assert got == {k: n for k, n in want.items() if n} and got
+
+
+def test_rare_terms_have_small_keys(spark):
+    """The heads of vectors are their rarest terms: keys are in the order of frequencies, by powers of two."""
+    vocab, items = vectors.fit(spark.createDataFrame([(k, f"all {'some' if k < 20 else 'others'} x{k}") for k in range(64)], "id long, text string"))
+    rows = sorted((r["key"], r["df"]) for r in vocab.collect())
+    assert [int(math.log2(n)) for _, n in rows] == sorted(int(math.log2(n)) for _, n in rows) and len({k for k, _ in rows}) == len(rows)
+    head = vectors._heads(0.92)
+    pack = {r["id"]: r["head"] for r in retrieval.packed(items).select("id", "terms", "ws").mapInArrow(lambda b: (x.rename_columns(["id", "head"]) for x in head(b)), "id long, head array<long>").collect()}
+    rare = {r["key"] for r in vocab.where("df = 1").collect()}
+    assert set(pack) == set(range(64)) and all(h and set(h) <= rare for h in pack.values())
+
+
+def test_texts_stay_behind(spark):
+    """What is retrieved has no texts with it: only those that are given out are looked up, at the end."""
+    corpus = spark.createDataFrame([(k, f"t{k}", f"The limit is {k % 3} for topic{k % 5} here.", f"s{k}", "news", 2020) for k in range(20)], "id long, title string, text string, source_id string, source_type string, year int")
+    questions = spark.createDataFrame([(1, "What is the limit for topic2?"), (2, "zzzzz")], "id long, question string")
+    pieces, _, items = evidence.pieces_for(questions, corpus)
+    assert "text" not in pieces.columns and "terms" in items.columns
+    told = evidence.chosen(questions, corpus)
+    built = {r["id"]: r for r in evidence.build(questions, corpus).collect()}
+    texts = {r["id"]: r["text"] for r in corpus.collect()}
+    assert "text" not in told.columns and {r["id"]: [texts[i] for i in r["item_ids"]] for r in told.collect()} == {k: r["evidence"] for k, r in built.items()}
+    assert built[1]["evidence"] and built[2]["no_evidence"] and not built[2]["evidence"]
