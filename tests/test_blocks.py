@@ -110,3 +110,36 @@ def test_texts_stay_behind(spark):
     texts = {r["id"]: r["text"] for r in corpus.collect()}
     assert "text" not in told.columns and {r["id"]: [texts[i] for i in r["item_ids"]] for r in told.collect()} == {k: r["evidence"] for k, r in built.items()}
     assert built[1]["evidence"] and built[2]["no_evidence"] and not built[2]["evidence"]
+
+
+@pytest.mark.parametrize("at_once", [7, 100_000])
+def test_encoder_without_its_table(spark, monkeypatch, at_once):
+    """The vectors that fit and encoded give, for texts of the corpus and others; no sum is kept for a term."""
+    monkeypatch.setattr(encoder, "AT_ONCE", at_once)
+    r = random.Random(3)
+    text = lambda: " ".join(["all", *(f"w{min(99, int(r.expovariate(0.05)))}" for _ in range(r.choice([1, 4, 30])))])
+    rows = [(k, text()) for k in range(70)] + [(90, ""), (91, None)]
+    vocab, items = vectors.fit(spark.createDataFrame(rows, "id long, text string"))
+    queries = vectors.tfidf(spark.createDataFrame([(k, text()) for k in range(30)] + [(40, "nothing known"), (41, None)], "id long, text string"), vocab)
+    written = []
+    write = encoder.kept
+
+    def counted(df):
+        table = write(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(encoder, "kept", counted)
+    for dims in (6, 40):
+        got = {(x["asked"], x["id"]): x["v"] for x in encoder.fitted(items, queries, vocab, dims).collect()}
+        parts = spark.sparkContext.defaultParallelism
+        assert max(written) <= parts * (70 + 30 + 1) and written.clear() is None
+        basis = encoder.fit(items, vocab, dims)
+        want = {(asked, x["id"]): x["v"] for asked, df in ((False, items), (True, queries)) for x in encoder.encoded(df, basis).collect()}
+        written.clear()
+        assert got.keys() == want.keys() and len(got) == 100
+        for a, b in zip(sorted(got), sorted(got)[1:], strict=False):  # cosines, as axes may have either sign
+            cosine = lambda v: sum(x * y for x, y in zip(v[a], v[b], strict=True))  # noqa: B023, E731
+            assert abs(cosine(got) - cosine(want)) < 1e-6
+    none = items.where("false")
+    assert encoder.fitted(none, none, vocab).count() == encoder.fitted(none, queries, vocab).count() == 0 and encoder.fitted(items, none, vocab).count() == 70
