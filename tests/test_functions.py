@@ -106,3 +106,43 @@ def test_rewriting(spark):
     assert got == "work from home rule 2026-07-01 to 2026-07-31 and human resources contact for that?"
     assert column(spark, ["What about it and that?"], lambda c: T.with_subject(c, T.subject_of(F.lit("When does probation end"))))[0] == "What about probation and that?"
     assert column(spark, ["x [S1] y [S9]."], lambda c: T.without_unknown_tags(c, F.array(F.lit("S1"))))[0] == "x [S1] y ."
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(list(range(k)),) for k in (0, 1, 2, 3, 7, 8, 9, 1000)] + [(None,)], "x array<int>")
+    want = [[sum(range(i + 1)) for i in range(k)] for k in (0, 1, 2, 3, 7, 8, 9, 1000)] + [None]
+    assert [r[0] for r in df.select(T.running(F.col("x"))).collect()] == want
+
+
+def test_spans_of_a_long_text(spark):
+    """Places are sums over all matches before: found in a few passes, not anew for each match."""
+    import time
+
+    text = "Anna met Bob2 and \U0001F600 Cém Berta, \n" * 20_000
+    began = time.time()
+    got = column(spark, [text], lambda t: D.spans(t, "(?=[A-Z])" + T.ENTITY))[0]
+    took = time.time() - began
+    want = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\b[A-Z][a-z]{2,}\b", text)]
+    assert [tuple(r) for r in got] == want and len(want) == 40_000
+    assert took < 60  # with sums for each match, 1 600 000 000 additions
+
+
+def test_best_phrase_is_found_once(spark):
+    """Inside another expression Spark repeats what is named several times: the best phrase is bound."""
+    df = spark.createDataFrame([("x",)], "t string").select(D.injection(F.col("t"), F.lit(False)).alias("i"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 1 and plan.count("{30,}") == 1
+
+
+def test_gates_of_personal_data(spark):
+    """Every match of a kind's pattern passes its gate, whatever stands around it and between its parts."""
+    samples = {
+        "AADHAAR": ["2341 2341 2346", "234123412346", "2341\u20032341-2346"], "PAN": ["ABCPE1234F"], "GSTIN": ["27ABCPE1234F1Z5"], "CREDIT_CARD": ["4111 1111 1111 1111", "4-1-1-1-1-1-1-1-1-1-1-1"], "IFSC": ["HDFC0ABCDEF", "HDFC0123456"],
+        "BANK_ACCOUNT": ["123456789"], "UPI_ID": ["abc.d-e@okaxis", "äöü@upi"], "INDIAN_PHONE": ["9876543210", "+91 9876543210", "91-9876543210"], "EMAIL": ["é.x+y@a-b.org"], "VEHICLE_REG": ["KA 01 AB 1234", "KA1A1234", "KA\u00a001-AB\u00a01234"],
+        "PASSPORT_IN": ["A1234567"],
+    }
+    pairs = [(kind, f"{a}{x}{b}") for kind, xs in samples.items() for x in xs for a, b in (("", ""), ("é ", " é"), ("(", ").\n"))]
+    patterns = {kind: p for kind, p, *_ in L.PII_PATTERNS}
+    df = spark.createDataFrame([(k, t, "(?U)" + patterns[k], D.GATES[k]) for k, t in pairs], "k string, t string, p string, g string")
+    assert all(r["whole"] and r["gate"] for r in df.select(F.regexp_like("t", F.col("p")).alias("whole"), F.regexp_like("t", F.col("g")).alias("gate")).collect())
+    assert set(samples) == set(D.GATES) == set(patterns)

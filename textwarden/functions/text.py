@@ -36,10 +36,10 @@ def normalize(text: Column, leet: bool = False) -> Column:
     t = F.translate(text, *_unaccented())
     for a, b in LIGATURES.items():
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.lower(F.regexp_replace(t, r"\p{Mn}+", ""))
+    t = F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(t, r"\p{Mn}+", "")))  # ASCII has neither accents nor ligatures
     if leet:
         t = F.translate(t, L.LEET_FROM, L.LEET_TO)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]{2,}|[^a-z0-9 ]", " "))  # a single space stays as it is
 
 
 def normalize_exact(leet: bool = False):
@@ -70,6 +70,12 @@ def following(normal: Column, position: Column, length: Column, words: int = 10)
     return F.when(position == 0, normal).otherwise(F.array_join(F.slice(F.split(tail, " +"), 1, words), " "))
 
 
+def running(values: Column) -> Column:
+    """The running sums of an array of whole numbers, in as many turns as its size has bits: each adds what stands 1, 2, 4 and so on places before."""
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, values, lambda sums, step: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - step), F.lit(0))))
+
+
 def longest_run(text: Column) -> Column:
     """Length of the longest run of one character; 0 for empty."""
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)((.)\2*)"), F.lit(1)), F.length)), F.lit(0))

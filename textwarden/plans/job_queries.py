@@ -12,7 +12,7 @@ from ..operators import jobs as J
 from ..sources import stores
 from ..streaming import traces as ST
 from ..streaming import usage as S
-from ..tables import fresh_path, scoped
+from ..tables import dealt, fresh_path, scoped
 from . import text_queries as TQ
 from . import views as V
 from .text_queries import TOPICS, swaps_sql
@@ -111,7 +111,7 @@ def _part(value: str, limit: float) -> str:
 
 def _cases(spark, sf_dir):
     """Requests (label, band): what their planted sentence is, and what the injection detector says of the whole question."""
-    r = V.requests(spark, sf_dir)
+    r = dealt(V.requests(spark, sf_dir).select("run_id", "question", "format_given"))
     at = (F.floor(F.col("run_id") / 1000) * 31 + F.col("run_id") % 1000) % len(V.PLANTS)
     label = F.when(at.isin(V.ATTACKS), "attack").when(at.isin(V.TRICKY), "tricky").otherwise("safe")
     return r.select(label.alias("label"), D.injection(F.col("question"), F.col("format_given"))["band"].alias("band"))

@@ -134,8 +134,8 @@ def pii_mask(spark, sf_dir):
 
 
 def _names(spark, sf_dir):
-    """Spans of entities, as a second finder has them: run_id, kind, text, start, end."""
-    texts = pii(spark, sf_dir).select("run_id", F.explode(D.spans(F.col("text"), T.ENTITY)).alias("x"))
+    """Spans of entities, as a second finder has them: run_id, kind, text, start, end. Looking at the first letter before the word boundary takes a fraction of the time."""
+    texts = pii(spark, sf_dir).select("run_id", F.explode(D.spans(F.col("text"), "(?=[A-Z])" + T.ENTITY)).alias("x"))
     return texts.select("run_id", F.lit("NAME").alias("kind"), "x.text", "x.start", "x.end")
 
 
