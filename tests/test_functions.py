@@ -146,3 +146,17 @@ def test_gates_of_personal_data(spark):
     df = spark.createDataFrame([(k, t, "(?U)" + patterns[k], D.GATES[k]) for k, t in pairs], "k string, t string, p string, g string")
     assert all(r["whole"] and r["gate"] for r in df.select(F.regexp_like("t", F.col("p")).alias("whole"), F.regexp_like("t", F.col("g")).alias("gate")).collect())
     assert set(samples) == set(D.GATES) == set(patterns)
+
+
+def test_findings_are_found_once(spark):
+    """Spark asks of an exploded column whether it is null or empty, and would find it anew each time."""
+    from textwarden.plans import text_queries
+
+    plan = text_queries.pii_findings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    patterns = [p for kind, p, *_ in L.PII_PATTERNS if kind == "GSTIN"]
+    once = spark.createDataFrame([("x",)], "t string").select(D.pii_findings(F.col("t")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(patterns[0]) == once.count(patterns[0]) > 0
+
+
+def test_findings_of_odd_texts(spark):
+    assert column(spark, [None, "", "no digits", "a@b.org"], lambda t: F.size(D.pii_findings(t)), lambda t: D.pii_findings(t).isNull()) == [(0, False), (0, False), (0, False), (1, False)]

@@ -128,7 +128,8 @@ def pii_findings(text: Column, mode: str = "input") -> Column:
         gate = F.contains(text, F.lit("@")) if GATES[kind] == "@" else text.rlike(GATES[kind])
         found.append(F.when(gate & text.rlike("(?U)" + pattern), F.transform(spans(text, pattern), judged)).otherwise(F.array().cast(PII_TYPE)))
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(F.lit(0))
-    return F.array_sort(F.array_compact(F.concat(*found)), order)
+    some = text.rlike("|".join(dict.fromkeys(GATES.values())))
+    return F.when(some, F.array_sort(F.array_compact(F.concat(*found)), order)).otherwise(F.array().cast(PII_TYPE))
 
 
 def pii_summary(text: Column, findings: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import detectors as D
 from ..operators import spans as SP
 from ..operators import rewrite as R
+from ..tables import kept, scoped
 from . import views as V
 from .views import sql_list, sql_text
 
@@ -112,14 +113,20 @@ def swaps_sql(source: str, adjacent: bool = False) -> str:
     return " UNION ALL ".join(each)
 
 
-def pii(spark, sf_dir, mode="input"):
+def _texts(spark, sf_dir):
+    """Requests and documents, under ids below 0: run_id, text."""
     d = V.requests(spark, sf_dir).select("run_id", F.col("question").alias("text"))
-    d = d.unionByName(V.table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("run_id"), "text"))
-    return d.withColumn("f", D.pii_findings(F.col("text"), mode))
+    return d.unionByName(V.table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("run_id"), "text"))
+
+
+def pii(spark, sf_dir, mode="input"):
+    return _texts(spark, sf_dir).withColumn("f", D.pii_findings(F.col("text"), mode))
 
 
 def pii_findings(spark, sf_dir):
-    return pii(spark, sf_dir).select("run_id", F.explode("f").alias("x")).select("run_id", "x.kind", "x.text", "x.start", "x.end", "x.score", "x.context", "x.action")
+    # exploded where they are found: of a column, Spark would ask first whether it is null or empty, and find it anew for each
+    found = _texts(spark, sf_dir).select("run_id", F.explode(D.pii_findings(F.col("text"))).alias("x"))
+    return found.select("run_id", "x.kind", "x.text", "x.start", "x.end", "x.score", "x.context", "x.action")
 
 
 def pii_action(spark, sf_dir):
@@ -135,13 +142,14 @@ def pii_mask(spark, sf_dir):
 
 def _names(spark, sf_dir):
     """Spans of entities, as a second finder has them: run_id, kind, text, start, end. Looking at the first letter before the word boundary takes a fraction of the time."""
-    texts = pii(spark, sf_dir).select("run_id", F.explode(D.spans(F.col("text"), "(?=[A-Z])" + T.ENTITY)).alias("x"))
+    texts = _texts(spark, sf_dir).select("run_id", F.explode(D.spans(F.col("text"), "(?=[A-Z])" + T.ENTITY)).alias("x"))
     return texts.select("run_id", F.lit("NAME").alias("kind"), "x.text", "x.start", "x.end")
 
 
+@scoped
 def pii_spans_merged(spark, sf_dir):
     """Findings of personal data, and the names that overlap none of them."""
-    found = pii_findings(spark, sf_dir).select("run_id", "kind", "text", "start", "end")
+    found = kept(pii_findings(spark, sf_dir).select("run_id", "kind", "text", "start", "end"))
     return SP.merged(found, _names(spark, sf_dir), ["run_id"])
 
 
