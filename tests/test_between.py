@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from textwarden.operators import retrieval, vectors
+from textwarden.plans import risk_queries
 
 TEXT = "id long, side string, text string"
 TEXTS = [(1, "a", "The cat sat, the CAT ran"), (2, "b", "a dog ran"), (3, "a", None), (4, "b", ""), (5, "a", "nothing shared ÉTÉ x2 _y"), (6, "b", "The cat sat, the CAT ran"), (7, "a", "cat"), (7, "a", "ran off")]
@@ -90,3 +91,17 @@ def test_products(spark, monkeypatch, settings, k):
         for side in "ab":
             sims = [(-math.floor(sum(w * vectors_of[i].get(t, 0.0) for t, w in own.items()) * 1e9 + retrieval.EVEN), i) for i, s, _ in texts if s == side]
             assert sorted(got.get((q, side), []))[:k] == sorted(x for x in sims if x[0])[:k]
+
+
+def test_only_what_is_sent_back_gets_evidence(spark, monkeypatch):
+    """Evidence is sought for the turns before answers that are sent back, and turns are scanned that an answer follows; others were, to no end."""
+    asked, between = [], vectors.between
+
+    def counted(queries, corpus):
+        asked.append({r["id"] for r in queries.select("id").collect()})
+        return between(queries, corpus)
+
+    monkeypatch.setattr(risk_queries.VE, "between", counted)
+    told = risk_queries.retried(spark, "/root/testdata/sf0.01").collect()
+    again = {r["run_id"] - 1 for r in told if r["regenerated"]}
+    assert asked[0] <= {r["run_id"] - 1 for r in told} and asked[1] <= again and len(again) < len(told)
