@@ -9,7 +9,7 @@ from test_between import ASKED, TEXT, TEXTS, drawn, products
 from test_blocks import planned
 
 from textwarden import tables
-from textwarden.operators import retrieval, vectors
+from textwarden.operators import encoder, retrieval, vectors
 
 
 def shuffled_files(spark):
@@ -68,3 +68,17 @@ def test_candidates_are_dealt_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(vectors, "kept", lambda df: (written.append(df), write(df))[1])
     monkeypatch.setattr(vectors, "DEALT", 50, raising=False)
     assert told() == want and want and len(written) >= 6
+
+
+def test_encoder_of_texts(spark):
+    """Terms as digests give the vectors that looked-up terms give."""
+    corpus, asked = drawn(6, 70), drawn(7, 30)
+    c, q = (spark.createDataFrame(x, TEXT).select("id", "text") for x in (corpus, asked))
+    vocab, items = vectors.fit(c)
+    for dims in (6, 40):
+        want = {(x["asked"], x["id"]): x["v"] for x in encoder.fitted(items, vectors.tfidf(q, vocab), vocab, dims).collect()}
+        got = {(x["asked"], x["id"]): x["v"] for x in encoder.encoded_texts(c, q, dims).collect()}
+        assert got.keys() == want.keys() and got
+        for a, b in zip(sorted(got), sorted(got)[1:], strict=False):
+            cosine = lambda v: sum(x * y for x, y in zip(v[a], v[b], strict=True))  # noqa: B023, E731
+            assert abs(cosine(got) - cosine(want)) < 1e-6
