@@ -10,6 +10,7 @@ from test_blocks import planned
 
 from textwarden import tables
 from textwarden.operators import encoder, retrieval, vectors
+from textwarden.plans import views
 
 
 def shuffled_files(spark):
@@ -82,3 +83,17 @@ def test_encoder_of_texts(spark):
         for a, b in zip(sorted(got), sorted(got)[1:], strict=False):
             cosine = lambda v: sum(x * y for x, y in zip(v[a], v[b], strict=True))  # noqa: B023, E731
             assert abs(cosine(got) - cosine(want)) < 1e-6
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Texts aren't shuffled to meet their labels, whatever Spark would broadcast by itself, and beyond the limit they aren't sorted."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = views.examples(spark, "/root/testdata/sf0.001")
+        assert "BroadcastHashJoin" in planned(told)
+        monkeypatch.setattr(views, "LABELS", 1, raising=False)
+        more = views.examples(spark, "/root/testdata/sf0.001")
+        assert "ShuffledHashJoin" in planned(more) and sorted(map(tuple, more.collect()), key=repr) == sorted(map(tuple, told.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
